@@ -38,15 +38,33 @@ MAGIC = b"TPH1"
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
+#: Pieces that go to the library as one string.
+RUN_PIECES = 5000
+
+
 def library_encoder(path: str, end: int | None) -> PieceEncoder:
-    """The tokenizers library behind the piece memory, one for each worker."""
+    """The tokenizers library behind the piece memory, one for each worker.
+
+    Pieces side by side are encoded as one string, for a call costs more than a piece; as every id of a byte-level
+    vocabulary stands for a known number of bytes, the ids are cut at the pieces' ends."""
     if (path, end) not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        _ENCODERS[path, end] = PieceEncoder(lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)], end=end)
+        width = np.zeros(tok.get_vocab_size(), dtype=np.int64)
+        for token, i in tok.get_vocab().items():
+            width[i] = len(token)
+        whole = lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+        def runs(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            flat = np.concatenate([np.array(ids, dtype=np.uint32) for ids in whole(["".join(pieces[i : i + RUN_PIECES]) for i in range(0, len(pieces), RUN_PIECES)])])
+            ends = np.cumsum(pc.binary_length(pa.array(pieces)).to_numpy())
+            upto = np.searchsorted(np.cumsum(width[flat]), ends) + 1
+            return np.diff(upto, prepend=0), flat
+
+        _ENCODERS[path, end] = PieceEncoder(whole, runs, end)
     return _ENCODERS[path, end]
 
 

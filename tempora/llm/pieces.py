@@ -15,14 +15,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers; with more it starts anew.
-MOST_PIECES = 400_000
+MOST_PIECES = 900_000
+
+
+def flattened(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the lists, and all their ids."""
+    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    return sizes, np.fromiter((x for ids in lists for x in ids), dtype=np.uint32, count=int(sizes.sum()))
 
 
 class PieceEncoder:
-    """encode(strings) gives the ids of each string, as sequences of ints, for strings that stand alone."""
+    """whole(texts) gives the ids of each text; runs(pieces) gives the sizes and all ids of pieces that start with
+    white space and may stand side by side; end is an id that closes each document."""
 
-    def __init__(self, encode: Callable[[list[str]], list], whole: Callable[[list[str]], list] | None = None, end: int | None = None):
-        self.encode, self.whole, self.end = encode, whole or encode, [] if end is None else [end]
+    def __init__(self, whole: Callable[[list[str]], list], runs: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None, end: int | None = None):
+        self.whole, self.end = whole, [] if end is None else [end]
+        self.runs = runs or (lambda pieces: flattened(whole(pieces)))
         self.clear()
 
     def clear(self) -> None:
@@ -43,9 +51,7 @@ class PieceEncoder:
         new = [k for k, p in zip(keys, pieces, strict=True) if k not in at]
         if new:
             good = [k for k in dict.fromkeys(new) if self.stands_alone(k[1:] if spaced and k[0] == " " else k)]
-            got = self.encode(good) if good else []
-            sizes = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-            flat = np.fromiter((x for ids in got for x in ids), dtype=np.uint32, count=int(sizes.sum()))
+            sizes, flat = (self.runs(good) if spaced else flattened(self.whole(good))) if good else flattened([])
             n = len(self.sizes)
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
             self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
