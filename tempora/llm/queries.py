@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import huffman, mixing, pii, quality, sharding, warc
+from tempora.llm import huffman, mixing, pii, quality, sentencepieces, sharding, warc
 from tempora.llm.common import table
 
 
@@ -45,3 +45,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op7_warc,)}
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES |= {f.__name__: f for f in (op5_sentencepiece,)}
