@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import huffman, mixing, pii, quality, sentencepieces, sharding, warc
+from tempora.llm import html_extract, huffman, mixing, pii, quality, sentencepieces, sharding, warc
 from tempora.llm.common import table
 
 
@@ -52,3 +52,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op5_sentencepiece,)}
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES |= {f.__name__: f for f in (op9_html_extraction,)}
