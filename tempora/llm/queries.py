@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import html_extract, huffman, mixing, pii, quality, sentencepieces, sharding, warc
+from tempora.llm import html_extract, huffman, jaccard, mixing, pii, quality, sentencepieces, sharding, warc
 from tempora.llm.common import table
 
 
@@ -59,3 +59,10 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op9_html_extraction,)}
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("mark")
+
+
+QUERIES |= {f.__name__: f for f in (op10_jaccard_join,)}
