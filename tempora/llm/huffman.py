@@ -69,14 +69,15 @@ def library_encoder(path: str, end: int | None) -> PieceEncoder:
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of at most about most bytes of text, a row at least."""
+    """Copies of rows with at most about most bytes of text, a row at least. Copies, for string functions of the
+    array library may read a slice of another array beyond its bounds."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
-            yield batch.slice(at, to - at)
+            yield batch.take(pa.array(np.arange(at, to)))
             at = to
 
 
