@@ -326,12 +326,12 @@ def across(members: list[dict], token: int) -> Iterator[tuple[int, int]]:
     members = sorted(members, key=lambda m: (m["component"] == top, m["k1"]))
     rest = sum(m["component"] != top for m in members)
     sizes = np.array([len(m["tokens"]) for m in members])
-    h = np.concatenate([np.asarray(m["tokens"], dtype=np.int64) for m in members])
+    h = np.concatenate([np.asarray(m["tokens"], dtype=np.int64) for m in members]).view(np.uint64)  # as prefixes() orders them
     df = np.concatenate([np.asarray(m["df"], dtype=np.int64) for m in members])
     order = np.lexsort((h, df))
     rank = np.empty(len(h), dtype=np.int64)
     rank[order] = np.cumsum(np.concatenate([[0], (h[order][1:] != h[order][:-1])]))
-    here = int(rank[np.flatnonzero(h == token)[0]])
+    here = int(rank[np.flatnonzero(h == np.int64(token).view(np.uint64))[0]])
     row = np.repeat(np.arange(len(members)), sizes)
     shared = np.bincount(rank) > 1
     column = np.cumsum(shared) - 1
