@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.common import drop_scratch, written
+from tempora.llm.common import let, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -214,7 +214,8 @@ def find(docs: DataFrame, keep: list[str]) -> DataFrame:
     spans = F.sort_array(F.collect_list(chosen)).alias("all")
     grouped = scored.groupBy("uid", *keep).agg(spans)
     overlaps = lambda s, b: b["base"] & (b["start"] < s["stop"]) & (s["start"] < b["stop"])
-    return grouped.select("uid", *keep, F.filter("all", lambda s: s["base"] | ~F.exists("all", lambda b: overlaps(s, b))).alias("spans"))
+    apart = lambda found: F.filter(found, lambda s: s["base"] | ~F.exists(found, lambda b: overlaps(s, b)))
+    return grouped.select("uid", *keep, let(F.col("all"), apart).alias("spans"))
 
 
 def listed(spans: Column) -> Column:

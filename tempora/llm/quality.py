@@ -11,25 +11,27 @@ rows each. Extra columns are ignored. An empty table gives an empty ledger.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import GAP_CHARS, WORD_GAP, let, words_of
+from tempora.llm.common import GAP_CHARS, let, words_of
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Rules in bit order: name and the SQL condition, over the measurements, under which a document fails.
-RULES: tuple[tuple[str, str], ...] = (
-    ("few_words", "n_words < 20"),
-    ("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
-    ("symbols", "100 * n_symbols > 20 * n_words"),
-    ("stutter", "100 * n_stutter > 25 * n_words"),
-    ("shouting", "100 * n_upper > 60 * n_letters"),
-    ("exclaiming", "100 * n_exclaim > 60 * n_words"),
-    ("long_words", "word_chars > 40 * n_words"),
-    ("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+#: Rules in bit order: name, and the condition over the measurements under which a document fails.
+RULES: tuple[tuple[str, Callable[[Column], Column]], ...] = (
+    ("few_words", lambda m: m["n_words"] < 20),
+    ("repeated_windows", lambda m: 100 * m["n_repeat_words"] > 30 * m["n_words"]),
+    ("symbols", lambda m: 100 * m["n_symbols"] > 20 * m["n_words"]),
+    ("stutter", lambda m: 100 * m["n_stutter"] > 25 * m["n_words"]),
+    ("shouting", lambda m: 100 * m["n_upper"] > 60 * m["n_letters"]),
+    ("exclaiming", lambda m: 100 * m["n_exclaim"] > 60 * m["n_words"]),
+    ("long_words", lambda m: m["word_chars"] > 40 * m["n_words"]),
+    ("repeated_lines", lambda m: 100 * m["n_dup_lines"] > 30 * m["n_lines"]),
 )
 BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 BASE = BIT["few_words"] | BIT["repeated_windows"]
@@ -63,43 +65,46 @@ def _covered(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) < F.size(windows), let(let(pairs, repeated), total)).otherwise(F.lit(0).cast("long"))
 
 
-def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep and the measurements. Windows are compared by 64-bit hashes of 64-bit hashes of words."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    hashed = docs.select(*keep, text.alias("__text"), F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("__words"))
-    lines = F.filter(F.split(F.col("__text"), "\n", -1), lambda x: F.length(F.translate(x, GAP_CHARS, "")) > 0)
-    words, n = F.col("__words"), F.size("__words")
-    slid = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
-    none = F.array().cast("array<bigint>")
-    staged = hashed.select(
-        *keep,
-        n.cast("long").alias("n_words"),
-        F.length(F.translate("__text", GAP_CHARS, "")).cast("long").alias("word_chars"),
-        _count(F.col("__text"), SYMBOLS).cast("long").alias("n_symbols"),
-        _count(F.col("__text"), UPPER).cast("long").alias("n_upper"),
-        _count(F.col("__text"), UPPER + UPPER.lower()).cast("long").alias("n_letters"),
-        _count(F.col("__text"), "!").cast("long").alias("n_exclaim"),
-        F.size(F.filter(words, lambda h, i: F.coalesce(F.get(words, i - 1) == h, F.lit(False)))).cast("long").alias("n_stutter"),
-        lines.alias("__lines"),
-        F.when(n >= WINDOW, slid).otherwise(none).alias("__windows"),
-    )
-    return staged.select(
-        *keep,
-        *MEASURES[:3],
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        _covered(F.col("__windows")).alias("n_repeat_words"),
-        *MEASURES[5:9],
-        F.size("__lines").cast("long").alias("n_lines"),
-    )
+def measures(text: Column) -> Column:
+    """A struct of MEASURES. Windows are compared by 64-bit hashes of 64-bit hashes of words.
+
+    Words, lines and windows are bound by let() and not by columns: a filter on the result may be moved below the
+    columns it needs, and would then work them out again for each element."""
+
+    def of_words(t: Column, words: Column, lines: Column) -> Column:
+        n = F.size(words)
+        slid = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+        windows = F.when(n >= WINDOW, slid).otherwise(F.array().cast("array<bigint>"))
+        found = {
+            "n_words": n,
+            "word_chars": F.length(F.translate(t, GAP_CHARS, "")),
+            "n_symbols": _count(t, SYMBOLS),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": let(windows, _covered),
+            "n_stutter": F.size(F.filter(words, lambda h, i: F.coalesce(F.get(words, i - 1) == h, F.lit(False)))),
+            "n_upper": _count(t, UPPER),
+            "n_letters": _count(t, UPPER + UPPER.lower()),
+            "n_exclaim": _count(t, "!"),
+            "n_lines": F.size(lines),
+        }
+        return F.struct(*[v.cast("long").alias(k) for k, v in found.items()])
+
+    words = F.transform(words_of(text), lambda w: F.xxhash64(w))
+    lines = lambda t: F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, GAP_CHARS, "")) > 0)
+    bound = F.struct(F.coalesce(text, F.lit("")).alias("t"), words.alias("w"))
+    return let(bound, lambda x: let(lines(x["t"]), lambda y: of_words(x["t"], x["w"], y)))
 
 
 def ledger(docs: DataFrame, keep: list[str]) -> DataFrame:
     """keep, the measurements and fail_bits, with bit i for the i-th of RULES."""
-    bits = [F.when(F.expr(sql), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, (_, sql) in enumerate(RULES)]
-    total = bits[0]
-    for b in bits[1:]:
-        total = total.bitwiseOR(b)
-    return measure(docs, keep).withColumn("fail_bits", total)
+
+    def booked(m: Column) -> Column:
+        total = F.lit(0).cast("long")
+        for i, (_, fails) in enumerate(RULES):
+            total = total.bitwiseOR(F.when(fails(m), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+        return F.struct(*[m[k].alias(k) for k in MEASURES], total.alias("fail_bits"))
+
+    return docs.select(*keep, let(measures(F.col("text")), booked).alias("__book")).select(*keep, *[F.col(f"__book.{c}").alias(c) for c in [*MEASURES, "fail_bits"]])
 
 
 def passes(mask: int) -> Column:
@@ -108,8 +113,7 @@ def passes(mask: int) -> Column:
 
 def apply_policy(book: DataFrame, policy: str = "v1") -> DataFrame:
     """Adds base_failed and kept under a named policy."""
-    base = ~passes(BASE)
-    return book.withColumns({"base_failed": base, "kept": ~base & passes(POLICIES[policy])})
+    return book.withColumns({"base_failed": ~passes(BASE), "kept": passes(BASE | POLICIES[policy])})
 
 
 def ablations(book: DataFrame, policy: str = "v1") -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import html_extract, huffman, jaccard, mixing, pii, quality, sentencepieces, sharding, warc
+from tempora.llm import html_extract, huffman, jaccard, mixing, pii, quality, sentencepieces, sharding, topk, warc
 from tempora.llm.common import table
 
 
@@ -66,3 +66,48 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op10_jaccard_join,)}
+
+
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES |= {f.__name__: f for f in (op1_topk_search,)}
+#: In the order of their numbers.
+QUERIES = dict(sorted(QUERIES.items(), key=lambda x: int(x[0][2:].split("_")[0])))
+
+ORACLES = {
+    "op2_quality_rules": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+        n AS (SELECT *, list_transform(generate_series(1, greatest(len(w) - 7, 0)), lambda i: array_to_string(w[i:i + 7], ' ')) AS g FROM w),
+        r AS (SELECT doc_id, unnest(g) AS g, generate_subscripts(g, 1) AS i FROM n),
+        p AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM r),
+        q AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM p, generate_series(0, 7) AS s(j) WHERE c > 1 GROUP BY doc_id),
+        m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+              CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+              CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines,
+              CAST(len(list_filter(generate_series(2, len(w)), lambda i: w[i] = w[i - 1])) AS BIGINT) AS n_stutter,
+              CAST(length(regexp_replace(t, '[^A-Z]', '', 'g')) AS BIGINT) AS n_upper, CAST(length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS BIGINT) AS n_letters,
+              CAST(length(regexp_replace(t, '[^!]', '', 'g')) AS BIGINT) AS n_exclaim FROM n LEFT JOIN q USING (doc_id)),
+        b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+              CAST(CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
+              + CASE WHEN 100 * n_symbols > 20 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_stutter > 25 * n_words THEN 8 ELSE 0 END
+              + CASE WHEN 100 * n_upper > 60 * n_letters THEN 16 ELSE 0 END + CASE WHEN 100 * n_exclaim > 60 * n_words THEN 32 ELSE 0 END
+              + CASE WHEN word_chars > 40 * n_words THEN 64 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 128 ELSE 0 END AS BIGINT) AS fail_bits FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, fail_bits & 127 = 0 AS kept, fail_bits FROM b""",
+    "op7_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
+        e AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS b, d, CASE WHEN strlen(h) >= 1000 THEN max(page_id) OVER (PARTITION BY d) ELSE page_id END AS m FROM p)
+        SELECT page_id, b AS payload_bytes, d AS payload_digest, CASE WHEN m = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN m <> page_id THEN m END AS refers_to FROM e""",
+    "op1_topk_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        e AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM v),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score FROM e q JOIN e c ON q.d = c.d AND q.vec_id <> c.vec_id
+              WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
