@@ -1,4 +1,361 @@
 """Every query by name, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tempora.functions import scalars as S
+from tempora.operators import evidence, spatial, temporal
+from tempora.sources import derived
+
+Q = Callable[[SparkSession, str], DataFrame]
+YEAR, BEFORE = 0, -90
+WINDOWS = [(-700, -500), (-100, 100), (400, 500)]
+
+#: The derived inputs in SQL.
+IV = """d AS (SELECT o_custkey k, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) - 1200 f, max(o_totalprice) p, min(o_orderpriority) s FROM orders GROUP BY 1, 2),
+ w AS (SELECT k, f, CAST(floor(p) AS BIGINT) a, s, lead(f) OVER (PARTITION BY k ORDER BY f) nf FROM d),
+ iv AS (SELECT w.k, c.c_name n, CAST(w.f AS INTEGER) f, CAST(least(coalesce(w.nf - 1, w.f + 179), w.f + 364) AS INTEGER) t, w.a, w.s,
+        CASE WHEN w.s LIKE '1%' THEN 1 WHEN w.s LIKE '5%' THEN 3 ELSE 2 END tier FROM w JOIN customer c ON c.c_custkey = w.k)"""
+BOXES = IV + """, boxes AS (SELECT *, (k*37 + 7*abs(f)) % 340 - 180 x0, (k*53 + 3*abs(f)) % 160 - 90 y0, (k*37 + 7*abs(f)) % 340 - 179 + a % 20 x1, (k*53 + 3*abs(f)) % 160 - 89 + a % 10 y1 FROM iv)"""
+SERIES = "series AS (SELECT user_id AS key, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS INTEGER) AS year, count(*) AS value FROM events GROUP BY 1, 2)"
+ASR = """asr AS (SELECT concat(l_orderkey, '-', l_linenumber, '-', l_partkey) rid, concat('s', l_suppkey % 5) src, concat('g', (l_suppkey % 5) % 3) lineage, l_partkey person, l_returnflag polity, l_linestatus role,
+ CAST(year(l_shipdate) AS INTEGER) fy, CAST(year(l_shipdate) + l_linenumber % 2 AS INTEGER) ty FROM lineitem)"""
+CHK = ASR + """, chk AS (SELECT a.rid, a.src, b.rid arid, b.src asrc, a.person, a.polity, a.role, CASE WHEN a.fy = b.fy AND a.ty = b.ty THEN 'matched' ELSE 'conflict' END outcome
+ FROM asr a JOIN asr b ON a.person = b.person AND a.polity = b.polity AND a.role = b.role AND a.lineage <> b.lineage WHERE NOT (a.fy = b.fy AND a.ty = b.ty AND a.person % 10 = 0 AND a.src < b.src))"""
+SPANS = ", spans AS (SELECT k, min(f) AS first, max(t) AS last, max(a) AS peak_area, arg_max(f, struct_pack(a := a, e := -f)) AS peak_year, max(n) AS name FROM {src} GROUP BY k)"
+
+QUERIES: dict[str, Q] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Q], Q]:
+    def add(f: Q) -> Q:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def iv(s: SparkSession, d: str) -> DataFrame:
+    return derived.interval_records(s, d)
+
+
+def probes(s: SparkSession) -> DataFrame:
+    return s.range(-1300, 1500, 7).select(F.col("id").cast("int").alias("year"))
+
+
+def series_probes(s: SparkSession, d: str) -> DataFrame:
+    days = F.explode(F.sequence(F.lit(-1), F.lit(85), F.lit(2)))
+    return derived.series(s, d).select("key").distinct().select("key", days.alias("at"))
+
+
+@query("f1_snapshot", f"WITH {IV} SELECT k, n, f, t, a, s, tier FROM iv WHERE f <= 0 AND t >= 0")
+def _(s, d):
+    return temporal.active(iv(s, d), YEAR)
+
+
+@query("u1_change_years", f"WITH {IV} SELECT DISTINCT year FROM (SELECT f AS year FROM iv UNION ALL SELECT t + 1 FROM iv)")
+def _(s, d):
+    return temporal.change_years(iv(s, d))
+
+
+@query(
+    "w1_nearest_change",
+    f"""WITH {IV}, y AS (SELECT DISTINCT year FROM (SELECT f AS year FROM iv UNION ALL SELECT t + 1 FROM iv)), p AS (SELECT CAST(year AS INTEGER) AS year FROM range(-1300, 1500, 7) r(year)),
+ j AS (SELECT p.year, max(y.year) FILTER (WHERE y.year <= p.year) AS at_or_before, min(y.year) FILTER (WHERE y.year > p.year) AS after FROM p, y GROUP BY 1)
+ SELECT year, at_or_before, after, CASE WHEN at_or_before IS NULL THEN after WHEN after IS NULL OR year - at_or_before <= after - year THEN at_or_before ELSE after END AS nearest FROM j""",
+)
+def _(s, d):
+    return temporal.nearest(probes(s), temporal.change_years(iv(s, d)))
+
+
+@query("w3_in_force", f"WITH {IV}, y AS (SELECT DISTINCT year FROM (SELECT f AS year FROM iv UNION ALL SELECT t + 1 FROM iv)) SELECT year, lag(year) OVER (ORDER BY year) AS previous FROM y")
+def _(s, d):
+    return temporal.in_force(temporal.change_years(iv(s, d)))
+
+
+@query(
+    "w4_interpolation",
+    f"""WITH {SERIES}, p AS (SELECT key, CAST(probe AS INTEGER) AS probe FROM (SELECT DISTINCT key FROM series), range(-1, 86, 2) r(probe)),
+ x AS (SELECT p.key, p.probe, arg_max(year, year) FILTER (WHERE year <= probe) y0, arg_max(value, year) FILTER (WHERE year <= probe) v0, min(year) FILTER (WHERE year > probe) y1, arg_min(value, year) FILTER (WHERE year > probe) v1 FROM p JOIN series s ON s.key = p.key GROUP BY 1, 2)
+ SELECT key, probe, round(CASE WHEN y0 IS NULL THEN v1 WHEN y1 IS NULL OR y0 = probe THEN v0 WHEN v0 > 0 AND v1 > 0 THEN exp(ln(v0) + (ln(v1) - ln(v0)) * (probe - y0) / (y1 - y0)) ELSE v0 + (v1 - v0) * (probe - y0) / (y1 - y0) END, 6) AS value FROM x""",
+)
+def _(s, d):
+    return temporal.interpolate(derived.series(s, d), series_probes(s, d)).select("key", F.col("at").alias("probe"), F.round("value", 6).alias("value"))
+
+
+@query(
+    "f5_presence",
+    f"""WITH {SERIES}, p AS (SELECT key, CAST(probe AS INTEGER) AS probe FROM (SELECT DISTINCT key FROM series), range(-1, 86, 2) r(probe)),
+ x AS (SELECT p.key, p.probe, max(year) FILTER (WHERE year <= probe) y0, min(year) FILTER (WHERE year > probe) y1 FROM p JOIN series s ON s.key = p.key GROUP BY 1, 2)
+ SELECT key, probe, coalesce(CASE WHEN y0 = probe THEN TRUE WHEN y0 IS NULL THEN FALSE WHEN y1 IS NULL THEN probe <= y0 + 50 ELSE y1 - y0 <= 3 END, FALSE) AS shown FROM x""",
+)
+def _(s, d):
+    return temporal.present(derived.series(s, d), series_probes(s, d), gap=3).withColumnRenamed("at", "probe")
+
+
+@query("a9_area_by_identity", f"WITH {IV} SELECT k, CAST(sum(a) AS BIGINT) AS area FROM iv WHERE f <= 0 AND t >= 0 GROUP BY k")
+def _(s, d):
+    return temporal.area_by_identity(iv(s, d), YEAR)
+
+
+@query("a10_distinct_identities", f"WITH {IV} SELECT count(DISTINCT k) AS identities, count(*) AS records FROM iv WHERE f <= 0 AND t >= 0")
+def _(s, d):
+    return temporal.active(iv(s, d), YEAR).agg(F.count_distinct("k").alias("identities"), F.count(F.lit(1)).alias("records"))
+
+
+@query(
+    "w5_map_changes",
+    f"""WITH {IV}, b AS (SELECT k, sum(a) v FROM iv WHERE f <= -90 AND t >= -90 GROUP BY k), n AS (SELECT k, sum(a) v FROM iv WHERE f <= 0 AND t >= 0 GROUP BY k),
+ j AS (SELECT coalesce(b.k, n.k) k, b.v AS was, n.v AS seen FROM b FULL JOIN n ON b.k = n.k), l AS (SELECT k, min(f) FILTER (WHERE f > 0) back, max(t) FILTER (WHERE t < 0) last FROM iv GROUP BY k),
+ c AS (SELECT k, CASE WHEN was IS NULL THEN 'first' WHEN seen IS NULL THEN 'gone' WHEN abs(seen - was) >= 1000 THEN 'changed' END kind, CAST(coalesce(seen, 0) - coalesce(was, 0) AS BIGINT) delta FROM j)
+ SELECT c.k, kind, delta, CASE WHEN kind = 'gone' THEN back END AS returns, CASE WHEN kind = 'gone' THEN last END AS last_mapped FROM c JOIN l ON c.k = l.k WHERE kind IS NOT NULL""",
+)
+def _(s, d):
+    return temporal.map_changes(iv(s, d), BEFORE, YEAR)
+
+
+@query("a2_lifespans", f"WITH {IV}{SPANS.format(src='iv')} SELECT k, first, last, peak_area, peak_year, name FROM spans")
+def _(s, d):
+    return temporal.lifespans(iv(s, d))
+
+
+@query("a3_edge_flags", f"WITH {IV}{SPANS.format(src='iv')} SELECT k, first <= min(first) OVER () AS tstart, last >= max(last) OVER () AS tend FROM spans")
+def _(s, d):
+    return temporal.edge_flags(temporal.lifespans(iv(s, d)))
+
+
+@query("a11_density", f"WITH {IV}, e AS (SELECT unnest([f, t + 1]) AS y FROM iv) SELECT CAST(b AS INTEGER) AS bin, count(y) AS n FROM range(0, 24) r(b) LEFT JOIN e ON y > -1200 AND y < 1200 AND floor((y + 1200) * 24 / 2400.0) = b GROUP BY b")
+def _(s, d):
+    return temporal.density(iv(s, d), -1200, 1200, 24)
+
+
+@query(
+    "a12_extent_steps",
+    f"WITH {IV}, e AS (SELECT k, f AS year, a AS d FROM iv UNION ALL SELECT k, t + 1, -a FROM iv), g AS (SELECT k, year, sum(d) AS d FROM e GROUP BY 1, 2) SELECT k, year, CAST(sum(d) OVER (PARTITION BY k ORDER BY year) AS BIGINT) AS area FROM g",
+)
+def _(s, d):
+    return temporal.extent_steps(iv(s, d))
+
+
+@query("w7_top_per_key", f"WITH {IV}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY a DESC, f) AS INTEGER) AS rank FROM iv) SELECT k, rank, f, a FROM r WHERE rank <= 3")
+def _(s, d):
+    return temporal.top_per_key(iv(s, d), 3)
+
+
+@query("t2_largest", f"WITH {IV} SELECT k, CAST(sum(a) AS BIGINT) AS area FROM iv WHERE f <= 0 AND t >= 0 GROUP BY k ORDER BY area DESC, k LIMIT 8")
+def _(s, d):
+    return temporal.area_by_identity(iv(s, d), YEAR).orderBy(F.desc("area"), "k").limit(8)
+
+
+@query("w12_home_ground", f"WITH {IV}, p AS (SELECT *, max(a) OVER (PARTITION BY k) AS peak FROM iv), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY a, f) AS i FROM p WHERE a >= peak * 0.01) SELECT k, f, a FROM r WHERE i = 1")
+def _(s, d):
+    return temporal.home_ground(iv(s, d))
+
+
+@query(
+    "j4_window_split",
+    f"""WITH {IV}, c AS (SELECT k, a, tier, f, t, list_filter([-700, -499, -100, 101, 400, 501], lambda e: e > f AND e <= t) AS cuts FROM iv),
+ p AS (SELECT k, a, tier, unnest(list_concat([f], cuts)) AS f0, unnest(list_concat(list_transform(cuts, lambda e: e - 1), [t])) AS t0 FROM c)
+ SELECT k, a, tier, f0 AS f, t0 AS t, (f0 BETWEEN -700 AND -500) OR (f0 BETWEEN -100 AND 100) OR (f0 BETWEEN 400 AND 500) AS inside FROM p""",
+)
+def _(s, d):
+    return temporal.split_at(iv(s, d), WINDOWS)
+
+
+@query(
+    "j1_supersede",
+    f"WITH {IV}, n AS (SELECT * FROM iv WHERE f <= 0 AND t >= 0) SELECT k, n, f, t, a, s, tier FROM n x WHERE tier = 1 OR NOT EXISTS (SELECT 1 FROM n y WHERE y.tier = 1 AND (y.k = x.k OR y.n = x.n))",
+)
+def _(s, d):
+    return temporal.superseded(iv(s, d), YEAR)
+
+
+@query(
+    "f4_interval_overlaps",
+    f"WITH {IV}, x AS (SELECT iv.*, c_nationkey AS nation FROM iv JOIN customer ON k = c_custkey) SELECT a.k, a.f, count(*) AS overlaps FROM x a JOIN x b ON a.nation = b.nation AND a.tier = 1 AND b.tier = 3 AND a.f <= b.t AND b.f <= a.t GROUP BY 1, 2",
+)
+def _(s, d):
+    nations = derived.table(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nation"))
+    r = iv(s, d).join(nations, "k")
+    return temporal.interval_overlaps(r.where("tier = 1"), r.where("tier = 3"), on=["nation"]).groupBy(F.col("a.k").alias("k"), F.col("a.f").alias("f")).agg(F.count(F.lit(1)).alias("overlaps"))
+
+
+_OVER = "greatest(0, least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0)) * greatest(0, least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0))"
+_AB = _OVER.format(a="a", b="b")
+_DAY0 = f"WITH {BOXES}, z AS (SELECT * FROM boxes WHERE f <= 0 AND t >= 0)"
+
+
+@query("j2_tier_overlaps", f"{_DAY0} SELECT a.k AS k1, b.k AS k2, {_AB} AS shared FROM z a JOIN z b ON a.tier = 1 AND b.tier = 2 AND {_AB} > 0")
+def _(s, d):
+    return spatial.tier_overlaps(derived.boxes(s, d), YEAR)
+
+
+@query("a7_iou", f"{_DAY0} SELECT a.k AS k1, b.k AS k2, round({_AB} / CAST((a.x1-a.x0)*(a.y1-a.y0) + (b.x1-b.x0)*(b.y1-b.y0) - {_AB} AS DOUBLE), 9) AS iou FROM z a JOIN z b ON a.tier = 1 AND b.tier = 2 AND {_AB} > 0")
+def _(s, d):
+    return spatial.iou(derived.boxes(s, d), YEAR).withColumn("iou", F.round("iou", 9))
+
+
+@query(
+    "j13_point_in_box",
+    f"{_DAY0}, p AS (SELECT c_custkey AS id, (c_custkey * 31) % 340 - 180 AS x, (c_custkey * 17) % 160 - 90 AS y FROM customer), h AS (SELECT id, k, (x1-x0)*(y1-y0) AS size, row_number() OVER (PARTITION BY id ORDER BY (x1-x0)*(y1-y0), k) AS r FROM p JOIN z ON x >= x0 AND x < x1 AND y >= y0 AND y < y1) SELECT id, k, size FROM h WHERE r = 1",
+)
+def _(s, d):
+    c = F.col("c_custkey")
+    points = derived.table(s, d, "customer").select(c.alias("id"), ((c * 31) % 340 - 180).alias("x"), ((c * 17) % 160 - 90).alias("y"))
+    return spatial.containing(points, temporal.active(derived.boxes(s, d), YEAR))
+
+
+@query(
+    "j10_successors",
+    f"""WITH {BOXES}{SPANS.format(src='boxes')}, p AS (SELECT b.*, s.last + 1 AS edge FROM boxes b JOIN spans s ON b.k = s.k AND b.f = s.peak_year WHERE s.last < (SELECT max(last) FROM spans)),
+ j AS (SELECT a.k, b.n AS name, max({_AB} / CAST((a.x1-a.x0)*(a.y1-a.y0) AS DOUBLE)) AS share FROM p a JOIN boxes b ON a.k <> b.k AND b.f <= a.edge AND b.t >= a.edge AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 GROUP BY 1, 2),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY share DESC, name) AS INTEGER) AS rank FROM j WHERE share > 0.03) SELECT k, rank, name, round(share * 100, 1) AS pct FROM r WHERE rank <= 6""",
+)
+def _(s, d):
+    return spatial.successors(derived.boxes(s, d))
+
+
+@query("w9_thinning", f"{_DAY0}, r AS (SELECT k AS id, x0 AS x, y0 AS y, a AS weight, row_number() OVER (PARTITION BY floor(x0 / 13.0), floor(y0 / 13.0) ORDER BY a DESC, k) AS i FROM z) SELECT id, x, y, weight FROM r WHERE i = 1 ORDER BY weight DESC, id LIMIT 50")
+def _(s, d):
+    now = temporal.active(derived.boxes(s, d), YEAR)
+    return spatial.thinned(now.select(F.col("k").alias("id"), F.col("x0").alias("x"), F.col("y0").alias("y"), F.col("a").alias("weight")), 13, 50)
+
+
+@query("j16_reciprocal_checks", f"WITH {CHK}, m AS (SELECT DISTINCT rid, src, arid, asrc, person, polity, role FROM chk WHERE outcome = 'matched') SELECT m.* FROM m WHERE EXISTS (SELECT 1 FROM m b WHERE b.rid = m.arid AND b.src = m.asrc AND b.arid = m.rid AND b.asrc = m.src AND b.person = m.person AND b.polity = m.polity AND b.role = m.role)")
+def _(s, d):
+    return evidence.reciprocal(derived.checks(s, d))
+
+
+@query("a17_source_review", f"WITH {CHK}, r AS (SELECT src, rid, bool_or(outcome = 'matched') AS hit FROM chk GROUP BY 1, 2) SELECT src, count(*) AS checked, count(*) FILTER (WHERE hit) AS matched, count(*) >= 5 AND 10 * count(*) FILTER (WHERE hit) >= 9 * count(*) AS admitted FROM r GROUP BY src")
+def _(s, d):
+    return evidence.source_review(derived.checks(s, d))
+
+
+@query("a18_claim_lineages", f"WITH {ASR} SELECT person, polity, role, fy, ty, count(DISTINCT lineage) AS lineages, count(DISTINCT src) AS sources FROM asr GROUP BY ALL")
+def _(s, d):
+    return evidence.claims(derived.assertions(s, d))
+
+
+@query(
+    "e5_assessment",
+    f"""WITH {ASR}, c AS (SELECT person, polity, role, fy, ty, count(DISTINCT lineage) AS lineages FROM asr GROUP BY ALL)
+ SELECT c.*, CASE WHEN EXISTS (SELECT 1 FROM c r WHERE r.person = c.person AND r.polity = c.polity AND r.role = c.role AND r.fy <= c.ty AND r.ty >= c.fy AND (r.fy <> c.fy OR r.ty <> c.ty)) THEN 'disputed' WHEN lineages >= 2 THEN 'corroborated' ELSE 'single' END AS status FROM c""",
+)
+def _(s, d):
+    return evidence.assessed(derived.assertions(s, d))
+
+
+@query(
+    "w8_stratified_sample",
+    """WITH r AS (SELECT c_custkey, c_mktsegment, c_nationkey, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY sha256(CAST(c_custkey AS VARCHAR))) AS pos FROM customer)
+ SELECT c_custkey, c_mktsegment, c_nationkey, CAST(pos AS INTEGER) AS pos FROM r ORDER BY pos, sha256(concat_ws('|', c_mktsegment, c_nationkey)) LIMIT 30""",
+)
+def _(s, d):
+    return evidence.stratified(derived.table(s, d, "customer"), ["c_mktsegment", "c_nationkey"], "c_custkey", 30)
+
+
+@query(
+    "j22_nearest_start",
+    f"""WITH {IV}, l AS (SELECT k AS key, f AS id, t AS start FROM iv WHERE tier = 1), o AS (SELECT k AS key, f AS other FROM iv WHERE tier = 2),
+ j AS (SELECT l.key, id, other, abs(start - other) AS gap, min(abs(start - other)) OVER (PARTITION BY l.key, id) AS least FROM l JOIN o ON l.key = o.key)
+ SELECT key, id, CASE WHEN count(*) = 1 THEN min(other) END AS other, min(gap) AS gap FROM j WHERE gap = least GROUP BY 1, 2""",
+)
+def _(s, d):
+    r = iv(s, d)
+    return evidence.nearest_start(r.where("tier = 1").select(F.col("k").alias("key"), F.col("f").alias("id"), F.col("t").alias("start")), r.where("tier = 2").select(F.col("k").alias("key"), F.col("f").alias("other")))
+
+
+@query(
+    "a8_merged_places",
+    """WITH p AS (SELECT substr(s_name, 1, 9) AS name, (s_suppkey * 7 % 900) / 10.0 AS lat, (s_suppkey * 13 % 1800) / 10.0 AS lon, s_suppkey AS ord, s_nationkey AS year, s_acctbal AS value FROM supplier)
+ SELECT lower(name) AS key, CAST(floor(lat * 10 + 0.5) AS BIGINT) AS lat10, CAST(floor(lon * 10 + 0.5) AS BIGINT) AS lon10, year, max(value) AS value, arg_min(name, ord) AS name FROM p GROUP BY 1, 2, 3, 4""",
+)
+def _(s, d):
+    k = F.col("s_suppkey")
+    places = derived.table(s, d, "supplier").select(F.substring("s_name", 1, 9).alias("name"), (k * 7 % 900 / 10.0).alias("lat"), (k * 13 % 1800 / 10.0).alias("lon"), k.alias("ord"), F.col("s_nationkey").alias("year"), F.col("s_acctbal").alias("value"))
+    return evidence.merged_places(places)
+
+
+@query("w11_lanes")
+def _(s, d):
+    r = iv(s, d).select((F.col("k") % 50).cast("long").alias("key"), (F.col("k") * 10000 + F.col("f")).cast("long").alias("id"), "f", "t")
+    return evidence.lanes(r)
+
+
+@query("p4_name_keys", "SELECT c_custkey, regexp_replace(lower(c_name), '[^a-z]', '', 'g') AS key FROM customer")
+def _(s, d):
+    return derived.table(s, d, "customer").select("c_custkey", S.name_key(F.col("c_name")).alias("key"))
+
+
+@query("p10_year_text", f"WITH {IV} SELECT k, f, CASE WHEN f = 0 THEN '—' ELSE concat(abs(f), CASE WHEN f < 0 THEN ' BCE' ELSE ' CE' END) END AS text FROM iv")
+def _(s, d):
+    return iv(s, d).select("k", "f", S.year_text(F.col("f")).alias("text"))
+
+
+@query("p13_parsed_year", f"WITH {IV} SELECT k, f, CASE WHEN f = 0 THEN NULL ELSE f END AS year FROM iv")
+def _(s, d):
+    return iv(s, d).select("k", "f", S.parsed_year(S.year_text(F.col("f"))).alias("year"))
+
+
+@query(
+    "p15_match_score",
+    """WITH p AS (SELECT p_partkey, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS t FROM part)
+ SELECT p_partkey, CAST(CASE WHEN t = 'medium' THEN 0 WHEN starts_with(t, 'medium') THEN 1 ELSE 2 END AS DOUBLE) AS score FROM p WHERE contains(t, 'medium')""",
+)
+def _(s, d):
+    scored = derived.table(s, d, "part").select("p_partkey", S.match_score(F.col("p_type"), F.lit("medium")).alias("score"))
+    return scored.where("score IS NOT NULL")
+
+
+@query(
+    "p17_timeline_position",
+    f"""WITH {IV}, y AS (SELECT DISTINCT f AS year FROM iv) SELECT year, round(CASE WHEN year <= -500 THEN 0.07 + (year + 2000) * 0.15 / 1500 WHEN year <= 500 THEN 0.22 + (year + 500) * 0.2 / 1000 ELSE 0.42 + (year - 500) * 0.28 / 1000 END, 9) AS position FROM y""",
+)
+def _(s, d):
+    return iv(s, d).select(F.col("f").alias("year")).distinct().select("year", F.round(S.timeline_position(F.col("year")), 9).alias("position"))
+
+
+@query("p16_palette")
+def _(s, d):
+    return derived.table(s, d, "customer").select("c_custkey", S.palette_index(F.col("c_name")).alias("colour"))
+
+
+@query("g9_great_circle", "WITH p AS (SELECT c_custkey AS id, (c_custkey * 31) % 340 - 180 AS x, (c_custkey * 17) % 160 - 90 AS y FROM customer) SELECT id, round(2 * asin(least(1.0, sqrt(pow(sin((radians(48) - radians(y)) / 2), 2) + cos(radians(y)) * cos(radians(48)) * pow(sin((radians(2) - radians(x)) / 2), 2)))), 9) AS distance FROM p")
+def _(s, d):
+    c = F.col("c_custkey")
+    return derived.table(s, d, "customer").select(c.alias("id"), F.round(S.great_circle((c * 31) % 340 - 180, (c * 17) % 160 - 90, F.lit(2), F.lit(48)), 9).alias("distance"))
+
+
+@query("v1_violations", f"WITH {IV} SELECT 'reversed' AS rule, count(*) FILTER (WHERE f > t) AS violations FROM iv UNION ALL SELECT 'orphan', count(*) FROM iv WHERE k NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'overlap', count(*) FROM (SELECT f, lag(t) OVER (PARTITION BY k ORDER BY f) AS p FROM iv) WHERE p >= f")
+def _(s, d):
+    from pyspark.sql import Window
+
+    r = iv(s, d)
+    count = lambda df, rule: df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(rule).alias("rule"), "violations")
+    lapped = r.withColumn("p", F.lag("t").over(Window.partitionBy("k").orderBy("f"))).where("p >= f")
+    orphans = r.join(derived.table(s, d, "customer"), F.col("k") == F.col("c_custkey"), "left_anti")
+    return count(r.where("f > t"), "reversed").unionByName(count(orphans, "orphan")).unionByName(count(lapped, "overlap"))
+
+
+@query("a6_tier_counts", f"WITH {IV} SELECT count(*) FILTER (WHERE tier = 1) AS tier1, count(*) FILTER (WHERE tier = 2) AS tier2, count(*) FILTER (WHERE tier = 3) AS tier3, count(*) AS drawn FROM iv WHERE f <= 0 AND t >= 0")
+def _(s, d):
+    return temporal.active(iv(s, d), YEAR).agg(*[F.count_if(F.col("tier") == i).alias(f"tier{i}") for i in (1, 2, 3)], F.count(F.lit(1)).alias("drawn"))
+
+
+@query("a30_percentiles", "SELECT event_type, round(median(value), 6) AS median, round(quantile_disc(value, 0.9), 6) AS p90 FROM events GROUP BY 1")
+def _(s, d):
+    return derived.table(s, d, "events").groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"), F.round(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY value)"), 6).alias("p90"))
+
+
+@query("j35_coverage", f"WITH {IV}, r AS (SELECT k, count(*) AS n FROM iv WHERE f <= 0 AND t >= 0 GROUP BY k) SELECT CASE WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'single' ELSE 'several' END AS disposition, count(*) AS identities FROM customer LEFT JOIN r ON k = c_custkey GROUP BY 1")
+def _(s, d):
+    counts = temporal.active(iv(s, d), YEAR).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    kind = F.when(F.col("n").isNull(), "missing").when(F.col("n") == 1, "single").otherwise("several")
+    return derived.table(s, d, "customer").join(counts, F.col("c_custkey") == F.col("k"), "left").groupBy(kind.alias("disposition")).agg(F.count(F.lit(1)).alias("identities"))
