@@ -36,12 +36,12 @@ _PHONE_LOCAL = r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{
 
 #: Detectors: name, kind, pattern, and a cheap test that every text with a hit passes.
 DETECTORS = (
-    ("email", "email", _EMAIL, "contains(text, '@')"),
-    ("ip", "ip", _IP, r"text rlike '[0-9][.][0-9]+[.][0-9]+[.][0-9]'"),
-    ("card", "card", _CARD, r"text rlike '[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]'"),
-    ("phone", "phone", _PHONE, "contains(text, '+')"),
-    ("email_words", "email", _EMAIL_WORDS, "text rlike '[\\\\[({] ?(at|AT) ?[\\\\])}]'"),
-    ("phone_local", "phone", _PHONE_LOCAL, r"text rlike '[0-9]{3}[ .-][0-9]{4}'"),
+    ("email", "email", _EMAIL, "contains(__text, '@')"),
+    ("ip", "ip", _IP, r"__text rlike '[0-9][.][0-9]+[.][0-9]+[.][0-9]'"),
+    ("card", "card", _CARD, r"__text rlike '[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]'"),
+    ("phone", "phone", _PHONE, "contains(__text, '+')"),
+    ("email_words", "email", _EMAIL_WORDS, "__text rlike '[\\\\[({] ?(at|AT) ?[\\\\])}]'"),
+    ("phone_local", "phone", _PHONE_LOCAL, r"__text rlike '[0-9]{3}[ .-][0-9]{4}'"),
 )
 BASE = ("email", "ip", "card", "phone")
 CONTEXT = 32
@@ -86,11 +86,11 @@ def _checks(detector: Column, hit: Column) -> Column:
 
 def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     """A row for each hit: keep, uid, detector, kind, start, stop, hit, before, after; a text without hits has one with nulls."""
-    source = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("uid"))
+    source = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("__text"), F.monotonically_increasing_id().alias("uid"))
     none = F.lit(None).cast("array<struct<detector:int,i:int,gap:int,hit:string,before:string,after:string>>")
     found = []
     for k, (_, _, pattern, test) in enumerate(DETECTORS):
-        pair = F.struct(F.split("text", pattern, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("hits"))
+        pair = F.struct(F.split("__text", pattern, -1).alias("gaps"), F.regexp_extract_all("__text", F.lit(pattern), F.lit(0)).alias("hits"))
         rows = F.transform(
             F.array(pair),
             lambda p, k=k: F.transform(
