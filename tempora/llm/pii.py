@@ -84,6 +84,16 @@ def _checks(detector: Column, hit: Column) -> Column:
     )
 
 
+def hits_of(k: int):
+    """A function of a struct (gaps, hits) that gives the k-th detector's hits with what stands around them."""
+
+    def one(p: Column, h: Column, i: Column) -> Column:
+        before, after = F.right(p["gaps"][i], F.lit(CONTEXT)), F.left(p["gaps"][i + 1], F.lit(CONTEXT))
+        return F.struct(F.lit(k).alias("detector"), i.alias("i"), F.length(p["gaps"][i]).alias("gap"), h.alias("hit"), before.alias("before"), after.alias("after"))
+
+    return lambda p: F.transform(p["hits"], lambda h, i: one(p, h, i))
+
+
 def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     """A row for each hit: keep, uid, detector, kind, start, stop, hit, before, after; a text without hits has one with nulls."""
     source = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("__text"), F.monotonically_increasing_id().alias("uid"))
@@ -91,20 +101,7 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     found = []
     for k, (_, _, pattern, test) in enumerate(DETECTORS):
         pair = F.struct(F.split("__text", pattern, -1).alias("gaps"), F.regexp_extract_all("__text", F.lit(pattern), F.lit(0)).alias("hits"))
-        rows = F.transform(
-            F.array(pair),
-            lambda p, k=k: F.transform(
-                p["hits"],
-                lambda h, i: F.struct(
-                    F.lit(k).alias("detector"),
-                    i.alias("i"),
-                    F.length(p["gaps"][i]).alias("gap"),
-                    h.alias("hit"),
-                    F.right(p["gaps"][i], F.lit(CONTEXT)).alias("before"),
-                    F.left(p["gaps"][i + 1], F.lit(CONTEXT)).alias("after"),
-                ),
-            ),
-        )[0]
+        rows = let(pair, hits_of(k))
         found.append(F.when(F.expr(test), rows).otherwise(none))
     empty = F.array().cast("array<struct<detector:int,i:int,gap:int,hit:string,before:string,after:string>>")
     hits = source.select(*keep, "uid", F.explode_outer(F.concat(*[F.coalesce(f, empty) for f in found])).alias("h")).select(*keep, "uid", "h.*")
