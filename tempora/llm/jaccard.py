@@ -384,7 +384,7 @@ def links(sets: DataFrame) -> DataFrame:
     """A spanning part of the links between sets (k1, tokens): edges a, b that give the same components as all links."""
     width = shuffle_width(sets.sparkSession)
     blob = "bucket int, data binary"
-    buckets = 16 * width
+    buckets = 2 * width  # each map task sends at most one row to a bucket
     counted = sets.select("k1", "tokens").mapInArrow(tokens_out(buckets), blob).repartition(width, "bucket").mapInArrow(frequencies(buckets), blob)
     ordered = written(counted.repartition(width, "bucket").mapInArrow(prefixes, PREFIX), "jaccard-prefixes")
     postings = ordered.select("k1", "n", "alone", F.explode("tokens").alias("token"))
@@ -405,7 +405,7 @@ def links(sets: DataFrame) -> DataFrame:
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row, with mark, a hash of its text."""
     width = shuffle_width(docs.sparkSession)
-    buckets = 16 * width
+    buckets = 2 * width  # each map task sends at most one row to a bucket
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("mark"))
     mapped = rows.mapInArrow(first_map(buckets), FIRST).repartition(width, "bucket").mapInArrow(first_count, FIRST)
     first = written(mapped.drop("bucket", "data"), "jaccard-first")
