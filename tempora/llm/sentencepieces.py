@@ -5,7 +5,7 @@ input composed with them is a lattice over its characters, and its ids are the t
 In a unigram model an arc weighs minus its piece's score. In a BPE model a state is a position with the piece that
 ends there, and an arc weighs nothing if merging leaves that piece and the arc's own apart, and infinitely much if
 it joins them: a segmentation is the one that merging makes just if each two neighbours are left apart. Whether they are
-is found by merging the two alone, once for each pair.
+is found by undoing the merges of the two, latest first, and remembered. Short texts are solved side by side in arrays.
 
 Pieces never hold a space after another character, so the lattice falls apart at each space that follows one;
 the parts are solved once each and remembered.
@@ -32,12 +32,194 @@ from tempora.llm.pieces import PieceEncoder, flattened
 SPACE = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
-#: Starts of texts, of up to SHARED characters, whose last piece is remembered.
-SHARED, MOST_ENDS = 12, 600_000
+#: Pairs of pieces that a worker remembers, and the longest piece of text that is solved side by side with others.
+MOST_PAIRS, SIDE_BY_SIDE = 500_000, 32
 _CHUNK = re.compile(r"\s*\S+|\s+")
 _CODERS: dict[str, Transducer] = {}
 
 
+class IntTable:
+    """Values of whole numbers from 0 up: open addressing in arrays, for many keys at a time."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, room: int = 0):
+        self.bits = max(8, int(2 * max(room, len(keys), 1)).bit_length() + 1)
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.values = np.zeros(1 << self.bits, dtype=np.int32)
+        self.n = 0
+        self.put(keys, values)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds keys that differ from each other and from those held."""
+        self.n += len(keys)
+        at, last = self.slots(keys), (1 << self.bits) - 1
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            mine = self.keys[at] == keys
+            self.values[at[mine]] = values[mine]
+            keys, values, at = keys[~mine], values[~mine], (at[~mine] + 1) & last
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, and -1 for keys that are not held."""
+        out, at, last = np.full(len(keys), -1, dtype=np.int64), self.slots(keys), (1 << self.bits) - 1
+        held = self.keys[at]
+        hit = held == keys
+        out[hit] = self.values[at[hit]]
+        left = np.flatnonzero(~hit & (held >= 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & last
+            held = self.keys[at]
+            hit = held == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            go = ~hit & (held >= 0)
+            left, at = left[go], at[go]
+        return out
+
+
+class SideBySide:
+    """The lattices of many short texts of a BPE model at a time: a walk through the trie of the pieces from each
+    character, then one step for each end and length of arc. A character that is no piece stands alone and is spelt at the end."""
+
+    def __init__(self, fst: Transducer):
+        # A state is a piece or a start of one; 0 is the start of all.
+        ids, merge = fst.ids, fst.last_merge
+        usable = [p for p in ids if len(p) == 1 or merge(p)]
+        self.chars = np.full(0x110000, -1, dtype=np.int64)
+        single = [p for p in usable if len(p) == 1]
+        self.chars[[ord(p) for p in single]] = np.arange(len(single))
+        self.letters, self.odd = len(single) + 1, fst.width.size
+        self.spelt = lambda c: [fst.bytes[b] for b in chr(c).encode("utf-8", "replace")] if fst.fallback else [fst.unknown]
+        code = {p: i for i, p in enumerate(single)}
+        state: dict[str, int] = {"": 0}
+        keys, piece = [], [-1]
+        for p in usable:
+            for i in range(len(p)):
+                if p[: i + 1] not in state:
+                    keys.append(state[p[:i]] * self.letters + code[p[i]])
+                    state[p[: i + 1]] = len(state)
+                    piece.append(-1)
+            piece[state[p]] = ids[p]
+        keys.append(self.letters - 1)
+        piece.append(self.odd)
+        state["\0odd"] = len(state)
+        self.trie = IntTable(np.array(keys, dtype=np.int64), np.arange(1, len(state)))
+        self.piece = np.array(piece, dtype=np.int64)
+        size = fst.width.size + 1
+        self.length = np.zeros(size, dtype=np.int64)
+        self.length[self.odd] = 1
+        # Merges in order of score; a single character has no merge and comes before all.
+        self.rank, self.left, self.right = (np.full(size, -1, dtype=np.int64) for _ in range(3))
+        order = sorted((p for p in usable if len(p) > 1), key=lambda p: -fst.score[p])
+        for p in usable:
+            self.length[ids[p]] = len(p)
+        pairs = []
+        for r, p in enumerate(order):
+            x, y = merge(p)
+            self.rank[ids[p]], self.left[ids[p]], self.right[ids[p]] = r, ids[x], ids[y]
+        # Any two pieces whose letters make a piece can merge, also where that is not how it is made first.
+        for p in usable:
+            for i in range(1, len(p)):
+                x, y = ids.get(p[:i]), ids.get(p[i:])
+                if x is not None and y is not None:
+                    pairs.append((x * size + y, self.rank[ids[p]]))
+        self.size = size
+        self.merges = IntTable(*np.array(pairs, dtype=np.int64).reshape(-1, 2).T)
+        self.forget()
+
+    def forget(self) -> None:
+        self.pairs = IntTable(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), MOST_PAIRS)
+
+    def stay_apart(self, keys: np.ndarray) -> np.ndarray:
+        """Whether merging leaves the two pieces of each key apart. Merges of each happen in order of rank, so the later
+        one is undone first; a merge across that ranks before what was undone came first, of equals the left one."""
+        x, y = keys // self.size, keys % self.size
+        limit = np.full(len(keys), 1 << 40, dtype=np.int64)
+        fine, left = np.ones(len(keys), dtype=bool), np.arange(len(keys))
+        while len(left):
+            across = self.merges.get(x * self.size + y)
+            joins = (across >= 0) & (across < limit)
+            fine[left[joins]] = False
+            rx, ry = self.rank[x], self.rank[y]
+            go = ~joins & ((rx >= 0) | (ry >= 0))
+            x, y, rx, ry, left = x[go], y[go], rx[go], ry[go], left[go]
+            first = rx > ry
+            # Of equal merges the left one happens first, so the right one is undone first.
+            limit = np.where(first, rx, ry + 1)
+            x, y = np.where(first, self.right[x], x), np.where(first, y, self.left[y])
+        return fine
+
+    def apart(self, keys: np.ndarray) -> np.ndarray:
+        got = self.pairs.get(keys)
+        new = got < 0
+        if new.any():
+            fresh = np.unique(keys[new])
+            if self.pairs.n + len(fresh) > MOST_PAIRS:
+                self.forget()
+            told = self.stay_apart(fresh)
+            if len(fresh) <= MOST_PAIRS:
+                self.pairs.put(fresh, told.astype(np.int64))
+            got[new] = told[np.searchsorted(fresh, keys[new])]
+        return got > 0
+
+    def __call__(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and all ids, given the code points of all texts one after another and their counts in each text."""
+        code, total = self.chars[points], len(points)
+        code[code < 0] = self.letters - 1
+        ends = np.cumsum(sizes)
+        depth = np.arange(total) - np.repeat(ends - sizes, sizes)  # characters before this one in its text
+        room = np.repeat(sizes, sizes) - depth
+        arcs: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(int(sizes.max(initial=0)) + 1)]
+        at, state, n = np.arange(total), np.zeros(total, dtype=np.int64), 0
+        while len(at):
+            state = self.trie.get(state * self.letters + code[at + n])
+            n += 1
+            found = np.flatnonzero(state >= 0)
+            found = found[self.piece[state[found]] >= 0]
+            to = at[found] + n - 1
+            order = np.argsort(depth[to], kind="stable")
+            to, ids = to[order], self.piece[state[found]][order]
+            cuts = np.searchsorted(depth[to], np.arange(len(arcs)))
+            for d in range(len(arcs) - 1):
+                if cuts[d] < cuts[d + 1]:
+                    arcs[d].append((to[cuts[d] : cuts[d + 1]], ids[cuts[d] : cuts[d + 1]]))
+            go = (state >= 0) & (room[at] > n)
+            at, state = at[go], state[go]
+        last = np.full(total, -1, dtype=np.int64)
+        for d, held in enumerate(arcs):
+            for to, ids in reversed(held):
+                free = last[to] < 0
+                to, ids = to[free], ids[free]
+                begin = to - self.length[ids]
+                whole = self.length[ids] == d + 1
+                fine = whole.copy()
+                before = last[begin[~whole]]
+                fine[~whole] = self.apart(before * self.size + ids[~whole])
+                last[to[fine]] = ids[fine]
+        on_path = np.zeros(total, dtype=bool)
+        at, begin = ends - 1, ends - sizes
+        while len(at):
+            on_path[at] = True
+            at = at - self.length[last[at]]
+            go = at >= begin
+            at, begin = at[go], begin[go]
+        out, copies = last[on_path].astype(np.uint32), on_path.astype(np.int64)
+        odd = out == self.odd
+        if odd.any():
+            seen, which = np.unique(points[on_path][odd], return_inverse=True)
+            spelt = [self.spelt(int(c)) for c in seen]
+            times = np.ones(len(out), dtype=np.int64)
+            times[odd] = np.array([len(x) for x in spelt])[which]
+            copies[on_path] = times
+            out, odd = np.repeat(out, times), np.repeat(odd, times)
+            out[odd] = np.array([i for w in which for i in spelt[w]], dtype=np.uint32)
+        return np.diff(np.concatenate([[0], np.cumsum(copies)])[ends], prepend=0), out
+
+
 class Transducer:
     """encode(text) and decode(ids) of a model file."""
 
@@ -62,7 +244,7 @@ class Transducer:
         self.longest = max(map(len, self.ids))
         self.spaced = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.apart: dict[tuple[str, str], bool] = {}
-        self.ends: dict[str, str] = {}
+        self.many: SideBySide | None = None
         surface = [b""] * len(model.pieces)
         for piece, i in self.ids.items():
             surface[i] = piece.replace(SPACE, " ").encode()
@@ -86,10 +268,43 @@ class Transducer:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def last_merge(self, piece: str) -> tuple[str, str] | None:
+        """The two parts that merging joins last to make the piece; None if merging does not make it."""
+        parts = list(piece)
+        while len(parts) > 2:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                s = self.score.get(parts[i] + parts[i + 1])
+                if s is not None and (best is None or s > best):
+                    best, at = s, i
+            if best is None:
+                return None
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return (parts[0], parts[1]) if len(parts) == 2 else None
+
+    def runs(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and all ids of normalised pieces."""
+        if self.kind != BPE or not pieces:
+            return flattened([self.path(p) for p in pieces])
+        if self.many is None:
+            self.many = SideBySide(self)
+        counts = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        points = np.frombuffer("".join(pieces).encode("utf-32-le"), dtype="<u4")
+        odd = counts > SIDE_BY_SIDE
+        sizes, flat = self.many(points[np.repeat(~odd, counts)], counts[~odd])
+        if not odd.any():
+            return sizes, flat
+        others, rest = flattened([self.path(pieces[i]) for i in np.flatnonzero(odd)])
+        every = np.empty(len(pieces), dtype=np.int64)
+        every[~odd], every[odd] = sizes, others
+        out, mine = np.empty(len(flat) + len(rest), dtype=np.uint32), np.repeat(odd, every)
+        out[~mine], out[mine] = flat, rest
+        return every, out
+
     def left_apart(self, a: str, b: str) -> bool:
         got = self.apart.get((a, b))
         if got is None:
-            if len(self.apart) > 2_000_000:
+            if len(self.apart) > MOST_PAIRS // 10:
                 self.apart.clear()
             got = self.apart[a, b] = self.merged(a + b) == [a, b]
         return got
@@ -100,22 +315,13 @@ class Transducer:
         last: list[str] = [""] * (n + 1)
         known, get, apart = self.score, self.apart.get, self.left_apart
         if self.kind == BPE:
-            # The last piece of a start of the text depends on nothing else, and many texts share their starts.
-            ends = self.ends
-            if len(ends) > MOST_ENDS:
-                ends.clear()
             for end in range(1, n + 1):
-                if end <= SHARED and (piece := ends.get(text[:end])):
-                    last[end] = piece
-                    continue
                 for begin in range(max(0, end - self.longest), end):
                     piece = text[begin:end]
                     if piece in known or begin == end - 1:
                         before = last[begin]
                         if not begin or (get((before, piece)) if (before, piece) in self.apart else apart(before, piece)):
                             last[end] = piece
-                            if end <= SHARED:
-                                ends[text[:end]] = piece
                             break
         else:
             cost = [0.0] + [float("inf")] * n
@@ -172,7 +378,7 @@ def coder(path: str) -> tuple[Transducer, PieceEncoder]:
     """One for each worker."""
     if path not in _CODERS:
         fst = Transducer(path)
-        runs = lambda pieces: flattened([fst.path(p.replace(" ", SPACE)) for p in pieces])
+        runs = lambda pieces: fst.runs([p.replace(" ", SPACE) for p in pieces])
         _CODERS[path] = (fst, PieceEncoder(lambda texts: [fst.encode(t) for t in texts], runs))
     return _CODERS[path]
 

@@ -120,6 +120,23 @@ def test_sentencepiece(docs, empty):
     assert sentencepieces.encoded(empty, path).count() == 0
 
 
+def test_lattices_side_by_side():
+    import random
+
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, fst, rng = sentencepiece.SentencePieceProcessor(model_file=path), sentencepieces.Transducer(path), random.Random(3)
+    names = sorted(fst.ids)
+    pieces = ["▁" + "".join(rng.choice(["a", "n", "in", "é", "日", "\n", "x" * 40, "𝒳", "0", rng.choice(names)]) for _ in range(rng.randrange(1, 9))) for _ in range(4000)]
+    sizes, ids = fst.runs(pieces)
+    at = np.cumsum(sizes) - sizes
+    assert [ids[a : a + n].tolist() for a, n in zip(at, sizes, strict=True)] == [sp.encode(p[1:]) for p in pieces]
+    keys = np.array([rng.randrange(len(names)) for _ in range(8000)]).reshape(-1, 2)
+    told = fst.many.stay_apart(np.array([fst.ids[names[a]] * fst.many.size + fst.ids[names[b]] for a, b in keys]))
+    assert told.tolist() == [fst.merged(names[a] + names[b]) == [names[a], names[b]] for a, b in keys]
+
+
 def spans(t):
     luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
     kinds = [
