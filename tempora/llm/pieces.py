@@ -9,13 +9,14 @@ their ids are laid out for all documents with array operations. Texts with other
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers; with more it starts anew.
-MOST_PIECES = 900_000
+MOST_PIECES = 600_000
 
 
 def flattened(lists: list) -> tuple[np.ndarray, np.ndarray]:
@@ -34,7 +35,7 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at: tuple[dict[str, int], dict[str, int]] = {}, {}  # of pieces at the start, and after a space
         self.flat = np.array(self.end, dtype=np.uint32)
         self.starts = np.zeros(1, dtype=np.int64)
         self.sizes = np.array([len(self.end)], dtype=np.int64)
@@ -46,23 +47,23 @@ class PieceEncoder:
 
     def add(self, pieces: list[str], spaced: bool) -> np.ndarray:
         """The numbers of the pieces in the memory; -1 for those that don't stand alone."""
-        keys = [p if p[:1] == "\n" else " " + p for p in pieces] if spaced else pieces
-        at = self.at
-        new = [k for k, p in zip(keys, pieces, strict=True) if k not in at]
-        if new:
-            good = [k for k in dict.fromkeys(new) if self.stands_alone(k[1:] if spaced and k[0] == " " else k)]
-            sizes, flat = (self.runs(good) if spaced else flattened(self.whole(good))) if good else flattened([])
+        at = self.at[spaced]
+        numbers = np.fromiter(map(at.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
+        missed = np.flatnonzero(numbers < 0).tolist()
+        new = [pieces[i] for i in missed]
+        good = [p for p in dict.fromkeys(new) if p and (p.strip() == p or self.stands_alone(p))]
+        if good:
+            sizes, flat = self.runs([p if p[0] == "\n" else " " + p for p in good]) if spaced else flattened(self.whole(good))
             n = len(self.sizes)
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
             self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
             at.update(zip(good, range(n, n + len(good)), strict=True))
-            for k in new:
-                at.setdefault(k, -1)
-        return np.fromiter((at[k] for k in keys), dtype=np.int64, count=len(keys))
+            numbers[missed] = np.fromiter(map(at.get, new, repeat(-1)), dtype=np.int64, count=len(new))
+        return numbers
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and for each text the offset of its first, with the end at last."""
-        if len(self.at) > MOST_PIECES:
+        if len(self.sizes) > MOST_PIECES:
             self.clear()
         n = len(texts)
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
