@@ -38,8 +38,8 @@ MAGIC = b"TPH1"
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
-#: Pieces that go to the library as one string.
-RUN_PIECES = 5000
+#: Pieces that go to the library as one string; longer strings are slower.
+RUN_PIECES = 200
 
 
 def library_encoder(path: str, end: int | None) -> PieceEncoder:
@@ -82,30 +82,39 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_
 
 
 def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """doc_id and ids, as little-endian unsigned 32-bit integers with the end id last."""
+    """doc_id and ids, as little-endian unsigned 32-bit integers with the end id last; and for each task a row whose
+    counts alone is set: how often it gave each id, as little-endian 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = library_encoder(path, end)
+        encode, total = library_encoder(path, end), np.zeros(0, dtype="<i8")
         for batch in small_batches(batches, "text"):
             ids, offsets = encode(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), binary_column(ids.astype("<u4"), offsets)], ["doc_id", "ids"])
+            got = np.bincount(ids, minlength=len(total)).astype("<i8")
+            got[: len(total)] += total
+            total = got
+            rows = [batch.column("doc_id").cast(pa.int64()), binary_column(ids.astype("<u4"), offsets), pa.nulls(batch.num_rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(rows, ["doc_id", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.large_binary()), pa.array([total.tobytes()])], ["doc_id", "ids", "counts"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
-def global_counts(ids: DataFrame) -> dict[int, int]:
+def global_counts(counts: DataFrame) -> dict[int, int]:
     """How often each id occurs in all documents; as many rows as the vocabulary has ids reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            got = np.bincount(np.concatenate([np.zeros(0, dtype="<u4"), *(np.frombuffer(x, dtype="<u4") for x in batch.column(0).to_pylist())]).astype(np.int64), minlength=len(total))
-            got[: len(total)] += total
-            total = got
+            for row in batch.column(0).to_pylist():
+                got = np.frombuffer(row, dtype="<i8")
+                wide = np.zeros(max(len(got), len(total)), dtype=np.int64)
+                wide[: len(total)] += total
+                wide[: len(got)] += got
+                total = wide
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
-    counted = ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = counts.select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return {r[0]: r[1] for r in counted.collect()}
 
 
@@ -217,7 +226,7 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, end: int = 0) -> None
     """Tokenises docs and writes codebook and segments under path."""
     spark: SparkSession = docs.sparkSession
     ids = written(tokenised(docs, vocabulary, end), "token-ids")
-    lengths = code_lengths(global_counts(ids))
+    lengths = code_lengths(global_counts(ids.where("counts IS NOT NULL")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part, start = Code(lengths), TaskContext.get().partitionId(), 0
@@ -239,7 +248,7 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, end: int = 0) -> None
         if held:
             yield segment()
 
-    ordered = ids.repartitionByRange(shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = ids.where("counts IS NULL").select("doc_id", "ids").repartitionByRange(shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(run, "part int, start_in_part long, n_tokens long, payload binary").write.option("compression", "none").parquet(f"{path}/segments")
     spark.createDataFrame(sorted(lengths.items()), "id long, bits int").coalesce(1).write.parquet(f"{path}/codebook")
     drop_scratch(ids)
