@@ -359,3 +359,6 @@ def _(s, d):
     counts = temporal.active(iv(s, d), YEAR).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     kind = F.when(F.col("n").isNull(), "missing").when(F.col("n") == 1, "single").otherwise("several")
     return derived.table(s, d, "customer").join(counts, F.col("c_custkey") == F.col("k"), "left").groupBy(kind.alias("disposition")).agg(F.count(F.lit(1)).alias("identities"))
+
+
+from tempora.plans import identities  # noqa: E402, F401  registers more queries
