@@ -157,7 +157,8 @@ def first_map(buckets: int) -> Callable:
             for doc_id, mark, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(1)), strict=True):
                 k1, k2 = set_keys(s)
                 n = len(s)
-                rows.append({"bucket": k1 % buckets, "doc_id": doc_id, "mark": mark, "n": n, "k1": k1, "k2": k2})
+                # Documents only pass through the count: dealt by doc_id, so that copies don't meet in one task.
+                rows.append({"bucket": hash((doc_id or 0, mark)) % buckets, "doc_id": doc_id, "mark": mark, "n": n, "k1": k1, "k2": k2})
                 if n:
                     tokens.append(s[: n - least_overlap(n) + first_matches(n)])
                     keys.append(k1)
