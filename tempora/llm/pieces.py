@@ -27,10 +27,10 @@ def flattened(lists: list) -> tuple[np.ndarray, np.ndarray]:
 
 class PieceEncoder:
     """whole(texts) gives the ids of each text; runs(pieces) gives the sizes and all ids of pieces that start with
-    white space and may stand side by side; end is an id that closes each document."""
+    white space and may stand side by side; end is an id that closes each document, and most the pieces that are remembered."""
 
-    def __init__(self, whole: Callable[[list[str]], list], runs: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None, end: int | None = None):
-        self.whole, self.end = whole, [] if end is None else [end]
+    def __init__(self, whole: Callable[[list[str]], list], runs: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None, end: int | None = None, most: int = MOST_PIECES):
+        self.whole, self.end, self.most = whole, [] if end is None else [end], most
         self.runs = runs or (lambda pieces: flattened(whole(pieces)))
         self.clear()
 
@@ -63,7 +63,7 @@ class PieceEncoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and for each text the offset of its first, with the end at last."""
-        if len(self.sizes) > MOST_PIECES:
+        if len(self.sizes) > self.most:
             self.clear()
         n = len(texts)
         texts = pc.fill_null(texts.cast(pa.large_string()), "")

@@ -34,6 +34,8 @@ NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Pairs of pieces that a worker remembers, and the longest piece of text that is solved side by side with others.
 MOST_PAIRS, SIDE_BY_SIDE = 500_000, 32
+#: Pieces of text that a worker remembers, and bytes of text that it encodes at a time: both bound its memory.
+MOST_PIECES, BATCH = 100_000, 1_000_000
 _CHUNK = re.compile(r"\s*\S+|\s+")
 _CODERS: dict[str, Transducer] = {}
 
@@ -379,7 +381,7 @@ def coder(path: str) -> tuple[Transducer, PieceEncoder]:
     if path not in _CODERS:
         fst = Transducer(path)
         runs = lambda pieces: fst.runs([p.replace(" ", SPACE) for p in pieces])
-        _CODERS[path] = (fst, PieceEncoder(lambda texts: [fst.encode(t) for t in texts], runs))
+        _CODERS[path] = (fst, PieceEncoder(lambda texts: [fst.encode(t) for t in texts], runs, most=MOST_PIECES))
     return _CODERS[path]
 
 
@@ -388,7 +390,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, encode = coder(path)
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", BATCH):
             ids, offsets = encode(batch.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets)), lists], ["doc_id", "n_tokens", "ids"])
@@ -418,7 +420,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst, encode = coder(path)
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", BATCH):
             ids, offsets = encode(batch.column("text"))
             data, bounds = fst.decode_all(ids.astype(np.int64), offsets)
             raw, coded = memoryview(data.tobytes()), memoryview(ids.astype("<u4")).cast("B")
