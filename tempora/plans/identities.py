@@ -17,7 +17,7 @@ RULES = [
 ]
 RECORDS = "rec AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS source, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'credit' END AS type, CASE WHEN c_custkey % 3 = 0 THEN 'a;b' ELSE ' ' END AS components, c_nationkey AS from_year, CAST(NULL AS VARCHAR) AS wikidata, CAST(0 AS INTEGER) AS f, CAST(9 AS INTEGER) AS t FROM customer)"
 ROWS = ASR + ', claim AS (SELECT rid AS id, min(src) AS src, min(lineage) AS lineage, min(polity) AS polity, min(person) AS person, min(role) AS role, min(fy) AS "from", min(ty) AS "to" FROM asr GROUP BY rid)'
-OPEN = ROWS + """, part_known AS (SELECT * REPLACE (CASE WHEN hash_digit = 0 THEN NULL ELSE "to" END AS "to") FROM (SELECT *, ascii(right(id, 1)) % 4 AS hash_digit FROM claim))"""
+OPEN = ROWS + """, part_known AS (SELECT * REPLACE (CASE WHEN hash_digit = 0 THEN NULL ELSE "to" END AS "to") FROM (SELECT *, ascii(left(id, 1)) % 4 AS hash_digit FROM claim))"""
 
 
 def records(s, d):
@@ -35,7 +35,7 @@ def claim_rows(s, d):
 
 
 def open_rows(s, d):
-    return claim_rows(s, d).withColumn("to", F.when(F.ascii(F.right("id", F.lit(1))) % 4 == 0, None).otherwise(F.col("to")))
+    return claim_rows(s, d).withColumn("to", F.when(F.ascii(F.left("id", F.lit(1))) % 4 == 0, None).otherwise(F.col("to")))
 
 
 @query(
@@ -70,14 +70,14 @@ def _(s, d):
 
 @query(
     "j8_only_in_one",
-    """WITH l AS (SELECT DISTINCT p_name AS name FROM part WHERE p_size > 3), r AS (SELECT DISTINCT upper(p_name) AS name FROM part WHERE p_size < 48 AND p_brand <> 'Brand#1' AND p_partkey % 5 = 0),
+    """WITH l AS (SELECT DISTINCT p_name AS name FROM part WHERE p_name < 'red'), r AS (SELECT DISTINCT upper(p_name) AS name FROM part WHERE p_name > 'hot'),
  a AS (SELECT name FROM l WHERE regexp_replace(lower(name), '[^a-z]', '', 'g') NOT IN (SELECT regexp_replace(lower(name), '[^a-z]', '', 'g') FROM r) ORDER BY name LIMIT 25),
  b AS (SELECT name FROM r WHERE regexp_replace(lower(name), '[^a-z]', '', 'g') NOT IN (SELECT regexp_replace(lower(name), '[^a-z]', '', 'g') FROM l) ORDER BY name LIMIT 25)
  SELECT 'left' AS side, name FROM a UNION ALL SELECT 'right', name FROM b""",
 )
 def _(s, d):
     p = derived.table(s, d, "part")
-    return rules.only_in_one(p.where("p_size > 3").select(F.col("p_name").alias("name")), p.where("p_size < 48 AND p_brand <> 'Brand#1' AND p_partkey % 5 = 0").select(F.upper("p_name").alias("name")))
+    return rules.only_in_one(p.where("p_name < 'red'").select(F.col("p_name").alias("name")), p.where("p_name > 'hot'").select(F.upper("p_name").alias("name")))
 
 
 @query("s10_active_sources", "SELECT s_suppkey, CAST(s_suppkey % 3 + 1 AS INTEGER) AS tier FROM supplier WHERE s_suppkey % 3 < 2 AND s_nationkey * 10 - 150 <= 0 AND (s_suppkey % 4 = 0 OR s_nationkey * 10 >= 40)")
