@@ -22,16 +22,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component, and of rows that are equal in it one.
+    """One row of each component: the smallest doc_id, null last, then the smallest hash of the text; of rows that are equal
+    in both the one that is smallest in its other columns.
 
     What stays is told by doc_id and a hash of the text; documents without shingles all stay."""
-    found = jaccard.join(docs)
-    whole = found.where(F.col("n_shingles") > 0)
-    kept = whole.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("doc_id", "mark")).alias("one"))
-    drop = whole.select("doc_id", "mark", "component_id").distinct().join(kept, F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("mark") == F.col("one.mark")), "left_anti")
+    same = lambda a, b: (F.col(f"{a}.mark") == F.col(f"{b}.mark")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
+    alike = jaccard.join(docs).where("n_shingles > 0").groupBy("component", "doc_id", "mark").agg(F.count(F.lit(1)).alias("copies"))
+    alike = written(alike, "pipeline-alike")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark", "copies")
+    kept = written(alike.groupBy("component").agg(F.min(first).alias("one")).select("one.doc_id", "one.mark", "one.copies"), "pipeline-kept")
+    # Copies that are equal in doc_id and text are few as a rule, so that this table is read once more for them alone.
+    repeated = written(kept.where("copies > 1").select("doc_id", "mark"), "pipeline-repeated")
+    drop = alike.alias("a").join(kept.alias("k"), same("a", "k"), "left_anti").select("doc_id", "mark").unionByName(repeated)
     rows = docs.withColumn("mark", F.xxhash64(F.col("text").cast("string")))
-    left = rows.alias("r").join(drop.alias("d"), (F.col("r.mark") == F.col("d.mark")) & F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")), "left_anti")
-    return left.select(*COLUMNS)
+    left = rows.alias("r").join(drop.alias("d"), same("r", "d"), "left_anti").select(*COLUMNS)
+    copies = rows.alias("r").join(repeated.alias("d"), same("r", "d"), "left_semi")
+    single = copies.groupBy("doc_id", "mark").agg(F.min(F.struct(*COLUMNS)).alias("one")).select("one.*")
+    return left.unionByName(single)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -404,7 +404,8 @@ def links(sets: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row, with mark, a hash of its text."""
+    """doc_id, n_shingles and component_id of each row, with mark, a hash of its text, and component, which tells components
+    apart whose component_id is the same or null; rows without shingles have none."""
     width = shuffle_width(docs.sparkSession)
     buckets = 2 * width  # each map task sends at most one row to a bucket
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("mark"))
@@ -423,6 +424,6 @@ def join(docs: DataFrame) -> DataFrame:
     labels = components(links(full)).withColumnRenamed("node", "k1")
     named = written(sets.select("k1", "least").join(labels, "k1", "left").withColumn("component", F.coalesce("component", "k1")), "jaccard-named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = named.join(least, "component").select("k1", "component_id")
+    known = named.join(least, "component").select("k1", "component", "component_id")
     joined = own.join(known, "k1", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "mark")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "mark", "component")

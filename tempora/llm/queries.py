@@ -63,7 +63,7 @@ QUERIES |= {f.__name__: f for f in (op9_html_extraction,)}
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents")).drop("mark")
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("mark", "component")
 
 
 QUERIES |= {f.__name__: f for f in (op10_jaccard_join,)}

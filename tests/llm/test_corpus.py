@@ -249,3 +249,36 @@ def test_topk(spark):
             want.update((i, rank + 1, j, -s) for rank, (s, j) in enumerate(best))
     assert Counter((q, *x) for q, xs in got.items() for x in xs) == want
     assert topk.search(table.where("false")).count() == 0
+
+
+def test_one_row_of_a_component_stays(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    other = [f"o{i}" for i in range(60)]
+    rows = [
+        (None, " ".join(BASE[::-1]), "x"), (None, " ".join(other), "x"), (None, " ".join(other), "x"), (None, " ".join(["new", *other]), "x"),  # components without an id
+        (3, "some text that has nothing in common with the other one of this id", "y"), (20, " ".join(BASE[20:]), "z"), (21, " ".join(BASE[20:]), "a"), (21, " ".join(BASE[20:]), "b"),
+        (30, "one row that stands here three times over and over", "b"), (30, "one row that stands here three times over and over", "a"), (30, "one row that stands here three times over and over", "a"),
+        (31, None, "n"), (31, None, "n"), (None, "", "n"),
+    ]
+    extra = spark.createDataFrame([(d, t, "xx", s, len(t or "")) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    every = [*DOCS, *rows]
+    docs.select(*corpus_pipeline.COLUMNS).unionByName(extra).write.parquet(str(tmp_path / "documents.parquet"))
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    low = [words((t or "").translate(str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)}))) for _, t, _ in every]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in low]
+    label = list(range(len(every)))
+    for i in range(len(every)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if sets[i] and 100 * common >= 80 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    marks = [r.m for r in spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(every)], "i long, t string").orderBy("i").select(F.xxhash64("t").alias("m")).collect()]
+    best = {}
+    for i, (d, t, s) in enumerate(every):
+        if sets[i]:
+            best[label[i]] = min(best.get(label[i], (True, 1e30, 1e30, "~", i)), (d is None, d or 0, marks[i], s or "", i))
+    want = Counter(every[x[-1]] for x in best.values()) + Counter(every[i] for i in range(len(every)) if not sets[i])
+    got = corpus_pipeline.near_duplicates(spark, table, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == want
+    assert corpus_pipeline.near_duplicates(spark, table.where("false"), str(tmp_path)).count() == 0
