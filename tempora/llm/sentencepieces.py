@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,9 @@ UNIGRAM, BPE = 1, 2
 MOST_PAIRS, SIDE_BY_SIDE = 500_000, 32
 #: Pieces of text that a worker remembers, and bytes of text that it encodes at a time: both bound its memory.
 MOST_PIECES, BATCH = 100_000, 1_000_000
-_CHUNK = re.compile(r"\s*\S+|\s+")
-_CODERS: dict[str, Transducer] = {}
+#: Cut only at spaces: pieces do hold other white space after another character, as ".\r".
+_CHUNK = re.compile(r" *[^ ]+| +")
+_CODERS: dict[str, tuple[Transducer, Callable]] = {}
 
 
 class IntTable:
@@ -245,6 +246,7 @@ class Transducer:
         self.fallback = model.trainer_spec.byte_fallback
         self.longest = max(map(len, self.ids))
         self.spaced = any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        self.lined = any("\n" in p[1:] for p in self.ids)
         self.apart: dict[tuple[str, str], bool] = {}
         self.many: SideBySide | None = None
         surface = [b""] * len(model.pieces)
@@ -376,12 +378,18 @@ class Transducer:
         return data.tobytes().decode("utf-8", "replace")
 
 
-def coder(path: str) -> tuple[Transducer, PieceEncoder]:
-    """One for each worker."""
+def coder(path: str) -> tuple[Transducer, Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]]:
+    """One for each worker. A model with pieces across the cuts of PieceEncoder gets whole texts."""
     if path not in _CODERS:
         fst = Transducer(path)
+        whole = lambda texts: [fst.encode(t or "") for t in texts]
+
+        def uncut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            sizes, ids = flattened(whole(texts.to_pylist()))
+            return ids, np.concatenate([[0], np.cumsum(sizes)])
+
         runs = lambda pieces: fst.runs([p.replace(" ", SPACE) for p in pieces])
-        _CODERS[path] = (fst, PieceEncoder(lambda texts: [fst.encode(t) for t in texts], runs, most=MOST_PIECES))
+        _CODERS[path] = (fst, uncut if fst.spaced or fst.lined else PieceEncoder(whole, runs, most=MOST_PIECES))
     return _CODERS[path]
 
 

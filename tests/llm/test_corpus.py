@@ -120,6 +120,18 @@ def test_sentencepiece(docs, empty):
     assert sentencepieces.encoded(empty, path).count() == 0
 
 
+def test_sentencepiece_cuts_no_piece_at_white_space(spark):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["Hello world.\r\nNext", "f();\r\n\r\n  g(a),\r\n};\r\n", "a\tb \t c.\r d\r\re", "one\x0b\x0ctwo \u3000\u2028three\x85\u00a0 \r", "\r\n", " \r \n x", LONG.replace("7 ", ".\r\n")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: list(r.ids) for r in sentencepieces.encoded(docs, path).collect()} == {i: sp.encode(t) for i, t in enumerate(texts)}
+    fst, _ = sentencepieces.coder(path)
+    assert not fst.spaced and not fst.lined  # what the cuts at spaces and line feeds stand on
+
+
 def test_lattices_side_by_side():
     import random
 
