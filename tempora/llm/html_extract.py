@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame
 SAMPLE = 1200
 SEED = 11
 
-#: Elements that break text into blocks; those whose content is no text; those without content.
+#: Elements that break text into blocks; those whose content is no markup; those that stand among
+#: inline text and get a node of their own; those without content. Maths is inline text as any unknown element is.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
-RAW = frozenset("script style title noscript template textarea iframe svg math object canvas audio video button xmp noembed noframes".split())
+RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
+EMBEDDED = frozenset("noscript template svg object canvas audio video button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag closes an open one of these, up to the nearest of the elements after the bar.
 CLOSES = {
@@ -130,9 +132,12 @@ class Page:
                 in_link = not close
             elif tag == "br":
                 held.append(" ")
-            elif tag in BLOCKS:
+            elif tag in BLOCKS or tag in EMBEDDED:
+                inner = tag in EMBEDDED
+                if inner and not close and (attrs or "").endswith("/"):
+                    continue
                 flush()
-                in_link = False
+                in_link = in_link and inner
                 if tag in ("html", "body") and not close and (tag == "html" or "body" in self.tag):
                     continue
                 if close:
@@ -143,7 +148,7 @@ class Page:
                     continue
                 if tag == "hr":
                     continue
-                if self.tag[stack[-1]] == "p":
+                if self.tag[stack[-1]] == "p" and not inner:
                     stack.pop()
                 if tag in CLOSES:
                     which, until = CLOSES[tag]

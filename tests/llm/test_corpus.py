@@ -294,3 +294,15 @@ def test_one_row_of_a_component_stays(spark, docs, tmp_path):
     got = corpus_pipeline.near_duplicates(spark, table, str(tmp_path)).collect()
     assert Counter((r.doc_id, r.text, r.source) for r in got) == want
     assert corpus_pipeline.near_duplicates(spark, table.where("false"), str(tmp_path)).count() == 0
+
+
+def test_html_embedded_elements_keep_the_article(spark):
+    text = lambda i: f"Paragraph {i} " + " ".join(WORDS)
+    for tag in sorted(html_extract.EMBEDDED | {"math"}):
+        for begin in (f"<{tag} class=x>", f"<{tag}><{tag}>a</{tag}>"):  # never closed, and closed once of twice
+            page = f"<html><body><nav><a href=/>menu</a></nav><article><h1>Title of it</h1><p>{text(1)}</p>{begin}<p>{text(2)}</p><p>{text(3)}</p></article></body></html>"
+            runs = [t for _, t in html_extract.Page(page).runs]
+            assert text(2) in " ".join(runs) and text(3) in runs, (tag, runs)
+    formula = "<article><p>" + text(1) + " where <math><mi>x</mi><mo>=</mo><mn>5</mn></math> holds</p><noscript><p>" + text(2) + "</p></noscript><object data=a><p>" + text(3) + "</p></object><script>var a<p>b</script><p>" + text(4) + "</p><script>c<p>d</p></article>"
+    pages = spark.createDataFrame([(1, "u", formula)], "page_id long, url string, html string")
+    assert html_extract.extract(pages).first().text.split("\n") == [text(1) + " where x=5 holds", text(2), text(3), text(4)]
