@@ -9,7 +9,7 @@ The trees are fitted here, on SAMPLE pages that sample_pages() builds with their
 sidebars, notices, adverts, forms, comments and footers in many nestings. That bound is a parameter; the pages that are
 extracted play no part in it.
 
-Defined results: null or empty html gives an empty text and 0 characters; unclosed, crossed and cut-off tags follow
+Defined results: null or empty html gives an empty text and 0 characters; a page without blocks keeps all its text; unclosed, crossed and cut-off tags follow
 the rules of block nesting; repeated rows get equal rows each; extra columns are ignored.
 """
 
@@ -34,6 +34,8 @@ SEED = 11
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
 EMBEDDED = frozenset("noscript template svg object canvas audio video button".split())
+#: A page of these alone has no block to tell from another: all its text is main text.
+BARE = frozenset({"html", "head", "body", "#text"})
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag closes an open one of these, up to the nearest of the elements after the bar.
 CLOSES = {
@@ -160,10 +162,11 @@ class Page:
                             break
                 stack.append(self._open(stack[-1], tag, attrs))
         flush()
-        # A run beside block children becomes a node of its own, which can be dropped without them.
+        # A run beside block children becomes a node of its own, which can be dropped without them; so does one in no
+        # block but the page, which is never dropped itself.
         parents = set(self.parent)
         for i, (node, text) in enumerate(self.runs):
-            if node in parents and node >= 0:
+            if node in parents or node == 0:
                 self.runs[i] = (self._open(node, "#text", ""), text)
 
     def features(self) -> np.ndarray:
@@ -227,6 +230,8 @@ class Page:
                 best[q] += min(kept, dropped[i])
         alive = [False] * n
         alive[0] = True
+        if not set(self.tag) - BARE:
+            chosen = [True] * n
         for i in range(1, n):
             alive[i] = chosen[i] and alive[self.parent[i]]
         return "\n".join(text for node, text in self.runs if alive[node] and node)

@@ -306,3 +306,14 @@ def test_html_embedded_elements_keep_the_article(spark):
     formula = "<article><p>" + text(1) + " where <math><mi>x</mi><mo>=</mo><mn>5</mn></math> holds</p><noscript><p>" + text(2) + "</p></noscript><object data=a><p>" + text(3) + "</p></object><script>var a<p>b</script><p>" + text(4) + "</p><script>c<p>d</p></article>"
     pages = spark.createDataFrame([(1, "u", formula)], "page_id long, url string, html string")
     assert html_extract.extract(pages).first().text.split("\n") == [text(1) + " where x=5 holds", text(2), text(3), text(4)]
+
+
+def test_html_without_block_elements(spark):
+    text = "A page without any block of its own, " + " ".join(WORDS)
+    bare = [text, f"<b>{text}</b>", f"<html>{text}</html>", f"{text[:40]}<br>{text[41:]}", f"<i>{text}</i><!-- no more -->"]
+    for source in bare:
+        page = html_extract.Page(source)
+        assert [(page.tag[n], t) for n, t in page.runs] == [("#text", text)]
+        assert page.decode(np.ones(len(page.tag))) == text == page.decode(np.zeros(len(page.tag)))
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(bare)], "page_id long, url string, html string")
+    assert {(r.text, r.n_chars) for r in html_extract.extract(pages).collect()} == {(text, len(text))}
