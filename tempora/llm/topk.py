@@ -6,8 +6,10 @@ segments of all dimensions are processed by descending impact, adding it to the
 yet seen add at most the next impact each. The search stops when the vectors whose bound still reaches the k-th
 best known score are few, which proves that no other can be a result; those are scored exactly.
 
-Queries and vectors meet in blocks of bounded size: each block of vectors is sent to each block of queries by key. A
-first threshold for each query comes from exact scores against SEED_ROWS vectors; it can only save work.
+The index is a written table with a row for each block of vectors: its postings, its segments with their ranges, and the
+vectors for rescoring. Blocks of queries, a small part of the rows, go to the index and are streamed past one block of
+it at a time. A first threshold for each query comes from exact scores against SEED_ROWS vectors; it can only save work.
+Bounds are float64 sums of integers; where they could pass 2^52 a block is scored in full instead. Scores are 64-bit integers.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part; shorter vectors count as
 padded with zeros; rows are told apart by a row number, so that a repeated row is another candidate; equal scores go by
@@ -23,17 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.common import written
+from tempora.llm.common import shuffle_width, written
 
 K = 5
 EVERY = 50
 LEVEL = 16
-BLOCK_ROWS = 4096
+#: Vectors of a block of the index: about so many, and fewer, down to the lower bound, where the session has tasks to spare.
+BLOCK_ROWS, LEAST_BLOCK_ROWS = 65_536, 4096
 QUERY_ROWS = 512
 SEED_ROWS = 2048
 ROUNDS = 24
-_BLOCK = pa.schema([("block", pa.int64()), ("uids", pa.binary()), ("ids", pa.binary()), ("values", pa.binary())])
-BLOCK = "block long, uids binary, ids binary, values binary"
+INDEX = "block int, uids binary, ids binary, vectors binary, postings binary, starts binary, low binary, high binary"
+_INDEX = pa.schema([("block", pa.int32()), *[(c.split()[0], pa.binary()) for c in INDEX.split(", ")[1:]]])
+QUERIES = "q_uids binary, q_ids binary, q_values binary, least binary"
+_QUERIES = pa.schema([(c.split()[0], pa.binary()) for c in QUERIES.split(", ")])
 
 
 def integers(table: DataFrame) -> DataFrame:
@@ -43,56 +48,63 @@ def integers(table: DataFrame) -> DataFrame:
     return rows.where(fine).select("uid", "vec_id", F.transform("e", lambda x: F.floor(x * 256)).alias("v"))
 
 
-def packed(size: int, width: int, part_of: Callable[[], int]) -> Callable:
-    """Blocks of at most size rows of a partition; ids that are null stand as the largest integer."""
+def rows_of(batches: Iterator[pa.RecordBatch], width: int, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """uids, ids and values of all rows, or of most at a time; ids that are null stand as the largest integer."""
+    uids, ids, values = [], [], []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uids, ids, values, made = [], [], [], 0
-
-        def block() -> pa.RecordBatch:
-            data = np.zeros((len(values), width), dtype="<i8")
-            for row, v in zip(data, values, strict=True):
-                row[: len(v)] = v
-            columns = [[part_of() * (1 << 32) + made], [np.array(uids, dtype="<i8").tobytes()], [np.array(ids, dtype="<i8").tobytes()], [data.tobytes()]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _BLOCK, strict=True)], schema=_BLOCK)
+    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data = np.zeros((len(values), width), dtype="<i8")
+        for row, v in zip(data, values, strict=True):
+            row[: len(v)] = v
+        return np.array(uids, dtype="<i8"), np.array(ids, dtype="<i8"), data
 
-        for batch in batches:
-            for uid, vec_id, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                uids.append(uid)
-                ids.append(2**63 - 1 if vec_id is None else vec_id)
-                values.append(v)
-                if len(values) == size:
-                    yield block()
-                    uids, ids, values, made = [], [], [], made + 1
-        if values:
-            yield block()
-
-    return run
+    for batch in batches:
+        for uid, vec_id, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            uids.append(uid)
+            ids.append(2**63 - 1 if vec_id is None else vec_id)
+            values.append(v)
+            if len(values) == most:
+                yield block()
+                uids, ids, values = [], [], []
+    if values:
+        yield block()
 
 
 class Index:
-    """Posting segments of a block of integer vectors."""
+    """Posting segments of a block of integer vectors: entries of each dimension in order of value, cut where the level changes."""
 
-    def __init__(self, values: np.ndarray):
-        self.values = values
+    def __init__(self, values: np.ndarray, postings: np.ndarray, starts: np.ndarray, low: np.ndarray, high: np.ndarray):
+        n, dims = values.shape
+        self.values, self.postings, self.starts, self.low, self.high = values, postings, starts, low, high
+        self.sizes, self.dim = np.diff(starts, append=n * dims), starts // max(1, n)
+        self.largest = float(np.abs(values.astype(float)).max(initial=0))
+
+    @classmethod
+    def of(cls, values: np.ndarray) -> Index:
         n, dims = values.shape
         order = np.argsort(values, axis=0, kind="stable")
-        ordered = np.take_along_axis(values, order, axis=0)
-        self.postings = order.T.ravel()
-        level = (ordered.T // LEVEL).ravel()
+        flat = np.take_along_axis(values, order, axis=0).T.ravel()
+        level = flat // LEVEL
         edge = np.ones(n * dims, dtype=bool)
         edge[1:] = level[1:] != level[:-1]
         edge[::n] = True
-        self.starts = np.flatnonzero(edge)
-        self.sizes = np.diff(self.starts, append=n * dims)
-        flat = ordered.T.ravel()
-        self.low, self.high, self.dim = flat[self.starts], flat[self.starts + self.sizes - 1], self.starts // n
+        starts = np.flatnonzero(edge)
+        ends = np.append(starts[1:], n * dims) - 1
+        return cls(values, order.T.ravel().astype("<i4"), starts.astype("<i8"), flat[starts], flat[ends])
+
+    def row(self) -> list[bytes]:
+        """What a row of the written index holds."""
+        return [x.astype(t).tobytes() for x, t in ((self.values, "<i8"), (self.postings, "<i4"), (self.starts, "<i8"), (self.low, "<i8"), (self.high, "<i8"))]
+
+    @classmethod
+    def read(cls, width: int, vectors: bytes, postings: bytes, *others: bytes) -> Index:
+        return cls(np.frombuffer(vectors, "<i8").reshape(-1, width), np.frombuffer(postings, "<i4"), *(np.frombuffer(x, "<i8") for x in others))
 
     def search(self, query: np.ndarray, k: int, known: int | None) -> np.ndarray:
         """Positions that may be among the k best or tie with them; known is a score that k vectors of any block reach."""
         n, dims = self.values.shape
         few = max(4 * k, n // 32)
-        if n <= few:
+        if n <= few or dims * self.largest * float(np.abs(query.astype(float)).max(initial=0)) >= 2**52:
             return np.arange(n)
         q = query[self.dim]
         impact = np.where(q > 0, q * self.high, q * self.low)
@@ -128,16 +140,22 @@ def best_of(positions: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int)
 
 
 def meet(width: int, k: int) -> Callable:
-    """The k best of each block of vectors for each query of the block it met."""
+    """The k best of each block of the index for each query that follows it in rows sorted by block, its index first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = lambda data: np.frombuffer(data, dtype="<i8")
+        at, index, uid, vec = None, None, None, None
         for batch in batches:
-            for q_uids, q_ids, q_values, least, uids, ids, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                read = lambda data: np.frombuffer(data, dtype="<i8").astype(np.int64)
-                q_uid, q_id, uid, vec = read(q_uids), read(q_ids), read(uids), read(ids)
-                queries, index = read(q_values).reshape(-1, width), Index(read(values).reshape(-1, width))
-                known = read(least)
-                out: list[np.ndarray] = []
+            for row in range(batch.num_rows):
+                got = {f.name: batch.column(i)[row].as_py() for i, f in enumerate(batch.schema)}
+                if got["vectors"] is not None:
+                    at, uid, vec = got["block"], read(got["uids"]), read(got["ids"])
+                    index = Index.read(width, *(got[c] for c in ("vectors", "postings", "starts", "low", "high")))
+                    continue
+                if got["block"] != at:
+                    continue  # a block without vectors
+                q_uid, q_id, known = read(got["q_uids"]), read(got["q_ids"]), read(got["least"])
+                queries, out = read(got["q_values"]).reshape(-1, width), []
                 for i in range(len(q_uid)):
                     found = index.search(queries[i], k, int(known[i]) if len(known) else None)
                     found = found[uid[found] != q_uid[i]]
@@ -151,32 +169,40 @@ def meet(width: int, k: int) -> Callable:
     return run
 
 
+def built(vectors: DataFrame, blocks: int, width: int) -> DataFrame:
+    """The written index: rows are dealt to blocks by a hash of their number, a block to a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        for uids, ids, values in rows_of(batches, width):
+            columns = [TaskContext.get().partitionId(), uids.tobytes(), ids.tobytes(), *Index.of(values).row()]
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, _INDEX, strict=True)], schema=_INDEX)
+
+    return written(vectors.repartition(blocks, F.xxhash64("uid")).mapInArrow(run, INDEX), "topk-index")
+
+
 def search(table: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id and score: the k best of every row whose vec_id is divisible by every."""
-    from pyspark import TaskContext
-
     spark = table.sparkSession
     vectors = written(integers(table), "topk-vectors")
     shape = vectors.agg(F.count(F.lit(1)), F.max(F.size("v")), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
     count, width, asked = shape[0], max(1, shape[1] or 1), shape[2]
-    part_of = lambda: TaskContext.get().partitionId()
-    dealt = lambda df, size, n: df.repartition(max(1, -(-n // size)), F.xxhash64("uid")).mapInArrow(packed(size, width, part_of), BLOCK)
+    blocks = max(1, -(-count // BLOCK_ROWS), min(shuffle_width(spark), -(-count // LEAST_BLOCK_ROWS)))
+    index = built(vectors, blocks, width)
     seeds = np.array([list(r[0]) + [0] * (width - len(r[0])) for r in vectors.select("v").limit(SEED_ROWS).collect()], dtype=np.int64).reshape(-1, width)
 
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            least = []
-            for data in batch.column(3).to_pylist():
-                scores = np.frombuffer(data, dtype="<i8").reshape(-1, width) @ seeds.T
-                enough = scores.shape[1] > k
-                least.append(np.partition(scores, scores.shape[1] - k - 1, axis=1)[:, scores.shape[1] - k - 1].astype("<i8").tobytes() if enough else b"")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.binary())], [*batch.schema.names, "least"])
-
-    queries = written(dealt(vectors.where(F.col("vec_id") % every == 0), QUERY_ROWS, asked).mapInArrow(seeded, BLOCK + ", least binary"), "topk-queries")
-    # A partition may make several blocks; their numbers, at most asked / QUERY_ROWS plus one for each partition, go to the driver.
-    numbers = [r[0] for r in queries.select("block").collect()]
-    keyed = dealt(vectors, BLOCK_ROWS, count).select(F.explode(F.array(*[F.lit(b) for b in numbers]) if numbers else F.array().cast("array<bigint>")).alias("block"), "uids", "ids", "values")
-    met = keyed.join(queries.select("block", F.col("uids").alias("q_uids"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values"), "least"), "block")
-    best = met.select("q_uids", "q_ids", "q_values", "least", "uids", "ids", "values").mapInArrow(meet(width, k), "uid long, query_id long, vec_id long, score long")
+        for uids, ids, values in rows_of(batches, width, QUERY_ROWS):
+            scores = values @ seeds.T
+            at = scores.shape[1] - k - 1
+            least = np.partition(scores, at, axis=1)[:, at].astype("<i8").tobytes() if at >= 0 else b""
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in (uids.tobytes(), ids.tobytes(), values.tobytes(), least)], schema=_QUERIES)
+
+    chosen = vectors.where(F.col("vec_id") % every == 0).repartition(max(1, -(-asked // QUERY_ROWS)), F.xxhash64("uid"))
+    queries = written(chosen.mapInArrow(seeded, QUERIES), "topk-queries")
+    spread = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    line = index.unionByName(spread, allowMissingColumns=True).repartition(blocks, "block").sortWithinPartitions("block", F.col("vectors").isNull())
+    best = line.mapInArrow(meet(width, k), "uid long, query_id long, vec_id long, score long")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
