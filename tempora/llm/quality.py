@@ -2,8 +2,8 @@
 
 Every rule is evaluated once for each document. The ledger keeps the measurements and one bit for each
 failed rule; policies are versioned masks over those bits, and ablations are counts over the few distinct
-bit patterns, so that a new policy needs neither the texts nor the rules again. DataFrame functions only,
-no shuffle: all that a document needs stands in its own row.
+bit patterns, so that a new policy needs neither the texts nor the rules again: the query writes its ledger and applies
+its policy to the table. DataFrame functions only, no shuffle: all that a document needs stands in its own row.
 
 Defined results: a null or empty text has no words and fails few_words. Repeated rows and ties get equal
 rows each. Extra columns are ignored. An empty table gives an empty ledger.

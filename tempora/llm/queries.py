@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm import html_extract, huffman, jaccard, mixing, pii, quality, sentencepieces, sharding, topk, warc
-from tempora.llm.common import table
+from tempora.llm.common import table, written
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents"), ["doc_id"]))
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+    book = written(quality.ledger(table(spark, sf_dir, "documents"), ["doc_id"]), "quality-ledger")
+    return quality.apply_policy(book).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
