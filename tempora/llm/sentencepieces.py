@@ -245,6 +245,9 @@ class Transducer:
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
         self.fallback = model.trainer_spec.byte_fallback
         self.longest = max(map(len, self.ids))
+        self.floor = float(np.float32(min(self.score.values())) - np.float32(10))
+        #: The least cost that a path can have: none where arcs weigh nothing or infinitely much, unknown where they weigh scores.
+        self.least = 0.0 if self.kind == BPE else None
         self.spaced = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.lined = any("\n" in p[1:] for p in self.ids)
         self.apart: dict[tuple[str, str], bool] = {}
@@ -305,6 +308,15 @@ class Transducer:
         out[~mine], out[mine] = flat, rest
         return every, out
 
+    def weight(self, before: str, piece: str) -> float:
+        """An arc's weight after the arc that ends where it begins."""
+        if self.kind != BPE:
+            return np.float32(-self.score.get(piece, self.floor))  # costs add up in single precision, as in the library, whose near ties they share
+        if not before:
+            return 0.0
+        got = self.apart.get((before, piece))
+        return 0.0 if (self.left_apart(before, piece) if got is None else got) else float("inf")
+
     def left_apart(self, a: str, b: str) -> bool:
         got = self.apart.get((a, b))
         if got is None:
@@ -314,28 +326,20 @@ class Transducer:
         return got
 
     def path(self, text: str) -> list[int]:
-        """Shortest path over the lattice of a normalised text."""
-        n = len(text)
+        """The tropical shortest path over the lattice of a normalised text: cost[end] is the least over arcs from begin of
+        cost[begin] plus the arc's weight. Longer arcs come first and win ties; none weighs less than self.least."""
+        n, known, weigh = len(text), self.score, self.weight
         last: list[str] = [""] * (n + 1)
-        known, get, apart = self.score, self.apart.get, self.left_apart
-        if self.kind == BPE:
-            for end in range(1, n + 1):
-                for begin in range(max(0, end - self.longest), end):
-                    piece = text[begin:end]
-                    if piece in known or begin == end - 1:
-                        before = last[begin]
-                        if not begin or (get((before, piece)) if (before, piece) in self.apart else apart(before, piece)):
-                            last[end] = piece
+        cost = [np.float32(0) if self.kind != BPE else 0.0] + [float("inf")] * n
+        for end in range(1, n + 1):
+            for begin in range(max(0, end - self.longest), end):
+                piece = text[begin:end]
+                if piece in known or begin == end - 1:
+                    total = cost[begin] + weigh(last[begin], piece)
+                    if total < cost[end]:
+                        cost[end], last[end] = total, piece
+                        if total == self.least:
                             break
-        else:
-            cost = [0.0] + [float("inf")] * n
-            floor = min(known.values()) - 10.0
-            for end in range(1, n + 1):
-                for begin in range(max(0, end - self.longest), end):
-                    piece = text[begin:end]
-                    score = known.get(piece, floor if begin == end - 1 else None)
-                    if score is not None and cost[begin] - score < cost[end]:
-                        cost[end], last[end] = cost[begin] - score, piece
         out: list[int] = []
         while n:
             piece = last[n]
@@ -353,8 +357,12 @@ class Transducer:
         if not text:
             return []
         text = (" " if self.dummy else "") + text
-        parts = [text] if self.spaced else _CHUNK.findall(text)
-        return [i for p in parts for i in self.path(p.replace(" ", SPACE))]
+        parts = [text] if self.spaced or self.kind != BPE else _CHUNK.findall(text)  # sums round along the whole text
+        ids = [i for p in parts for i in self.path(p.replace(" ", SPACE))]
+        if self.fallback:
+            return ids
+        # Unknown characters side by side are one unknown piece.
+        return [i for i, before in zip(ids, [None, *ids]) if i != self.unknown or before != i]
 
     def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of many sequences one after another, and the offset of each."""
@@ -389,7 +397,7 @@ def coder(path: str) -> tuple[Transducer, Callable[[pa.Array], tuple[np.ndarray,
             return ids, np.concatenate([[0], np.cumsum(sizes)])
 
         runs = lambda pieces: fst.runs([p.replace(" ", SPACE) for p in pieces])
-        _CODERS[path] = (fst, uncut if fst.spaced or fst.lined else PieceEncoder(whole, runs, most=MOST_PIECES))
+        _CODERS[path] = (fst, uncut if fst.spaced or fst.lined or not fst.fallback or fst.kind != BPE else PieceEncoder(whole, runs, most=MOST_PIECES))
     return _CODERS[path]
 
 
