@@ -32,6 +32,9 @@ _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Wider patterns, whose hits are personal data only if the classifier says so.
 _EMAIL_WORDS = r"\b[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\x20?[\[({]\x20?(?:at|AT)\x20?[\])}]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[\[({]\x20?(?:dot|DOT)\x20?[\])}]|\.)\x20?[A-Za-z0-9-]{1,63})++"
+_IP_MARKED = r"(?<![0-9.])[0-9]{1,3}(?:\x20?[\[({](?:\.|dot|DOT)[\])}]\x20?[0-9]{1,3}){3}(?![0-9])"
+_CARD_GROUPS = r"(?<![0-9A-Za-z./_])[0-9]{4}(?:[./_][0-9]{4}){2}[./_][0-9]{1,7}(?![0-9A-Za-z/_])"
+_CARD_RUN = r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])"
 _PHONE_LOCAL = r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])"
 
 #: Detectors: name, kind, pattern, and a cheap test that every text with a hit passes.
@@ -41,6 +44,9 @@ DETECTORS = (
     ("card", "card", _CARD, r"__text rlike '[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]'"),
     ("phone", "phone", _PHONE, "contains(__text, '+')"),
     ("email_words", "email", _EMAIL_WORDS, "__text rlike '[\\\\[({] ?(at|AT) ?[\\\\])}]'"),
+    ("ip_marked", "ip", _IP_MARKED, r"__text rlike '[0-9] ?[\\[({]([.]|dot|DOT)[\\])}] ?[0-9]'"),
+    ("card_groups", "card", _CARD_GROUPS, r"__text rlike '[0-9]{4}[./_][0-9]{4}[./_][0-9]{4}'"),
+    ("card_run", "card", _CARD_RUN, r"__text rlike '[0-9]{13}'"),
     ("phone_local", "phone", _PHONE_LOCAL, r"__text rlike '[0-9]{3}[ .-][0-9]{4}'"),
 )
 BASE = ("email", "ip", "card", "phone")
@@ -70,18 +76,18 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, v: a + F.when(v > 9, v - 9).otherwise(v)) % 10 == 0
 
 
-def _checks(detector: Column, hit: Column) -> Column:
+def _plausible(kind: Column, hit: Column) -> Column:
+    """Whether a hit has as many digits as its kind can have; others are no candidates at all."""
+    n = F.length(_digits(hit))
+    return F.when(kind == "card", n.between(12, 19)).when(kind == "phone", n.between(9, 15)).otherwise(True)
+
+
+def _checks(kind: Column, hit: Column) -> Column:
     """The base rules on a hit: parts of an address, length and check digit of a card, digits of a phone number."""
     digits = _digits(hit)
-    n = F.length(digits)
-    small = F.forall(F.split(hit, "\\."), lambda p: hit.isNotNull() & (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.right(p, F.lit(9)).try_cast("int"), F.lit(0)) <= 255))
-    return (
-        F.when(detector == "ip", small)
-        .when(detector == "card", F.when(n.between(12, 19), _luhn(digits)).otherwise(False))
-        .when(detector == "phone", n.between(9, 15))
-        .when(detector == "phone_local", n == 10)
-        .otherwise(True)
-    )
+    parts = F.regexp_extract_all(hit, F.lit("[0-9]+"), F.lit(0))
+    small = F.forall(parts, lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.right(p, F.lit(9)).try_cast("int"), F.lit(0)) <= 255))
+    return F.when(~_plausible(kind, hit), False).when(kind == "ip", small).when(kind == "card", _luhn(digits)).otherwise(True)
 
 
 def hits_of(k: int):
@@ -94,28 +100,37 @@ def hits_of(k: int):
     return lambda p: F.transform(p["hits"], lambda h, i: one(p, h, i))
 
 
+_HIT = "struct<detector:int,i:int,gap:int,hit:string,before:string,after:string>"
+
+
 def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each hit: keep, uid, detector, kind, start, stop, hit, before, after; a text without hits has one with nulls."""
-    source = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("__text"), F.monotonically_increasing_id().alias("uid"))
-    none = F.lit(None).cast("array<struct<detector:int,i:int,gap:int,hit:string,before:string,after:string>>")
+    """A row for each hit: kept (a struct of keep), uid, detector, kind, start, stop, hit, before, after; a text without hits
+    has one with a null detector."""
+    kept = F.struct(F.lit(0), *keep).alias("kept")
+    source = docs.select(kept, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"), F.monotonically_increasing_id().alias("uid"))
+    none, empty = F.lit(None).cast(f"array<{_HIT}>"), F.array().cast(f"array<{_HIT}>")
+    # A row of its own for texts without hits: what explode_outer() leaves empty reads as the last detector later on.
+    nothing = F.array(F.expr(f"CAST(named_struct('d', -1, 'i', 0, 'g', 0, 'h', '', 'b', '', 'a', '') AS {_HIT})"))
     found = []
     for k, (_, _, pattern, test) in enumerate(DETECTORS):
         pair = F.struct(F.split("__text", pattern, -1).alias("gaps"), F.regexp_extract_all("__text", F.lit(pattern), F.lit(0)).alias("hits"))
         rows = let(pair, hits_of(k))
         found.append(F.when(F.expr(test), rows).otherwise(none))
-    empty = F.array().cast("array<struct<detector:int,i:int,gap:int,hit:string,before:string,after:string>>")
-    hits = source.select(*keep, "uid", F.explode_outer(F.concat(*[F.coalesce(f, empty) for f in found])).alias("h")).select(*keep, "uid", "h.*")
+    every = let(F.concat(*[F.coalesce(f, empty) for f in found]), lambda h: F.when(F.size(h) == 0, nothing).otherwise(h))
+    hits = source.select("kept", "uid", F.explode(every).alias("h")).select("kept", "uid", "h.*")
     before = Window.partitionBy("uid", "detector").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    ends = hits.withColumn("stop", F.sum(F.col("gap") + F.length("hit")).over(before))
-    name = F.element_at(F.array(*[F.lit(d[0]) for d in DETECTORS]), F.col("detector") + 1)
-    kind = F.element_at(F.array(*[F.lit(KINDS.index(d[1])) for d in DETECTORS]), F.col("detector") + 1)
-    return ends.select(*keep, "uid", name.alias("detector"), kind.alias("kind"), (F.col("stop") - F.length("hit")).alias("start"), "stop", "hit", "before", "after")
+    some = F.col("detector") >= 0
+    ends = hits.withColumn("stop", F.when(some, F.sum(F.col("gap") + F.length("hit")).over(before)))
+    told = lambda values: F.when(some, F.element_at(F.array(*[F.lit(v) for v in values]), F.greatest(F.lit(1), F.col("detector") + 1)))
+    name, kind = told([d[0] for d in DETECTORS]), told([KINDS.index(d[1]) for d in DETECTORS])
+    hit = lambda c: F.when(some, F.col(c)).alias(c)
+    return ends.select("kept", "uid", name.alias("detector"), kind.alias("kind"), (F.col("stop") - F.length("hit")).alias("start"), "stop", hit("hit"), hit("before"), hit("after"))
 
 
 def vote(found: DataFrame) -> DataFrame:
-    """Adds base (the base rules accept) and a vote of each of LABELERS."""
+    """Adds base (the base rules accept) and a vote of each of LABELERS; what is no candidate has no votes."""
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
-    checks = _checks(F.col("detector"), F.col("hit"))
+    checks = _checks(kind, F.col("hit"))
     near = F.lit(False)
     for k, pattern in _NEAR.items():
         near = near | ((kind == k) & F.col("before").rlike(pattern))
@@ -132,7 +147,7 @@ def vote(found: DataFrame) -> DataFrame:
         "near": F.when(near, 1).when(F.col("before").rlike(_FAR), -1).otherwise(F.lit(0)),
         "apart": F.when(F.col("before").rlike(r"[A-Za-z0-9]$") | F.col("after").rlike(r"^[A-Za-z0-9]"), -1).otherwise(F.lit(1)),
     }
-    some = F.col("detector").isNotNull()
+    some = F.col("detector").isNotNull() & _plausible(kind, F.col("hit"))
     return found.withColumns({"base": some & F.col("detector").isin(*BASE) & checks} | {k: F.when(some, v).cast("int") for k, v in votes.items()})
 
 
@@ -164,13 +179,15 @@ def estimate(counts: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[dic
 
 
 def train(counts: list[tuple[tuple[int, ...], int]], believed: dict[tuple[int, ...], float], steps: int = 200) -> list[float]:
-    """A logistic classifier on the votes, fitted to the estimated probabilities; the bias comes first."""
+    """A logistic classifier on the votes, fitted to the estimated probabilities; the bias comes first. A labeler that always
+    votes the same has no part in it."""
+    varies = [len({votes[j] for votes, _ in counts}) > 1 for j in range(len(LABELERS))]
     weights = [0.0] * (len(LABELERS) + 1)
     total = sum(n for _, n in counts) or 1
     for _ in range(steps):
         slope = [0.0] * len(weights)
         for votes, n in counts:
-            x = (1, *votes)
+            x = (1, *(v if told else 0 for v, told in zip(votes, varies, strict=True)))
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w * v for w, v in zip(weights, x, strict=True))))))
             for j, v in enumerate(x):
                 slope[j] += n / total * (believed[votes] - p) * v
@@ -180,7 +197,7 @@ def train(counts: list[tuple[tuple[int, ...], int]], believed: dict[tuple[int, .
 
 def fit(voted: DataFrame) -> dict[int, list[float]]:
     """A classifier for each kind, from the counts of vote patterns over all candidates."""
-    counted = voted.where("detector IS NOT NULL").groupBy("kind", *LABELERS).count().collect()
+    counted = voted.where("form IS NOT NULL").groupBy("kind", *LABELERS).count().collect()
     models = {}
     for kind in range(len(KINDS)):
         counts = sorted(((tuple(r[1:-1]), r[-1]) for r in counted if r[0] == kind))
@@ -198,21 +215,24 @@ def score(models: dict[int, list[float]]) -> Column:
     return total
 
 
-#: The classifier adds a span that its log-odds put above this, and whose checks hold.
+#: The classifier adds a span that its log-odds put above this, and that passes the checks of its kind.
 ADD_ABOVE = 1.0
 
 
-def find(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, uid and spans: array of (start, kind, stop, base, hit) in order of start and kind, one row for each document."""
+def find(docs: DataFrame, keep: list[str], uid: str = "uid", spans: str = "spans") -> DataFrame:
+    """keep, uid and spans: array of (start, kind, stop, base, hit) in order of start and kind, one row for each document.
+
+    A span that the classifier adds touches no base span: of those that begin before it none ends after its start, and
+    none after it begins before its end."""
     voted = written(vote(candidates(docs, keep)), "pii-voted")
-    models = fit(voted)
-    scored = voted.withColumn("added", ~F.col("base") & (score(models) > ADD_ABOVE) & (F.col("checks") == 1) & ~F.col("detector").isin(*BASE))
-    chosen = F.when(F.col("base") | F.col("added"), F.struct("start", "kind", "stop", "base", "hit"))
-    spans = F.sort_array(F.collect_list(chosen)).alias("all")
-    grouped = scored.groupBy("uid", *keep).agg(spans)
-    overlaps = lambda s, b: b["base"] & (b["start"] < s["stop"]) & (s["start"] < b["stop"])
-    apart = lambda found: F.filter(found, lambda s: s["base"] | ~F.exists(found, lambda b: overlaps(s, b)))
-    return grouped.select("uid", *keep, let(F.col("all"), apart).alias("spans"))
+    added = ~F.col("base") & (F.col("checks") == 1) & (score(fit(voted)) > ADD_ABOVE)
+    line = Window.partitionBy("uid").orderBy("start", "kind", "stop")
+    reached = F.max(F.when(F.col("base"), F.col("stop"))).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    following = F.min(F.when(F.col("base"), F.col("start"))).over(line.rowsBetween(1, Window.unboundedFollowing))
+    apart = (F.coalesce(reached, F.lit(0)) <= F.col("start")) & (F.coalesce(following, F.col("stop")) >= F.col("stop"))
+    chosen = F.when(F.col("base") | (F.col("added") & F.col("apart")), F.struct("start", "kind", "stop", "base", "hit"))
+    grouped = voted.withColumns({"added": added, "apart": apart}).groupBy("uid").agg(F.first("kept").alias("kept"), F.sort_array(F.collect_list(chosen)).alias("spans"))
+    return grouped.select(*[F.col("kept")[c].alias(c) for c in keep], F.col("uid").alias(uid), F.col("spans").alias(spans))
 
 
 def listed(spans: Column) -> Column:
@@ -226,14 +246,15 @@ def masked(docs: DataFrame) -> DataFrame:
     Found spans go back to their texts by uid, which both sides take from the same scan of a written table.
     """
     columns = docs.columns
-    marked = docs.withColumn("__uid", F.monotonically_increasing_id())
-    base = written(marked, "pii-texts")
-    spans = find(base, ["__uid"]).select("__uid", "spans").where(F.size("spans") > 0)
+    own = "uid_of_" + "_".join(columns)  # names that the table does not have
+    found = "spans_of_" + "_".join(columns)
+    base = written(docs.withColumn(own, F.monotonically_increasing_id()), "pii-texts")
+    spans = find(base, [own], own + "_again", found).select(own, found).where(F.size(found) > 0)
     names = F.array(*[F.lit(k) for k in KINDS])
     text = F.col("text")
     # Texts between spans: from the furthest stop so far to the next start; a span that begins inside another adds no second mark.
     parts = F.aggregate(
-        "spans",
+        found,
         F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")),
         lambda a, s: F.when(
             s["start"] >= a["at"],
@@ -241,7 +262,7 @@ def masked(docs: DataFrame) -> DataFrame:
         ).otherwise(F.struct(F.greatest(a["at"], s["stop"]).alias("at"), a["out"].alias("out"))),
         lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text))),
     )
-    joined = base.join(spans, "__uid", "left").withColumn("text", F.when(F.col("spans").isNull(), text).otherwise(parts))
+    joined = base.join(spans, own, "left").withColumn("text", F.when(F.col(found).isNull(), text).otherwise(parts))
     if "n_chars" in columns:
         joined = joined.withColumn("n_chars", F.length("text").cast("long"))
     return joined.select(*columns)
