@@ -4,7 +4,8 @@ A capture is three records: a request, a response (or, for a payload that anothe
 revisit) and a metadata record. Request and metadata name the response's record id in WARC-Concurrent-To; the
 reader yields single records and assemble() joins them by that id into one nested row for each capture.
 Each record is a gzip member of its own; executors write archives under a temporary name in the shared folder and
-rename them when complete, so that a task that is run again replaces its own file.
+rename them when complete. Names hold the attempt that wrote them, and only those that a task has committed are read, so
+that a task that is run twice leaves files behind but no record twice.
 
 Of pages with equal payloads of LEAST bytes or more, that with the largest page_id is the response and the others
 revisit it.
@@ -37,14 +38,14 @@ RECORD = "record_id string, type string, concurrent_to string, target_uri string
 
 
 def deduplicated(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest and, for revisits, head: struct(page_id, url) of the response."""
+    """page_id, url, html, digest, row (a number of its own) and, for revisits, head: struct(page_id, url, row) of the response."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html).alias("digest"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html).alias("digest"), F.monotonically_increasing_id().alias("row"))
     large = rows.where(F.octet_length("html") >= LEAST)
-    heads = large.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    heads = large.groupBy("digest").agg(F.max(F.struct("page_id", "url", "row")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     joined = rows.join(heads, "digest", "left")
     revisits = F.col("head.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head.page_id"))
-    return joined.select("page_id", "url", "html", "digest", F.when(revisits, F.col("head")).alias("head"))
+    return joined.select("page_id", "url", "html", "digest", "row", F.when(revisits, F.col("head")).alias("head"))
 
 
 def _urn(*parts: object) -> str:
@@ -56,17 +57,16 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return gzip.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n", 6, mtime=0)
 
 
-def capture(page_id: int | None, url: str, payload: bytes, digest: str, head: dict | None) -> bytes:
-    """The three records of one page."""
+def capture(page_id: int | None, url: str, payload: bytes, digest: str, row: int, head: dict | None) -> bytes:
+    """The three records of one page; row tells pages that are equal in all else apart."""
     uri = re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", url)
-    own = _urn(page_id, url, digest)
+    own = _urn(page_id, url, digest, row)
     sha1 = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + f"Content-Length: {len(payload)}\r\n\r\n".encode()
     common = [("WARC-Target-URI", uri), ("WARC-Date", DATE)]
     about = {"page-id": "" if page_id is None else str(page_id), "payload-length": str(len(payload))}
     if head:
-        about["refers-to-page-id"] = str(head["page_id"])
-        refers = [("WARC-Refers-To", _urn(head["page_id"], head["url"], digest)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        refers = [("WARC-Refers-To", _urn(head["page_id"], head["url"], digest, head["row"])), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
         main = _record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, *refers, ("WARC-Payload-Digest", sha1), ("Content-Type", "application/http;msgtype=response")], http)
     else:
         main = _record([("WARC-Type", "response"), ("WARC-Record-ID", own), *common, ("WARC-Payload-Digest", sha1), ("Content-Type", "application/http;msgtype=response")], http + payload)
@@ -92,15 +92,15 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
 
         def close() -> None:
             out.close()
-            store.move(f"{root}/.{name}.{context.taskAttemptId()}", f"{root}/{name}")
+            store.move(f"{root}/.{name}", f"{root}/{name}")
             done.append((name, held, size))
 
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
-                    name, held, size = f"part-{context.partitionId():06d}-{len(done):04d}.warc.gz", 0, 0
-                    out = store.open_output_stream(f"{root}/.{name}.{context.taskAttemptId()}")
-                data = capture(row["page_id"], row["url"], row["html"].encode(), row["digest"], row["head"])
+                    name, held, size = f"part-{context.partitionId():06d}-{len(done):04d}-{context.taskAttemptId()}.warc.gz", 0, 0
+                    out = store.open_output_stream(f"{root}/.{name}", compression=None)
+                data = capture(row["page_id"], row["url"], row["html"].encode(), row["digest"], row["row"], row["head"])
                 out.write(data)
                 held, size = held + 1, size + len(data)
                 if size >= ARCHIVE_BYTES:
@@ -177,7 +177,7 @@ def read_archives(names: DataFrame, path: str, with_payload: bool = False) -> Da
 def assemble(records: DataFrame) -> DataFrame:
     """One row for each capture: capture_id and its request, response and metadata as nested columns.
 
-    Equal captures share their ids, and come out as often as their response was read."""
+    Captures of other archives that share an id come out as often as their response was read."""
     main = F.col("type").isin("response", "revisit")
     kept = [c for c in records.columns if c != "concurrent_to"]
     pick = lambda when: F.max_by(F.struct(*kept), F.when(when, F.col("record_id")))
@@ -196,11 +196,11 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
 
 def digest(captures: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to: the page of the capture that WARC-Refers-To names."""
     number = lambda key: F.col("metadata.fields")[key].try_cast("long")
-    return captures.select(
-        number("page-id").alias("page_id"),
-        F.coalesce("response.payload_bytes", number("payload-length")).alias("payload_bytes"),
-        F.col("response.payload_digest").alias("payload_digest"),
-        F.col("response.type").alias("record_type"),
-        number("refers-to-page-id").alias("refers_to"),
-    )
+    size = F.coalesce("response.payload_bytes", number("payload-length")).alias("payload_bytes")
+    told = captures.select("capture_id", number("page-id").alias("page_id"), size, F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to_id").alias("to"))
+    told = written(told, "warc-told")
+    revisited = told.where("to IS NOT NULL").select(F.col("to").alias("capture_id")).distinct()
+    heads = told.join(revisited, "capture_id", "left_semi").select(F.col("capture_id").alias("to"), F.col("page_id").alias("refers_to")).distinct()
+    return told.join(heads, "to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
