@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 #: Fixed value: the characters that separate words.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -18,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset a temporary one, which only a
+    session whose executors run in the driver's process may use."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: executors and driver need a folder that they share")
         found = "file://" + tempfile.mkdtemp(prefix="tempora-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -65,3 +73,50 @@ def let(value: Column, body) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Stored bytes of input that one task of a shuffle may hold in memory, a few times that as arrays.
+TASK_BYTES = 32 << 20
+
+
+def width_for(df: DataFrame) -> int:
+    """Partitions for a shuffle whose tasks hold their share in memory: the session's, or more where the bytes that df reads
+    ask for it. Inputs that are not stored tables have no known size and count as none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(shuffle_width(df.sparkSession), -(-sum(s for s in sizes if s < 1 << 60) // TASK_BYTES))
+
+
+def running(df: DataFrame, order: list[str], values: list[str]) -> DataFrame:
+    """Adds <value>_upto for each of values (longs, not negative): its sum over the rows up to this one, in order of columns
+    that tell rows apart. A range sort, whose partitions add up on their own; one row of sums for each goes to the driver.
+    The result reads the table in its attribute scratch."""
+    spark, names = df.sparkSession, df.columns
+    schema = StructType(list(df.schema.fields)).add("__part", IntegerType())
+    for v in values:
+        schema = schema.add(f"{v}_upto", LongType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        before, part = dict.fromkeys(values, 0), TaskContext.get().partitionId()
+        for batch in batches:
+            columns = [*batch.columns, pa.array(np.full(batch.num_rows, part, dtype=np.int32))]
+            for v in values:
+                sums = before[v] + np.cumsum(batch.column(v).to_numpy(zero_copy_only=False).astype(np.int64))
+                before[v] = int(sums[-1]) if len(sums) else before[v]
+                columns.append(pa.array(sums))
+            yield pa.RecordBatch.from_arrays(columns, [*names, "__part", *(f"{v}_upto" for v in values)])
+
+    ordered = df.repartitionByRange(width_for(df), *order).sortWithinPartitions(*order)
+    parts = written(ordered.mapInArrow(run, schema), "running")
+    ends = parts.groupBy("__part").agg(*[F.max(f"{v}_upto").alias(v) for v in values]).collect()
+    total, starts = [0] * len(values), []
+    for part, *sums in sorted(map(tuple, ends)):
+        starts.append((part, *total))
+        total = [a + b for a, b in zip(total, sums, strict=True)]
+    told = spark.createDataFrame(starts, ", ".join(["__part int", *(f"__{v}_before long" for v in values)]))
+    whole = parts.join(F.broadcast(told), "__part")
+    out = whole.select(*names, *[(F.col(f"{v}_upto") + F.col(f"__{v}_before")).alias(f"{v}_upto") for v in values])
+    out.scratch = parts.scratch
+    return out
