@@ -7,16 +7,19 @@ least l shared ones, and two documents that chose l and l' share min(l, l') toke
 1. Equal sets are one. In the order of hashes, a set whose prefix of l0 extra tokens has too few tokens that
    other sets' prefixes hold has no partner. Tokens that several sets of one input chunk hold are settled there, so that
    a frequent token crosses the shuffle once for each chunk.
-2. The other sets are ordered by document frequency, rare first, and tokens of one set alone are set apart. Each set
+2. The other sets are ordered by document frequency, rare first, and tokens of one set alone are set apart. Lists of very
+   frequent tokens are found from a part of the sets and never meet in one task. Each set
    chooses the l that is cheapest by estimate: the postings of its prefix, plus a verification for each candidate,
    of which there are at most postings / l.
-3. In each posting list every set is verified against one pivot; links are contracted to components.
+3. For PIVOT_ROUNDS rounds each set is verified against one set of another component, that which is first or last
+   in most of its lists; links are contracted to components. A round has at most one pair for each set.
 4. Only lists with several components are left. Across components, a pair is looked at in the list of its first
    shared prefix token; it is a candidate if it shares min(l, l') prefix tokens and the tokens seen
-   to differ leave room for the overlap that its sizes need. Candidates are verified on whole sets.
+   to differ leave room for the overlap that its sizes need. Long lists are cut into blocks, of which any two that hold
+   different components meet. Candidates are verified on whole sets.
 
 Links inside one component are implied; no link between different components is lost, and no group is expanded into its
-pairs. Tokens and sets are 64-bit hashes; sets are checked by a second hash, and a collision raises an error.
+pairs. Tokens are 64-bit hashes. Sets are told apart by two such hashes and numbered.
 
 Defined results: a text of fewer than 5 words is one shingle; null texts and texts without words have none, link with
 nothing and are their own component. Repeated rows link with each other. A null doc_id takes part, but labels no
@@ -34,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import shuffle_width, written
+from tempora.llm.common import drop_scratch, width_for, written
 from tempora.llm.components import components
 from tempora.llm.huffman import small_batches
 
@@ -103,11 +106,6 @@ def first_matches(n: int) -> int:
     return 1 + n // FIRST_PER
 
 
-def first_needed(n: int) -> int:
-    """Matches that a partner of any size leaves certain: the smallest possible partner's choice."""
-    return first_matches(least_overlap(n))
-
-
 def by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Rows of equal bucket as one byte string: each column's values after the other's."""
     order = np.argsort(bucket, kind="stable")
@@ -132,11 +130,7 @@ def first_map(buckets: int) -> Callable:
     def settle(tokens: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
         h = np.concatenate(tokens)
         k = np.repeat(np.array(keys, dtype=np.int64).view(np.uint64), [len(t) for t in tokens])
-        order = np.lexsort((k, h))
-        h, k = h[order], k[order]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
-        h, k = h[new], k[new]
+        h, k = deduplicated(h, k)
         head = np.ones(len(h), dtype=bool)
         head[1:] = h[1:] != h[:-1]
         group = np.cumsum(head) - 1
@@ -180,14 +174,9 @@ def first_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = batch.column(1)
         blobs += [d for d in data.to_pylist() if d is not None]
         yield batch.filter(pc.is_null(data))
-    h, k = from_blobs(blobs, 2)
+    h, k = deduplicated(*from_blobs(blobs, 2))
     if not len(h):
         return
-    order = np.lexsort((k, h))
-    h, k = h[order], k[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
-    h, k = h[new], k[new]
     group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
     shared = ((np.bincount(group) > 1) | (np.bincount(group, weights=k == _MARK) > 0))[group] & (k != _MARK)
     found, hits = np.unique(k[shared], return_counts=True)
@@ -197,15 +186,54 @@ def first_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, "text"):
-        sets = shingle_sets(batch.column(0))
-        yield pa.RecordBatch.from_arrays([pa.array([set_keys(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["k1", "tokens"])
+        sets = shingle_sets(batch.column("text"))
+        yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "tokens"])
 
 
 _BLOB = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
 
 
-def tokens_out(buckets: int) -> Callable:
-    """(token, set, size of the set) by bucket of token."""
+def deduplicated(*columns: np.ndarray) -> list[np.ndarray]:
+    """Rows in order of their first two columns, one of each pair."""
+    h, k = columns[:2]
+    order = np.lexsort((k, h))
+    h, k = h[order], k[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
+    return [h[new], k[new], *(c[order][new] for c in columns[2:])]
+
+
+#: Sets that the estimate of frequent tokens looks at: one of so many. A token is frequent from MANY such sets, and from one
+#: millionth of their tokens, so that there are at most a million frequent ones.
+LOOKED, MANY, MOST_FREQUENT = 64, 100, 1_000_000
+
+
+def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens so frequent that their lists must not meet in one task, in order, and about how many sets hold each.
+
+    A missed one costs memory and changes no result: frequencies only put tokens in order, the same for all sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["token", "n"])
+
+    looked = sets.where(F.pmod(F.xxhash64("sid"), F.lit(LOOKED)) == 0).select("tokens").mapInArrow(run, "token long, n long")
+    counted = written(looked.groupBy("token").agg(F.sum("n").alias("n")), "jaccard-looked")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    most = counted.where(F.col("n") >= max(MANY, total // MOST_FREQUENT)).toPandas().sort_values("token")
+    drop_scratch(counted)
+    tokens, n = most["token"].to_numpy(np.int64).view(np.uint64), most["n"].to_numpy(np.int64) * LOOKED
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
+
+
+_BLOB = pa.schema([("bucket", pa.int32()), ("data", pa.binary()), ("ready", pa.binary())])
+BLOB = "bucket int, data binary, ready binary"
+
+
+def tokens_out(buckets: int, known: np.ndarray, df: np.ndarray) -> Callable:
+    """(token, set, size of the set) by bucket of token; for the known frequent tokens (set, token, df, size) by bucket of set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, np.ndarray]] = []
@@ -215,12 +243,18 @@ def tokens_out(buckets: int) -> Callable:
             h = np.concatenate([t for _, t in held])
             sizes = np.array([len(t) for _, t in held])
             k = np.repeat(np.array([x for x, _ in held], dtype=np.int64).view(np.uint64), sizes)
-            rows = list(by_bucket((h % np.uint64(buckets)).astype(np.int64), h, k, np.repeat(sizes, sizes)))
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], schema=_BLOB)
+            n = np.repeat(sizes, sizes)
+            at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+            often = known[at] == h if len(known) else np.zeros(len(h), dtype=bool)
+            rare = ~often
+            rows = [(*x, None) for x in by_bucket((h[rare] % np.uint64(buckets)).astype(np.int64), h[rare], k[rare], n[rare])]
+            if often.any():
+                rows += [(x, None, y) for x, y in by_bucket((k[often] % np.uint64(buckets)).astype(np.int64), k[often], h[often], df[at[often]], n[often])]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_BLOB)], schema=_BLOB)
 
         for batch in batches:
-            for k1, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.append((k1, np.frombuffer(tokens, dtype=np.uint64)))
+            for sid, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.append((sid, np.frombuffer(tokens, dtype=np.uint64)))
                 size += len(held[-1][1])
                 if size > CHUNK:
                     yield flush()
@@ -235,19 +269,18 @@ def frequencies(buckets: int) -> Callable:
     """(set, token, its number of sets, size of the set) by bucket of set, for tokens of several sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, k, n = from_blobs([d for batch in batches for d in batch.column(1).to_pylist()], 3)
+        blobs: list[bytes] = []
+        for batch in batches:
+            blobs += [d for d in batch.column(1).to_pylist() if d is not None]
+            yield batch.filter(pc.is_valid(batch.column(2)))
+        h, k, n = deduplicated(*from_blobs(blobs, 3))
         if not len(h):
             return
-        order = np.lexsort((k, h))
-        h, k, n = h[order], k[order], n[order]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
-        h, k, n = h[new], k[new], n[new]
         group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
         df = np.bincount(group)[group]
         kept = df > 1
         rows = list(by_bucket((k[kept] % np.uint64(buckets)).astype(np.int64), k[kept], h[kept], df[kept], n[kept]))
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], schema=_BLOB)
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.nulls(len(rows), pa.binary()), pa.array([d for _, d in rows], pa.binary())], schema=_BLOB)
 
     return run
 
@@ -262,7 +295,7 @@ def chosen_matches(df: np.ndarray, least: int, n: int) -> int:
 
 def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each set with enough shared tokens: its size, its tokens of no other set, its l, and its prefix in order."""
-    k, h, df, n = from_blobs([d for batch in batches for d in batch.column(1).to_pylist()], 4)
+    k, h, df, n = from_blobs([d for batch in batches for d in batch.column(2).to_pylist()], 4)
     order = np.lexsort((h, df, k))
     k, h, df, n = k[order], h[order], df[order].astype(np.int64), n[order].astype(np.int64)
     edges = np.flatnonzero(np.diff(k, prepend=~k[:1], append=~k[-1:])) if len(k) else np.array([0])
@@ -274,15 +307,15 @@ def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         l = chosen_matches(df[a:b], least, size)
         upto = a + shared - least + l
-        rows.append({"k1": int(k[a].astype(np.int64)), "n": size, "alone": size - shared, "matches": l, "tokens": h[a:upto].view(np.int64), "df": df[a:upto]})
+        rows.append({"sid": int(k[a].astype(np.int64)), "n": size, "alone": size - shared, "matches": l, "tokens": h[a:upto].view(np.int64), "df": df[a:upto]})
         if len(rows) >= 500:
             yield pa.RecordBatch.from_pylist(rows, _PREFIX)
             rows = []
     yield pa.RecordBatch.from_pylist(rows, _PREFIX)
 
 
-_PREFIX = pa.schema([("k1", pa.int64()), ("n", pa.int64()), ("alone", pa.int64()), ("matches", pa.int64()), ("tokens", pa.list_(pa.int64())), ("df", pa.list_(pa.int64()))])
-PREFIX = "k1 long, n long, alone long, matches long, tokens array<long>, df array<long>"
+_PREFIX = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("alone", pa.int64()), ("matches", pa.int64()), ("tokens", pa.list_(pa.int64())), ("df", pa.list_(pa.int64()))])
+PREFIX = "sid long, n long, alone long, matches long, tokens array<long>, df array<long>"
 
 
 def room(a: str, b: str) -> str:
@@ -303,8 +336,8 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
-    left = sets.select(F.col("k1").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("k1").alias("b"), F.col("tokens").alias("y"))
+    left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x"))
+    right = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
@@ -312,8 +345,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 ROWS = 256
 
 
-def across(members: list[dict], token: int) -> Iterator[tuple[int, int]]:
-    """Candidates between the components of one posting list.
+def across(members: list[dict], token: int, apart: bool) -> Iterator[tuple[int, int]]:
+    """Candidates between the components of one posting list, or with apart of two blocks of it.
 
     A pair belongs to the list of its first shared prefix token. Up to the earlier of the two prefixes' ends all tokens
     of both are known, so those that differ there, and those of no other set, count against the overlap that is needed.
@@ -324,7 +357,7 @@ def across(members: list[dict], token: int) -> Iterator[tuple[int, int]]:
     if len(comps) < 2:
         return
     top = max(comps, key=lambda c: (comps[c], c))
-    members = sorted(members, key=lambda m: (m["component"] == top, m["k1"]))
+    members = sorted(members, key=lambda m: (m["component"] == top, m["sid"]))
     rest = sum(m["component"] != top for m in members)
     sizes = np.array([len(m["tokens"]) for m in members])
     h = np.concatenate([np.asarray(m["tokens"], dtype=np.int64) for m in members]).view(np.uint64)  # as prefixes() orders them
@@ -344,13 +377,15 @@ def across(members: list[dict], token: int) -> Iterator[tuple[int, int]]:
     ranks = [rank[a : a + s] for a, s in zip(starts, sizes, strict=True)]
     last = np.array([r[-1] for r in ranks])
     n, alone, matches = (np.array([m[c] for m in members]) for c in ("n", "alone", "matches"))
-    comp, key = np.array([m["component"] for m in members]), np.array([m["k1"] for m in members])
+    comp, key, block = (np.array([m[c] for m in members]) for c in ("component", "sid", "block"))
     for a in range(0, rest, ROWS):
         b = min(rest, a + ROWS)
         common = has[a:b] @ has.T
         fine = (common >= np.minimum(matches[a:b, None], matches[None, :])) & (comp[a:b, None] != comp[None, :])
         fine &= (before[a:b] @ before.T) == 0
         fine &= np.arange(len(members))[None, :] > np.arange(a, b)[:, None]
+        if apart:
+            fine &= block[a:b, None] != block[None, :]
         for i, j in zip(*np.nonzero(fine), strict=True):
             i = int(i) + a
             end = min(last[i], last[j])
@@ -363,67 +398,115 @@ def across(members: list[dict], token: int) -> Iterator[tuple[int, int]]:
 
 
 def across_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """across() for each token of rows that are sorted by token."""
-    token, held = None, []
+    """across() for each token and pair of blocks of rows that are sorted by them."""
+    unit, held = None, []
 
     def close() -> pa.RecordBatch:
-        pairs = list(across(held, token))
+        pairs = list(across(held, unit[0], unit[1] != unit[2]))
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
     for batch in batches:
         for row in batch.to_pylist():
-            if row["token"] != token and held:
+            at = row["token"], row["lo"], row["hi"]
+            if at != unit and held:
                 yield close()
                 held = []
-            token = row["token"]
+            unit = at
             held.append(row)
     if held:
         yield close()
 
 
+#: Rounds in which each set is verified against one set of another component before lists are compared in full.
+PIVOT_ROUNDS = 2
+#: Rows of one list that meet in one task: as many of its largest component, and half as many of the others.
+BLOCK_ROWS = 1024
+
+
+def pivots(placed: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """For each set at most one pair (a, b), not tried before, with a set of another component that stands first or last in
+    most of its lists."""
+    entries = placed.select("component", F.struct("sid", "n", "alone").alias("s"), F.explode("tokens").alias("token"))
+    ends = entries.groupBy("token").agg(F.min(F.struct("component", "s")).alias("lo"), F.max(F.struct("component", "s")).alias("hi")).where("lo.component <> hi.component")
+    met = entries.join(ends, "token").select("s", F.when(F.col("component") == F.col("lo.component"), F.col("hi.s")).otherwise(F.col("lo.s")).alias("p"))
+    often = met.where(room("s", "p")).groupBy(F.col("s.sid").alias("s"), F.col("p.sid").alias("p")).agg(F.count(F.lit(1)).alias("shared"))
+    fresh = often.withColumns({"a": F.least("s", "p"), "b": F.greatest("s", "p")})
+    if tried is not None:
+        fresh = fresh.join(tried, ["a", "b"], "left_anti")
+    one = fresh.groupBy("s").agg(F.min(F.struct((-F.col("shared")).alias("shared"), "p", "a", "b")).alias("best"))
+    return one.select("best.a", "best.b").distinct()
+
+
+def units(placed: DataFrame) -> DataFrame:
+    """Rows of across_lists(): each posting list with several components, cut into pairs of blocks (lo, hi) of bounded size.
+
+    Blocks of a list's largest component come first and don't meet each other; the others meet all. A list of one block of
+    each is one unit."""
+    entries = placed.select("sid", "component", F.explode("tokens").alias("token"))
+    per = entries.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"))
+    lists = per.groupBy("token").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("m")).where("m > top.m")
+    blocks = lambda n, most: F.greatest(F.lit(1), F.ceil(n / F.lit(most))).cast("int")
+    lists = lists.select("token", F.col("top.component").alias("top"), blocks(F.col("top.m"), BLOCK_ROWS).alias("tops"), blocks(F.col("m") - F.col("top.m"), BLOCK_ROWS // 2).alias("others"))
+    in_top, spread, small = F.col("component") == F.col("top"), F.xxhash64("sid"), F.expr("tops = 1 AND others = 1")
+    block = F.when(small, 0).when(in_top, F.pmod(spread, F.col("tops"))).otherwise(F.col("tops") + F.pmod(spread, F.col("others"))).cast("int")
+    own = entries.join(lists, "token").withColumn("block", block)
+    last = F.expr("tops + others - 1")
+    meets = F.when(small, F.array(F.lit(0))).when(in_top, F.sequence("tops", last)).otherwise(F.sequence(F.lit(0), last))
+    cut = own.select("token", "sid", "component", "block", F.explode(meets).alias("other"))
+    return cut.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "sid", "component", "block")
+
+
 def links(sets: DataFrame) -> DataFrame:
-    """A spanning part of the links between sets (k1, tokens): edges a, b that give the same components as all links."""
-    width = shuffle_width(sets.sparkSession)
-    blob = "bucket int, data binary"
+    """A written table of a spanning part of the links between sets (sid, tokens): edges a, b that give the same components as all links."""
+    width = width_for(sets)
     buckets = 2 * width  # each map task sends at most one row to a bucket
-    counted = sets.select("k1", "tokens").mapInArrow(tokens_out(buckets), blob).repartition(width, "bucket").mapInArrow(frequencies(buckets), blob)
+    often, df = frequent(sets)
+    counted = sets.select("sid", "tokens").mapInArrow(tokens_out(buckets, often, df), BLOB).repartition(width, "bucket").mapInArrow(frequencies(buckets), BLOB)
     ordered = written(counted.repartition(width, "bucket").mapInArrow(prefixes, PREFIX), "jaccard-prefixes")
-    postings = ordered.select("k1", "n", "alone", F.explode("tokens").alias("token"))
-    pivots = postings.groupBy("token").agg(F.min(F.struct("k1", "n", "alone")).alias("p"))
-    starred = postings.alias("s").join(pivots.select("token", "p.*").alias("p"), "token").where(f"s.k1 <> p.k1 AND {room('s', 'p')}")
-    stars = starred.select(F.col("p.k1").alias("a"), F.col("s.k1").alias("b")).distinct()
-    found = written(verified(stars, sets), "jaccard-stars")
-    labels = written(components(found), "jaccard-labels")
-    placed = ordered.join(labels, ordered["k1"] == labels["node"], "left").withColumn("component", F.coalesce("component", "k1")).drop("node")
-    placed = written(placed, "jaccard-placed")
-    several = placed.select("component", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    listed = placed.select("k1", "component", F.explode("tokens").alias("token")).join(several, "token", "left_semi")
-    full = listed.join(placed.drop("component"), "k1").select("token", "k1", "component", "n", "alone", "matches", "tokens", "df")
-    candidates = full.repartition(width, "token").sortWithinPartitions("token").mapInArrow(across_lists, "a long, b long")
-    return found.unionByName(verified(written(candidates.distinct(), "jaccard-candidates"), sets))
+    found, tried, placed, old = None, None, ordered.withColumn("component", F.col("sid")), [ordered]
+    for _ in range(PIVOT_ROUNDS):
+        pairs = written(pivots(placed, tried), "jaccard-pivots")
+        linked = written(verified(pairs, sets), "jaccard-linked")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = linked if found is None else found.unionByName(linked)
+        labels = components(found)
+        now = ordered.join(labels, ordered["sid"] == labels["node"], "left").withColumn("component", F.coalesce("component", "sid")).drop("node")
+        placed = written(now, "jaccard-placed")
+        old += [pairs, linked, labels, placed]
+    full = units(placed).join(placed.drop("component"), "sid").select("token", "lo", "hi", "block", "sid", "component", "n", "alone", "matches", "tokens", "df")
+    candidates = full.repartition(width, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(across_lists, "a long, b long")
+    left = written(candidates.distinct(), "jaccard-candidates")
+    every = written(found.unionByName(verified(left, sets)), "jaccard-links")
+    drop_scratch(left, *old)
+    return every
 
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row, with mark, a hash of its text, and component, which tells components
-    apart whose component_id is the same or null; rows without shingles have none."""
-    width = shuffle_width(docs.sparkSession)
+    apart whose component_id is the same or null; rows without shingles have none. The result reads the tables in its
+    attribute tables, which drop_scratch() deletes when it is no longer needed."""
+    width = width_for(docs)
     buckets = 2 * width  # each map task sends at most one row to a bucket
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("mark"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("mark"))
     mapped = rows.mapInArrow(first_map(buckets), FIRST).repartition(width, "bucket").mapInArrow(first_count, FIRST)
     first = written(mapped.drop("bucket", "data"), "jaccard-first")
     own = first.where("n IS NOT NULL")
-    sets = own.where("n > 0").groupBy("k1").agg(
-        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "mark")).alias("one"), F.max("n").alias("n"), F.min("k2").alias("lo"), F.max("k2").alias("hi")
-    )
-    sets = sets.withColumn("n", F.when(F.col("lo") == F.col("hi"), F.col("n")).otherwise(F.raise_error(F.lit("two sets of shingles have the same hash")).cast("long")))
+    distinct = own.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "mark")).alias("one"), F.max("n").alias("n"))
+    sets = written(distinct.withColumn("sid", F.monotonically_increasing_id()), "jaccard-distinct")
     hits = first.where("hits IS NOT NULL").groupBy("k1").agg(F.sum("hits").alias("hits"))
     overlap = f"(({SIMILAR} * n + 99) DIV 100)"
-    alive = sets.join(hits, "k1").where(f"hits >= 1 + {overlap} DIV {FIRST_PER}").select("one.*")
-    texts = rows.alias("r").join(alive.alias("s"), (F.col("r.mark") == F.col("s.mark")) & F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")), "left_semi")
-    full = written(texts.select("text").mapInArrow(whole_sets, "k1 long, tokens binary").dropDuplicates(["k1"]), "jaccard-sets")
-    labels = components(links(full)).withColumnRenamed("node", "k1")
-    named = written(sets.select("k1", "least").join(labels, "k1", "left").withColumn("component", F.coalesce("component", "k1")), "jaccard-named")
+    alive = sets.join(hits, "k1").where(f"hits >= 1 + {overlap} DIV {FIRST_PER}").select("sid", "one.*")
+    same = (F.col("r.mark") == F.col("s.mark")) & F.col("r.doc_id").eqNullSafe(F.col("s.doc_id"))
+    texts = rows.alias("r").join(alive.alias("s"), same).select("s.sid", "r.text")
+    full = written(texts.mapInArrow(whole_sets, "sid long, tokens binary").dropDuplicates(["sid"]), "jaccard-sets")
+    linked = links(full)
+    labels = components(linked)
+    named = sets.join(labels, sets["sid"] == labels["node"], "left").withColumn("component", F.coalesce("component", "sid"))
+    named = written(named.select("k1", "k2", "least", "component"), "jaccard-named")
+    drop_scratch(full, linked, labels, sets)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = named.join(least, "component").select("k1", "component", "component_id")
-    joined = own.join(known, "k1", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "mark", "component")
+    known = named.join(least, "component").select("k1", "k2", "component", "component_id")
+    joined = own.join(known, ["k1", "k2"], "left")
+    out = joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "mark", "component")
+    out.tables = [first, named]
+    return out
