@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm import jaccard, mixing, pii, quality, sentencepieces
-from tempora.llm.common import table, written
+from tempora.llm.common import drop_scratch, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,8 +27,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     What stays is told by doc_id and a hash of the text; documents without shingles all stay."""
     same = lambda a, b: (F.col(f"{a}.mark") == F.col(f"{b}.mark")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
-    alike = jaccard.join(docs).where("n_shingles > 0").groupBy("component", "doc_id", "mark").agg(F.count(F.lit(1)).alias("copies"))
+    joined = jaccard.join(docs)
+    alike = joined.where("n_shingles > 0").groupBy("component", "doc_id", "mark").agg(F.count(F.lit(1)).alias("copies"))
     alike = written(alike, "pipeline-alike")
+    drop_scratch(*joined.tables)
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark", "copies")
     kept = written(alike.groupBy("component").agg(F.min(first).alias("one")).select("one.doc_id", "one.mark", "one.copies"), "pipeline-kept")
     # Copies that are equal in doc_id and text are few as a rule, so that this table is read once more for them alone.
