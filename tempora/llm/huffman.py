@@ -1,7 +1,7 @@
 """Token ids as a compressed file format: canonical length-limited Huffman codes.
 
-One code serves the whole corpus and comes from the global counts of ids; its lengths are limited to LIMIT
-bits by package-merge, so that a table of 2^LIMIT entries decodes a symbol with one look-up. Ids are
+One code serves the whole corpus and comes from the global counts of ids; its lengths are limited by package-merge, to LIMIT
+bits or two more than the used ids need, so that a table of 2^limit entries decodes a symbol with one look-up. Ids are
 written in ascending doc_id order as segments; a segment is cut into independent blocks of BLOCK ids, whose
 bit offsets it lists, and all blocks of a segment are decoded side by side.
 
@@ -11,7 +11,8 @@ an int64 doc_id, for each a byte that is 1 where doc_id is null, and for each a
 the bits, first bit highest.
 
 Defined results: a null text counts as empty and gives the end id alone; null doc_ids come first; repeated
-doc_ids stand together, in the order of their ids' bytes; an empty table gives no segments.
+doc_ids stand together, in the order of their ids' bytes; an empty table gives no segments. Special tokens of the vocabulary
+that stand in a text become their ids, as the library does it.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import drop_scratch, scratch_path, shuffle_width, written
+from tempora.llm.common import drop_scratch, scratch_path, width_for, written
 from tempora.llm.pieces import PieceEncoder, binary_column
 
 LIMIT = 16
@@ -46,16 +47,17 @@ def library_encoder(path: str, end: int | None) -> PieceEncoder:
     """The tokenizers library behind the piece memory, one for each worker.
 
     Pieces side by side are encoded as one string, for a call costs more than a piece; as every id of a byte-level
-    vocabulary stands for a known number of bytes, the ids are cut at the pieces' ends."""
+    vocabulary stands for a known number of bytes, the ids are cut at the pieces' ends. Texts with an added token go to the
+    library whole."""
     if (path, end) not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        width = np.zeros(tok.get_vocab_size(), dtype=np.int64)
+        width = np.zeros(max(tok.get_vocab().values()) + 1, dtype=np.int64)
         for token, i in tok.get_vocab().items():
             width[i] = len(token)
+        added = [t.content for t in tok.get_added_tokens_decoder().values()]
         whole = lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
         def runs(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +66,7 @@ def library_encoder(path: str, end: int | None) -> PieceEncoder:
             upto = np.searchsorted(np.cumsum(width[flat]), ends) + 1
             return np.diff(upto, prepend=0), flat
 
-        _ENCODERS[path, end] = PieceEncoder(whole, runs, end)
+        _ENCODERS[path, end] = PieceEncoder(whole, runs, end, added=added)
     return _ENCODERS[path, end]
 
 
@@ -81,8 +83,15 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_
             at = to
 
 
-def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """doc_id and ids, as little-endian unsigned 32-bit integers with the end id last; and for each task a row whose
+def id_type(path: str, end: int) -> str:
+    """The narrowest of 16 and 32 bits, little-endian, that holds all ids of a vocabulary."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(end, *Tokenizer.from_file(path).get_vocab().values()) < 1 << 16 else "<u4"
+
+
+def tokenised(docs: DataFrame, path: str, end: int, kind: str = "<u4") -> DataFrame:
+    """doc_id and ids, as unsigned integers of a kind with the end id last; and for each task a row whose
     counts alone is set: how often it gave each id, as little-endian 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +101,7 @@ def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
             got = np.bincount(ids, minlength=len(total)).astype("<i8")
             got[: len(total)] += total
             total = got
-            rows = [batch.column("doc_id").cast(pa.int64()), binary_column(ids.astype("<u4"), offsets), pa.nulls(batch.num_rows, pa.binary())]
+            rows = [batch.column("doc_id").cast(pa.int64()), binary_column(ids.astype(kind), offsets), pa.nulls(batch.num_rows, pa.binary())]
             yield pa.RecordBatch.from_arrays(rows, ["doc_id", "ids", "counts"])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.large_binary()), pa.array([total.tobytes()])], ["doc_id", "ids", "counts"])
 
@@ -118,15 +127,14 @@ def global_counts(counts: DataFrame) -> dict[int, int]:
     return {r[0]: r[1] for r in counted.collect()}
 
 
-def code_lengths(counts: dict[int, int], limit: int = LIMIT) -> dict[int, int]:
-    """Package-merge: optimal code lengths of at most limit bits."""
+def code_lengths(counts: dict[int, int]) -> dict[int, int]:
+    """Package-merge: optimal code lengths of a limited number of bits."""
     if not counts:
         return {}
+    limit = max(LIMIT, (len(counts) - 1).bit_length() + 2)
     symbols = sorted(counts, key=lambda s: (counts[s], s))
     if len(symbols) == 1:
         return {symbols[0]: 1}
-    if len(symbols) > 1 << limit:
-        raise ValueError(f"{len(symbols)} ids don't fit codes of {limit} bits")
     leaves = np.array([counts[s] for s in symbols], dtype=np.int64)
     levels, row = [], leaves
     is_leaf = np.ones(len(leaves), dtype=bool)
@@ -149,8 +157,8 @@ def code_lengths(counts: dict[int, int], limit: int = LIMIT) -> dict[int, int]:
 class Code:
     """Canonical codes: shorter first, equal lengths by id."""
 
-    def __init__(self, lengths: dict[int, int], limit: int = LIMIT):
-        self.limit = limit
+    def __init__(self, lengths: dict[int, int]):
+        self.limit = limit = max(lengths.values(), default=1)
         order = sorted(lengths, key=lambda s: (lengths[s], s))
         top = max(order, default=0) + 1
         self.codes, self.bits = np.zeros(top, dtype=np.uint64), np.zeros(top, dtype=np.int64)
@@ -225,7 +233,9 @@ def parse(data: bytes, code: Code) -> tuple[list[int | None], np.ndarray, np.nda
 def write_ids(docs: DataFrame, vocabulary: str, path: str, end: int = 0) -> None:
     """Tokenises docs and writes codebook and segments under path."""
     spark: SparkSession = docs.sparkSession
-    ids = written(tokenised(docs, vocabulary, end), "token-ids")
+    kind = id_type(vocabulary, end)
+    wide = np.dtype(kind).itemsize
+    ids = written(tokenised(docs, vocabulary, end, kind), "token-ids")
     lengths = code_lengths(global_counts(ids.where("counts IS NOT NULL")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,21 +244,21 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, end: int = 0) -> None
         size = 0
 
         def segment() -> pa.RecordBatch:
-            all_ids = np.frombuffer(b"".join(x for _, x in held), dtype="<u4")
-            body = payload([d for d, _ in held], [len(x) // 4 for _, x in held], all_ids, code)
+            all_ids = np.frombuffer(b"".join(x for _, x in held), dtype=kind)
+            body = payload([d for d, _ in held], [len(x) // wide for _, x in held], all_ids, code)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([start]), pa.array([len(all_ids)]), pa.array([body])], ["part", "start_in_part", "n_tokens", "payload"])
 
         for batch in batches:
             for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.append((d, x))
-                size += len(x) // 4
+                size += len(x) // wide
                 if size >= SEGMENT:
                     yield segment()
                     held, start, size = [], start + size, 0
         if held:
             yield segment()
 
-    ordered = ids.where("counts IS NULL").select("doc_id", "ids").repartitionByRange(shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = ids.where("counts IS NULL").select("doc_id", "ids").repartitionByRange(width_for(ids), "doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(run, "part int, start_in_part long, n_tokens long, payload binary").write.option("compression", "none").parquet(f"{path}/segments")
     spark.createDataFrame(sorted(lengths.items()), "id long, bits int").coalesce(1).write.parquet(f"{path}/codebook")
     drop_scratch(ids)

@@ -27,9 +27,13 @@ def flattened(lists: list) -> tuple[np.ndarray, np.ndarray]:
 
 class PieceEncoder:
     """whole(texts) gives the ids of each text; runs(pieces) gives the sizes and all ids of pieces that start with
-    white space and may stand side by side; end is an id that closes each document, and most the pieces that are remembered."""
+    white space and may stand side by side; end is an id that closes each document, most the pieces that are remembered,
+    and added are strings that the tokenizer finds before it cuts a text: texts that hold one are encoded whole."""
 
-    def __init__(self, whole: Callable[[list[str]], list], runs: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None, end: int | None = None, most: int = MOST_PIECES):
+    def __init__(
+        self, whole: Callable[[list[str]], list], runs: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None, end: int | None = None, most: int = MOST_PIECES, added: list[str] = ()
+    ):
+        self.added = [a for a in added if a]
         self.whole, self.end, self.most = whole, [] if end is None else [end], most
         self.runs = runs or (lambda pieces: flattened(whole(pieces)))
         self.clear()
@@ -51,7 +55,7 @@ class PieceEncoder:
         numbers = np.fromiter(map(at.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
         missed = np.flatnonzero(numbers < 0).tolist()
         new = [pieces[i] for i in missed]
-        good = [p for p in dict.fromkeys(new) if p and (p.strip() == p or self.stands_alone(p))]
+        good = [p for p in dict.fromkeys(new) if p and (p.strip() == p or self.stands_alone(p)) and not any(a in p for a in self.added)]
         if good:
             sizes, flat = self.runs([p if p[0] == "\n" else " " + p for p in good]) if spaced else flattened(self.whole(good))
             n = len(self.sizes)
@@ -81,7 +85,11 @@ class PieceEncoder:
         number[picked] = self.add([known[i] for i in picked], spaced=True)
         rows = number[words]
         rows[bounds[:-1]] = self.add([known[i] for i in words[bounds[:-1]]], spaced=False)
-        wild = np.flatnonzero(np.minimum.reduceat(rows, bounds[:-1]) < 0) if n else np.array([], dtype=np.int64)
+        alone = np.minimum.reduceat(rows, bounds[:-1]) < 0 if n else np.zeros(0, dtype=bool)
+        for a in self.added:
+            if any(c.isspace() for c in a):  # others are seen in their pieces
+                alone |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        wild = np.flatnonzero(alone)
         ends = np.insert(rows, bounds[1:], 0)
         own = np.zeros(n, dtype=bool)
         own[wild] = True
