@@ -36,6 +36,8 @@ LIMIT = 16
 BLOCK = 256
 SEGMENT = 1 << 18
 MAGIC = b"TPH1"
+#: Bytes of text that are encoded at a time: more of them repeat more pieces.
+BATCH = 8_000_000
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
@@ -96,7 +98,7 @@ def tokenised(docs: DataFrame, path: str, end: int, kind: str = "<u4") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, total = library_encoder(path, end), np.zeros(0, dtype="<i8")
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", BATCH):
             ids, offsets = encode(batch.column("text"))
             got = np.bincount(ids, minlength=len(total)).astype("<i8")
             got[: len(total)] += total

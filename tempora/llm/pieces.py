@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker remembers; with more it starts anew.
+#: Pieces that a worker remembers; with more it forgets those that least batches had, and half of them at least.
 MOST_PIECES = 600_000
 
 
@@ -43,34 +43,55 @@ class PieceEncoder:
         self.flat = np.array(self.end, dtype=np.uint32)
         self.starts = np.zeros(1, dtype=np.int64)
         self.sizes = np.array([len(self.end)], dtype=np.int64)
+        self.batches = np.zeros(1, dtype=np.int32)
+
+    def forget(self) -> None:
+        """Keeps the pieces that several batches had, half of the most at most."""
+        kept = np.flatnonzero(self.batches > 1)
+        if len(kept) > self.most // 2:
+            kept = np.sort(kept[np.argsort(self.batches[kept], kind="stable")[-(self.most // 2) :]])
+        kept = np.concatenate([[0], kept[kept > 0]])
+        number = np.full(len(self.sizes), -1, dtype=np.int64)
+        number[kept] = np.arange(len(kept))
+        to = number.tolist()
+        self.at = tuple({p: to[n] for p, n in at.items() if to[n] > 0} for at in self.at)
+        sizes = self.sizes[kept]
+        starts = np.cumsum(sizes) - sizes
+        self.flat = self.flat[np.repeat(self.starts[kept] - starts, sizes) + np.arange(int(sizes.sum()))]
+        self.starts, self.sizes, self.batches = starts, sizes, self.batches[kept] // 2
 
     @staticmethod
     def stands_alone(piece: str) -> bool:
         body = piece[1:] if piece[:1] == "\n" else piece
         return bool(body) and not body[0].isspace() and not body[-1].isspace()
 
-    def add(self, pieces: list[str], spaced: bool) -> np.ndarray:
-        """The numbers of the pieces in the memory; -1 for those that don't stand alone."""
+    def add(self, pieces: list[str], spaced: bool, added: list[str]) -> np.ndarray:
+        """The numbers of the pieces, which differ if spaced, in the memory; -1 for those that don't stand alone or hold one of added."""
         at = self.at[spaced]
         numbers = np.fromiter(map(at.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
         missed = np.flatnonzero(numbers < 0).tolist()
         new = [pieces[i] for i in missed]
-        good = [p for p in dict.fromkeys(new) if p and (p.strip() == p or self.stands_alone(p)) and not any(a in p for a in self.added)]
+        good = [p for p in dict.fromkeys(new) if p and (p.strip() == p or self.stands_alone(p)) and not (added and any(a in p for a in added))]
         if good:
             sizes, flat = self.runs([p if p[0] == "\n" else " " + p for p in good]) if spaced else flattened(self.whole(good))
             n = len(self.sizes)
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
             self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
+            self.batches = np.concatenate([self.batches, np.zeros(len(good), dtype=np.int32)])
             at.update(zip(good, range(n, n + len(good)), strict=True))
             numbers[missed] = np.fromiter(map(at.get, new, repeat(-1)), dtype=np.int64, count=len(new))
+        if spaced:
+            self.batches[numbers[numbers > 0]] += 1
         return numbers
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and for each text the offset of its first, with the end at last."""
         if len(self.sizes) > self.most:
-            self.clear()
+            self.forget()
         n = len(texts)
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        holds = {a: pc.match_substring(texts, a).to_numpy(zero_copy_only=False) for a in self.added}
+        added = [a for a, found in holds.items() if found.any()]
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         bounds = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
@@ -81,41 +102,37 @@ class PieceEncoder:
         later = np.zeros(len(known), dtype=bool)
         later[words[~first]] = True
         picked = np.flatnonzero(later)
-        number = np.full(len(known), -1, dtype=np.int64)
-        number[picked] = self.add([known[i] for i in picked], spaced=True)
+        number = np.full(len(known), -1, dtype=np.int32)
+        number[picked] = self.add([known[i] for i in picked], True, added)
         rows = number[words]
-        rows[bounds[:-1]] = self.add([known[i] for i in words[bounds[:-1]]], spaced=False)
+        rows[bounds[:-1]] = self.add([known[i] for i in words[bounds[:-1]]], False, added)
         alone = np.minimum.reduceat(rows, bounds[:-1]) < 0 if n else np.zeros(0, dtype=bool)
-        for a in self.added:
-            if any(c.isspace() for c in a):  # others are seen in their pieces
-                alone |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        for a in added:
+            alone |= holds[a]
         wild = np.flatnonzero(alone)
-        ends = np.insert(rows, bounds[1:], 0)
-        own = np.zeros(n, dtype=bool)
-        own[wild] = True
-        doc = np.repeat(np.arange(n), np.diff(bounds) + 1)
-        ends[own[doc]] = 0
-        sizes = self.sizes[ends]
-        sizes[own[doc]] = 0
-        per_doc = np.bincount(doc, weights=sizes, minlength=n).astype(np.int64)
-        special = {}
-        if len(wild):
-            for d, ids in zip(wild.tolist(), self.whole(texts.take(pa.array(wild)).to_pylist()), strict=True):
-                special[d] = np.array([*ids, *self.end], dtype=np.uint32)
-                per_doc[d] = len(special[d])
-        offsets = np.concatenate([[0], np.cumsum(per_doc)])
-        out = np.empty(int(offsets[-1]), dtype=np.uint32)
-        total = int(sizes.sum())
-        src = np.repeat(self.starts[ends] - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
-        tame = self.flat[src]
-        if not special:
-            return tame, offsets
-        place = np.ones(len(out), dtype=bool)
-        for d, ids in special.items():
-            out[offsets[d] : offsets[d + 1]] = ids
-            place[offsets[d] : offsets[d + 1]] = False
-        out[place] = tame
-        return out, offsets
+        if not len(wild):
+            return self.laid(rows, np.diff(bounds))
+        tame = np.flatnonzero(~alone)
+        counts = np.diff(bounds)
+        flat, offsets = self.laid(rows[np.repeat(~alone, counts)], counts[tame])
+        special = [np.array([*ids, *self.end], dtype=np.uint32) for ids in self.whole(texts.take(pa.array(wild)).to_pylist())]
+        sizes = np.empty(n, dtype=np.int64)
+        sizes[tame], sizes[wild] = np.diff(offsets), [len(x) for x in special]
+        out, mine = np.empty(int(sizes.sum()), dtype=np.uint32), np.repeat(alone, sizes)
+        out[~mine] = flat
+        out[mine] = np.concatenate(special)
+        return out, np.concatenate([[0], np.cumsum(sizes)])
+
+    def laid(self, rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of documents of so many pieces each, one document after another, and the offset of each."""
+        ends = np.cumsum(counts)
+        rows = np.insert(rows, ends, 0)  # what closes a document is number 0
+        sizes = self.sizes[rows]
+        upto = np.cumsum(sizes)
+        total = int(upto[-1]) if len(upto) else 0
+        src = np.repeat(self.starts[rows] - (upto - sizes), sizes)
+        src += np.arange(total)
+        return self.flat[src], np.concatenate([[0], upto[ends + np.arange(len(ends))]])
 
 
 def binary_column(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
