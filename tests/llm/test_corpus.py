@@ -5,10 +5,12 @@ import re
 import struct
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tempora.llm import html_extract, huffman, jaccard, mixing, pii, quality, sentencepieces, sharding, topk, warc
@@ -55,14 +57,27 @@ def test_quality(docs, empty):
     assert only["few_words"][0] == sum(len(words(t)) < 20 for _, t, _ in DOCS)
 
 
-def test_sharding(docs, empty):
-    got = sharding.shard(docs, 3).collect()
-    assert len(got) == len(DOCS) and sharding.shard(empty).count() == 0
-    by_text = {}
+@pytest.mark.parametrize("shards", [8, 3, 1])
+def test_sharding(docs, empty, shards):
+    """Against a heap over the groups one by one."""
+    import heapq
+
+    got = sharding.shard(docs, shards).collect()
+    want = Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, _ in DOCS)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
+    assert {(r.law, r.grown_shard) for r in got} == {("bytes", None)} and sharding.shard(empty).count() == 0
+    groups, where = Counter(), {}
+    for _, t, _ in DOCS:
+        groups[t or ""] += len((t or "").encode()) + 1
+    heap = [(0, s) for s in range(shards)]
+    for size in sorted(groups.values(), reverse=True):
+        heapq.heapreplace(heap, (heap[0][0] + size, heap[0][1]))
+    loads = Counter()
     for r in got:
-        by_text.setdefault((r.text_crc32, r.size), set()).add(r.shard)
-    assert all(len(s) == 1 for s in by_text.values())
-    for s in {r.shard for r in got}:
+        loads[r.shard] += r.size
+        where.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+    assert sorted(loads.values()) == sorted(n for n, _ in heap if n) and all(len(s) == 1 for s in where.values())
+    for s in loads:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
 
 
@@ -83,12 +98,14 @@ def test_token_ids(docs, empty):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    special = [(60, "a <|endoftext|> b"), (61, "<|endoftext|>"), (62, "x<|endoftext|>y <|endoftext|><|endoftext|>\n<|endo" + " word" * 300), (63, "<|endoftext| >")]
+    more = docs.sparkSession.createDataFrame(special, "doc_id long, text string")
     want = Counter()
-    for d, t, _ in DOCS:
+    for d, t in [*((d, t) for d, t, _ in DOCS), *special]:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
         want[d, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))] += 1
-    got = huffman.round_trip(docs, path).collect()
+    assert tok.encode(special[0][1], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    got = huffman.round_trip(docs.select("doc_id", "text").unionByName(more), path).collect()
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
     at = 0
     for r in sorted(got, key=lambda r: r.start):
@@ -101,11 +118,16 @@ def test_huffman_codes():
     rng = np.random.default_rng(3)
     ids = (rng.zipf(1.3, 20000) % 5000).astype(np.uint32)
     lengths = huffman.code_lengths(dict(Counter(ids.tolist())))
-    assert max(lengths.values()) <= 16 and sum(2.0**-n for n in lengths.values()) <= 1
+    assert max(lengths.values()) <= huffman.LIMIT and sum(2.0**-n for n in lengths.values()) <= 1
     code = huffman.Code(lengths)
     data, offsets = code.pack(ids)
     assert (code.unpack(data, offsets, len(ids)) == ids).all()
     assert huffman.code_lengths({7: 3}) == {7: 1} and huffman.code_lengths({}) == {}
+    many = {i: 1 + (i % 1000 == 0) * 10**6 for i in range(150_000)}  # more ids than codes of LIMIT bits
+    lengths = huffman.code_lengths(many)
+    code, ids = huffman.Code(lengths), rng.permutation(150_000).astype(np.uint32)
+    data, offsets = code.pack(ids)
+    assert max(lengths.values()) > huffman.LIMIT and (code.unpack(data, offsets, len(ids)) == ids).all()
 
 
 def test_sentencepiece(docs, empty):
@@ -132,6 +154,47 @@ def test_sentencepiece_cuts_no_piece_at_white_space(spark):
     assert not fst.spaced and not fst.lined  # what the cuts at spaces and line feeds stand on
 
 
+def handmade_model(folder, kind, pieces, fallback=True, dummy=True):
+    """A model file put together by hand; nothing is trained."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    model.trainer_spec.model_type = kind
+    model.trainer_spec.byte_fallback = fallback
+    model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces, model.normalizer_spec.escape_whitespaces = dummy, False, True
+    model.pieces.add(piece="<unk>", score=0, type=2)
+    if fallback:
+        for b in range(256):
+            model.pieces.add(piece=f"<0x{b:02X}>", score=0, type=6)
+    for piece, score in pieces.items():
+        model.pieces.add(piece=piece, score=score, type=1)
+    path = folder / f"m{kind}{int(fallback)}{int(dummy)}.model"
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+@pytest.mark.parametrize("dummy", [True, False])
+def test_unigram_shortest_path(spark, tmp_path, fallback, dummy):
+    """Equal to the library, with and without byte fallback and a dummy prefix."""
+    import random
+
+    import sentencepiece
+
+    rng = random.Random(5)
+    letters = "abcdé▁"
+    pieces = {c: -6.0 - rng.random() for c in letters} | {"".join(rng.choice(letters[:-1]) for _ in range(n)): -2.0 * n - rng.random() for n in (2, 3, 4) for _ in range(40)}
+    pieces |= {"▁" + p: -5.5 - rng.random() for p in list(pieces)[8:60:3]}
+    path = handmade_model(tmp_path, 1, pieces, fallback, dummy)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["".join(rng.choice("aaabbbccdé  x日") for _ in range(rng.randrange(0, 40))) for _ in range(300)] + ["", " ", "a", "日日x", "\n a\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: list(r.ids) for r in sentencepieces.encoded(docs, path).collect()}
+    assert got == {i: sp.encode(t) for i, t in enumerate(texts)}
+    back = {r.doc_id: r.text for r in sentencepieces.decoded(sentencepieces.encoded(docs, path), path).collect()}
+    assert back == {i: sp.decode(got[i]) for i in got}
+
+
 def test_lattices_side_by_side():
     import random
 
@@ -171,6 +234,37 @@ def test_personal_data(spark, docs, empty):
     assert masked[10] == "mail <email> now, <phone> or <card> at <ip>" and masked[6] == LONG
 
 
+def test_personal_data_model(spark, docs):
+    """Texts without hits change no weight; wider spans are added where they pass the checks and touch no base span."""
+    number = "4495114827612972"
+    odd = [(70, "call (743) 555-3824 now"), (71, "ring (743) 555-3824 or 743 555 3825, fax 743.555.3826"), (72, "bob at 10[.]2[.]3[.]4 or 999[.]1[.]1[.]1"), (73, f"card {number[:4]}/{number[4:8]}/{number[8:12]}/{number[12:]}"),
+           (74, f"pay with {number} 86 today"), (75, "write to ann.b (at) example (dot) org"), (76, "+1 (743) 555-3824"), (77, "1234/5678/1234/5678")]
+    table = spark.createDataFrame([*odd, *((80 + i, f"+1 (743) 555-38{i} and c{i}@mail.example.com") for i in range(10, 30))], "doc_id long, text string")
+    empty = spark.createDataFrame([(1000 + i, "words alone" if i % 3 else None) for i in range(600)], "doc_id long, text string")
+    votes = lambda t: pii.vote(pii.candidates(t, ["doc_id"]))
+    alone = pii.fit(votes(table))
+    both = votes(table.unionByName(empty))
+    assert pii.fit(both) == alone and both.where("detector IS NULL AND form IS NULL AND kind IS NULL AND NOT base").count() == 600
+    got = {r.doc_id: [(pii.KINDS[s.kind], s.hit, s.base) for s in r.spans] for r in pii.find(table.unionByName(empty), ["doc_id"]).collect()}
+    assert got[70] == [("phone", "(743) 555-3824", False)] and [x[1] for x in got[71]] == ["(743) 555-3824", "743 555 3825", "743.555.3826"]
+    assert got[72] == [("ip", "10[.]2[.]3[.]4", False)] and got[73] == [("card", "4495/1148/2761/2972", False)] and got[74] == [("card", number, False)]
+    assert got[75] == [("email", "ann.b (at) example (dot) org", False)] and got[76] == [("phone", "+1 (743) 555-3824", True)] and got[77] == [] == got[1001] and got[1000] == []
+    counts = [((1, 1, 1, 1, 1), 50), ((0, -1, -1, -1, 1), 50), ((1, 1, 0, 0, 1), 20)]
+    share, table_, believed = pii.estimate(counts)
+    assert 0.4 < share < 0.75 and believed[counts[0][0]] > 0.95 and believed[counts[1][0]] < 0.05 and table_[1][1][0] > table_[1][1][1]
+    weights = pii.train(counts, believed)
+    assert weights[2] > 0 and weights[5] == 0.0  # the labeler that always votes the same has no part
+
+
+def test_personal_data_beside_columns_of_the_same_names(spark):
+    names = ["spans", "uid", "start", "stop", "hit", "kind", "before", "after", "kept", "detector", "base", "__uid", "__text"]
+    docs = spark.createDataFrame([(1, "mail a@b.cd now", *names), (2, None, *names)], ", ".join(["doc_id long, text string", *(f"{n} string" for n in names)]))
+    got = sorted(pii.masked(docs).collect())
+    assert got == [(1, "mail <email> now", *names), (2, None, *names)]
+    found = pii.find(docs, names, "a", "b").where("size(b) > 0").first()
+    assert list(found)[: len(names)] == names and found.b[0].hit == "a@b.cd"
+
+
 def test_warc(spark):
     page = "<p>" + "x" * 1200 + "</p>"
     rows = [(1, "http://a/1", page), (2, "http://a/2", page), (2, "http://a/2", page), (3, None, "small"), (4, "http://a/4", "small"), (5, "u", None), (None, "n", page)]
@@ -183,25 +277,69 @@ def test_warc(spark):
         want.append((i or 0, len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", 2 if again else None))
     assert got == sorted(want, key=str)
     assert warc.round_trip(pages.where("false")).count() == 0
-
-
-def test_mixing(spark, empty):
-    rows = [(i, " ".join(["w"] * (1 + i * 7 % 40)), f"s{i % 4}" if i % 9 else None) for i in range(800)]
-    docs = spark.createDataFrame([*rows, (800, None, "s0"), (5, "w w", "s1")], "doc_id long, text string, source string")
-    got = mixing.mix(docs, ["doc_id", "source"]).collect()
-    assert len(got) == 802
-    taken, size, target = Counter(), Counter(), {}
+    extra = pages.selectExpr("*", "1 AS row", "'x' AS head", "'y' AS digest", "'z' AS type").repartition(3)
+    folder = warc.scratch_path(spark, "warc-test")
+    names = warc.write_archives(warc.deduplicated(extra), folder)
+    records = warc.read_archives(names, folder, with_payload=True)
+    assert records.count() == 3 * len(rows) == records.select("record_id").distinct().count()  # ids of records differ, of equal rows too
+    assert Counter(bytes(r.payload).decode() for r in records.where("type = 'response'").collect()) == Counter((h or "") for i, _, h in rows if i == 2 or len(h or "") < 1000)
+    assert records.where("type <> 'response' AND type <> 'revisit'").join(records.selectExpr("record_id AS concurrent_to"), "concurrent_to", "left_anti").count() == 0
+    # a second attempt's files that no task has committed are not read
+    first = names.first().name
+    with open(folder.removeprefix("file://") + "/" + first, "rb") as f, open(folder.removeprefix("file://") + "/" + first.replace(".warc", "9.warc"), "wb") as g:
+        g.write(f.read())
+    assert warc.read_archives(names, folder).count() == 3 * len(rows)
+
+
+def filled(sizes):
+    """Targets by the contract's words: stop at two times the size, the excess reshared by weight until none is above."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, target, free, left = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, {}, set(names), Fraction(3, 2) * sum(sizes.values())
+    while free:
+        unit = left / sum(weight[s] for s in free)
+        full = {s for s in free if weight[s] * unit > 2 * sizes[s]}
+        target |= {s: Fraction(2 * sizes[s]) if full else weight[s] * unit for s in full or free}
+        left -= sum(target[s] for s in full)
+        free = free - full if full else set()
+    return target
+
+
+@pytest.mark.parametrize("sources", [4, 1, 60])
+def test_mixing(spark, empty, sources):
+    """Against queues served one document at a time: the next is the copy that finishes first."""
+    rows = [(i, " ".join(["w"] * (1 + i * 7 % 40)), f"s{i * i % sources}" if i % 9 else None) for i in range(800)]
+    rows += [(800, None, "s0"), (5, "w w", "s1"), (5, "w w", "s1"), (None, "w w w", "s1"), (801, "w " * 900, "s2"), (802, "", "nothing"), (803, "a b", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    marked = docs.select("*", F.xxhash64(F.lit(7), "doc_id", "text").alias("at")).collect()
+    queues, sizes = {}, Counter()
+    for r in sorted(marked, key=lambda r: r.at):
+        queues.setdefault(r.source, []).append((len(words(r.text)), r.at))
+        sizes[r.source] += len(words(r.text))
+    target = filled(dict(sizes))
+    order = []
+    for s, queue in queues.items():
+        done = 0
+        for n, at in queue * 2:
+            done += n
+            if n:
+                order.append((done / float(target[s]), at, n))
+    budget, want = sum(sizes.values()) * 3 // 2, Counter()
+    for _, at, n in sorted(order):
+        if n > budget:
+            break
+        budget -= n
+        want[at] += n
+    got = mixing.mix(docs, ["doc_id", "text", "source"]).select("*", F.xxhash64(F.lit(7), "doc_id", "text").alias("at")).collect()
+    taken = Counter()
     for r in got:
-        assert r.taken <= 2 * r.size
-        taken[r.source] += r.taken
-        size[r.source] += r.size
-        target[r.source] = r.target
-    assert abs(sum(target.values()) - 1.5 * sum(size.values())) < 1e-6
-    for s in size:
-        assert target[s] <= 2 * size[s] and abs(taken[s] - target[s]) <= 80
-    copies = mixing.schedule(docs, ["doc_id"]).count()
-    assert copies == sum(r.taken // r.size for r in got if r.size)
-    assert mixing.mix(empty, ["doc_id"]).count() == 0
+        taken[r.at] += r.taken
+        assert r.size == len(words(r.text)) and r.source_size == sizes[r.source] and r.target == float(target[r.source]) and r.taken <= 2 * r.size
+    assert len(got) == len(rows) and +taken == want
+    plan = mixing.schedule(docs, ["doc_id", "text"])
+    assert plan.count() == sum(r.taken // r.size for r in got if r.size)
+    again = mixing.mix(docs.repartition(2, "text"), ["doc_id", "text"]).select("doc_id", "text", "taken").collect()
+    assert sorted(map(str, again)) == sorted(map(str, (Row(doc_id=r.doc_id, text=r.text, taken=r.taken) for r in got)))
+    assert mixing.mix(empty, ["doc_id"]).count() == 0 and mixing.mix(docs.where("source = 'nothing'"), ["doc_id"]).first().taken == 0
 
 
 def test_html_extraction(spark):
@@ -217,7 +355,13 @@ def test_html_extraction(spark):
     assert got == {1: ("A title & more\nFirst line\nSecond é", 34), 2: ("", 0), 3: ("", 0)}
 
 
-def test_jaccard_join(spark, docs, empty):
+@pytest.mark.parametrize("split", [False, True])
+def test_jaccard_join(spark, docs, empty, monkeypatch, split):
+    if split:  # lists in blocks of a few rows, nearly all tokens frequent, no links before lists are compared
+        monkeypatch.setattr(jaccard, "BLOCK_ROWS", 6)
+        monkeypatch.setattr(jaccard, "LOOKED", 2)
+        monkeypatch.setattr(jaccard, "MANY", 2)
+        monkeypatch.setattr(jaccard, "PIVOT_ROUNDS", 1)
     rng = np.random.default_rng(1)
     bases = [[f"w{x}" for x in rng.integers(0, 5000, 60)] for _ in range(12)]
     rows = []
@@ -245,7 +389,8 @@ def test_jaccard_join(spark, docs, empty):
     assert jaccard.join(empty).count() == 0
 
 
-def test_topk(spark):
+def test_topk(spark, monkeypatch):
+    monkeypatch.setattr(topk, "LEAST_BLOCK_ROWS", 200)
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(0, 0.2, 16).astype(float).tolist()) for i in range(700)]
     rows += [(800, None), (850, [1.0, None]), (900, [float("nan")] * 16), (50, rows[0][1]), (0, rows[0][1])]
@@ -263,6 +408,20 @@ def test_topk(spark):
     assert topk.search(table.where("false")).count() == 0
 
 
+def test_topk_of_odd_vectors(spark):
+    """Ragged and empty vectors count as padded with zeros, null ids come last of equals, sums beyond 2^53 are exact."""
+    big = 2.0**46  # times 256 and another such: no float64 holds the sum
+    rows = [(0, [1.0, 2.0, 3.0], "x"), (50, [], "x"), (None, [1.0, 2.0], "x"), (None, [1.0, 2.0], "x"), (3, [1.0, 2.0, 0.0], "x"), (100, [big, 2.0**-8], "x"), (101, [2.0**-8, 1.0], "x"), (102, [2.0**-8], "x"), (103, [2.0**-8, 2.0], "x")]
+    got = {}
+    for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string"), 3).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    vec = [[int(np.floor(256 * x)) for x in v] for _, v, _ in rows]
+    for n, (i, _, _) in enumerate(rows):
+        if i is not None and i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(vec[n], vec[m])), j is None, j or 0) for m, (j, _, _) in enumerate(rows) if m != n)[:3]
+            assert sorted(got[i]) == [(rank + 1, None if none else j, -s) for rank, (s, none, j) in enumerate(best)]
+
+
 def test_one_row_of_a_component_stays(spark, docs, tmp_path):
     import corpus_pipeline
 
