@@ -78,3 +78,11 @@ def great_circle(lon0: Column, lat0: Column, lon1: Column, lat1: Column) -> Colu
     a, b = F.radians(lat0), F.radians(lat1)
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin((F.radians(lon1) - F.radians(lon0)) / 2), 2)
     return 2 * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+
+
+def timeline_year(position: Column) -> Column:
+    """The year at a position, the reverse of timeline_position()."""
+    out = F.lit(float(TIMELINE[-1][0]))
+    for (y0, p0), (y1, p1) in reversed(list(zip(TIMELINE[:-1], TIMELINE[1:], strict=True))):
+        out = F.when(position <= p1, y0 + (position - p0) / (p1 - p0) * (y1 - y0)).otherwise(out)
+    return F.when(position <= TIMELINE[0][1], float(TIMELINE[0][0])).otherwise(out)
