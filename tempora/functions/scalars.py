@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,9 +48,35 @@ def name_key(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[^a-z]", "")
 
 
+@lru_cache
+def decompositions() -> tuple[str, str, dict[str, str]]:
+    """From Unicode's compatibility decompositions without combining marks: characters that become one other, what they become, and
+    the Latin ones that become several. Hangul and ideographs are left out: both sides of a comparison keep them."""
+    one, other, several = [], [], {}
+    for c in map(chr, [*range(0x80, 0x3000), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not 0x300 <= ord(x) <= 0x36F)
+        if len(plain) == 1 and plain != c:
+            one.append(c)
+            other.append(plain)
+        elif len(plain) > 1 and plain.isalnum() and plain.isascii():
+            several[c] = plain
+    return "".join(one), "".join(other), several
+
+
+def undecorated(text: Column) -> Column:
+    """Letters without accents, ligatures taken apart, in generated code."""
+    one, other, several = decompositions()
+    spelt = F.regexp_replace(F.translate(text, one, other), "[\u0300-\u036f]", "")
+    # Texts without such a character, which are nearly all, skip the replacements.
+    apart = spelt
+    for c, plain in several.items():
+        apart = F.replace(apart, F.lit(c), F.lit(plain))
+    return F.when(spelt.rlike("[" + "".join(several) + "]"), apart).otherwise(spelt)
+
+
 def folded(text: Column) -> Column:
-    """Lower case, everything but letters and digits as one space."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    """Lower case without accents, everything but letters and digits as one space."""
+    return F.trim(F.regexp_replace(F.lower(undecorated(text)), r"[^\p{L}\p{N}]+", " "))
 
 
 def match_score(candidate: Column, needle: Column) -> Column:

@@ -54,3 +54,29 @@ def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = a.join(b, (F.col("a.person") == F.col("b.person")) & (F.col("a.polity") == F.col("b.polity")) & (F.col("a.role") == F.col("b.role")) & (F.col("a.lineage") != F.col("b.lineage")))
     kept = joined.where(~(same & (F.col("a.person") % 10 == 0) & (F.col("a.src") < F.col("b.src"))))
     return kept.select("a.rid", "a.src", F.col("b.rid").alias("arid"), F.col("b.src").alias("asrc"), "a.person", "a.polity", "a.role", F.when(same, "matched").otherwise("conflict").alias("outcome"))
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Tables of the assessment: a claim for each pair of years that some source gives for a person's office, with all that sources say of
+    that office as its assertions. Five sources of three lineages; s4 has no address that can be published."""
+    obs = ["person", "polity", "role", "f", "t", "precision", "calendar", "ongoing", "as_of"]
+    a = assertions(spark, sf_dir).select(
+        "rid", "src", F.col("person").cast("string").alias("person"), "polity", "role", F.col("fy").alias("f"), F.col("ty").alias("t"), F.lit("year").alias("precision"), F.lit("historical").alias("calendar"),
+        F.lit(None).cast("boolean").alias("ongoing"), F.lit(None).cast("int").alias("as_of"), F.lit("x").alias("loc"),
+    )
+    claim = F.concat_ws("/", "person", "polity", "role", "f", "t")
+    text, flag = F.lit(None).cast("string"), F.lit(False)
+    claims = a.select(*obs).distinct().select(
+        claim.alias("claim"), F.concat(F.lit("n"), F.col("person")).alias("name"), *obs, text.alias("kind"), text.alias("reason"), text.alias("basis"),
+        F.array().cast("array<struct<f:int,t:int>>").alias("alternatives"), text.alias("date_status"), text.alias("date_text"), F.lit(None).cast("int").alias("sequence"),
+    )
+    office = ["person", "polity", "role"]
+    told = claims.select("claim", *office).join(a, office).withColumn("ord", F.row_number().over(Window.partitionBy("claim").orderBy("rid")))
+    said = told.select("claim", "ord", "src", "rid", "loc", *obs, flag.alias("imported"), flag.alias("inspected"), text.alias("path"), text.alias("sha"), text.alias("date_status"), text.alias("date_text"), text.alias("chronology"))
+    names = [(f"s{i}", f"Source {i}", f"https://example.org/{i}" if i < 4 else "ftp://example.org", f"g{i % 3}", "passed", "reference", None, None, None) for i in range(5)]
+    sources = spark.createDataFrame(names, "src string, title string, url string, lineage string, admission string, kind string, method string, note string, sample array<string>")
+    seen = lambda s, r: a.select(F.col("src").alias(s), F.col("rid").alias(r), F.struct(*obs).alias("o" + r))
+    c = checks(spark, sf_dir).select("src", "rid", "asrc", "arid", "outcome").join(seen("src", "rid"), ["src", "rid"]).join(seen("asrc", "arid"), ["asrc", "arid"])
+    checked = c.select("src", "rid", F.lit("x").alias("loc"), "asrc", "arid", F.lit("x").alias("aloc"), "outcome", F.col("orid").alias("seen"), F.col("oarid").alias("against"))
+    proofs = spark.createDataFrame([], "claim string, src string, classification string, person string, polity string, loc string, text string, path string, sha string, records array<string>")
+    return {"sources": sources, "checks": checked, "claims": claims, "assertions": said, "evidence": proofs}
