@@ -28,12 +28,12 @@ def claims(assertions: DataFrame) -> DataFrame:
 
 def assessed(assertions: DataFrame) -> DataFrame:
     """Claims with a status: disputed where another claim of the person overlaps it with other bounds, else corroborated
-    by two lineages or single."""
-    every = claims(assertions)
-    w = Window.partitionBy("person", "polity", "role")
-    rivals = F.filter(F.collect_list(F.struct("fy", "ty")).over(w), lambda r: (r["fy"] <= F.col("ty")) & (r["ty"] >= F.col("fy")) & ((r["fy"] != F.col("fy")) | (r["ty"] != F.col("ty"))))
-    status = F.when(F.size("rivals") > 0, "disputed").when(F.col("lineages") >= 2, "corroborated").otherwise("single")
-    return every.withColumn("rivals", rivals).select(*CLAIM, "lineages", status.alias("status"))
+    by two lineages or single. Claims differ in their bounds, so a sweep in order of start finds an overlap on either side."""
+    order = Window.partitionBy("person", "polity", "role").orderBy("fy", "ty")
+    reached = F.max("ty").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rival = F.coalesce(reached >= F.col("fy"), F.lit(False)) | F.coalesce(F.lead("fy").over(order) <= F.col("ty"), F.lit(False))
+    status = F.when(F.col("rival"), "disputed").when(F.col("lineages") >= 2, "corroborated").otherwise("single")
+    return claims(assertions).withColumn("rival", rival).select(*CLAIM, "lineages", status.alias("status"))
 
 
 def stratified(rows: DataFrame, strata: list[str], key: str, n: int) -> DataFrame:
@@ -45,11 +45,19 @@ def stratified(rows: DataFrame, strata: list[str], key: str, n: int) -> DataFram
 
 
 def nearest_start(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Each (key, id, start) of left with the start of right nearest to it in its key; ties stay unresolved."""
-    j = left.join(right, "key").withColumn("gap", F.abs(F.col("start") - F.col("other")))
-    best = j.groupBy("key", "id").agg(F.min("gap").alias("gap"), F.min_by("other", "gap").alias("other"), F.collect_list("gap").alias("gaps"))
-    ties = F.size(F.filter("gaps", lambda g: g == F.col("gap")))
-    return best.select("key", "id", F.when(ties == 1, F.col("other")).alias("other"), "gap")
+    """Each (key, id, start) of left with the start of right nearest to it in its key; ties stay unresolved.
+
+    Both sides stand in one order by start, so that only the starts around a row are looked at and no pairs are made."""
+    starts = right.groupBy("key", "other").agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(None).cast("long")
+    line = starts.select("key", F.col("other").alias("at"), F.lit(0).alias("side"), none.alias("id"), F.struct("other", "n").alias("o")).unionByName(
+        left.select("key", F.col("start").alias("at"), F.lit(1).alias("side"), F.col("id").cast("long").alias("id"), F.lit(None).cast("struct<other:int,n:bigint>").alias("o"))
+    )
+    order = Window.partitionBy("key").orderBy("at", "side")
+    line = line.withColumns({"below": F.last("o", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "above": F.first("o", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))})
+    line = line.where("side = 1 AND (below IS NOT NULL OR above IS NOT NULL)").withColumns({"down": F.col("at") - F.col("below.other"), "up": F.col("above.other") - F.col("at")})
+    nearer = F.when(F.col("up").isNull() | (F.col("down") < F.col("up")), F.col("below")).when(F.col("down").isNull() | (F.col("up") < F.col("down")), F.col("above"))
+    return line.withColumn("one", nearer).select("key", "id", F.when(F.col("one.n") == 1, F.col("one.other")).alias("other"), F.least("down", "up").alias("gap"))
 
 
 def merged_places(places: DataFrame) -> DataFrame:

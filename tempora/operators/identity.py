@@ -9,33 +9,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_ROUNDS = 60
-
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a checkpoint in spark.checkpoint.dir; sets a folder only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tempora-"))
-    return df.checkpoint()
-
+from tempora.sources.stores import dropped, written
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and component, the smallest node that links (a, b) reach: labels go along links and then to their own label's label."""
-    both = _checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("component"))
-    for _ in range(MOST_ROUNDS):
-        labels = _checkpointed(labels)
+    """node and component, the smallest node that links (a, b) reach: labels go along links and then to their own label's label,
+    until none changes. Rounds are stored tables; the one before is deleted."""
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("component")), "labels")
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         stepped = labels.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
         hop = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        after = _checkpointed(stepped.join(hop, "component", "left").select("node", F.coalesce("up", "component").alias("component"), "old"))
-        labels = after.select("node", "component")
+        after = written(stepped.join(hop, "component", "left").select("node", F.coalesce("up", "component").alias("component"), "old"), "labels")
+        dropped(labels)
+        labels = after
         if after.where("component <> old").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+            dropped(both)
+            return labels.select("node", "component")
 
 
 def consolidated(rows: DataFrame) -> DataFrame:
@@ -111,17 +101,20 @@ def superseding(rows: DataFrame, replaced: DataFrame) -> DataFrame:
     return rows.join(gone, "id", "left_anti")
 
 
-def redirected(pages: DataFrame, redirects: DataFrame, most: int = 20) -> DataFrame:
+def redirected(pages: DataFrame, redirects: DataFrame) -> DataFrame:
     """pages (page) with target, where redirects (page, target) lead in the end; a page in a circle has none.
 
-    Each round doubles the steps that a redirect takes, so that `most` rounds follow chains of 2^most."""
-    now = _checkpointed(redirects.where("page <> target").dropDuplicates(["page"]))
-    for _ in range(most):
+    Each round doubles the steps that a redirect takes; when they are as many as there are redirects, what still has
+    somewhere to go runs in a circle."""
+    now = written(redirects.where("page <> target").dropDuplicates(["page"]), "redirects")
+    for _ in range(max(1, now.count()).bit_length()):
         ahead = now.select(F.col("page").alias("target"), F.col("target").alias("far"))
-        following = _checkpointed(now.join(ahead, "target", "left").select("page", F.coalesce("far", "target").alias("target")))
-        if following.join(now, ["page", "target"], "left_anti").isEmpty():
-            break
+        following = written(now.join(ahead, "target", "left").select("page", F.coalesce("far", "target").alias("target")), "redirects")
+        settled = following.join(now, ["page", "target"], "left_anti").isEmpty()
+        dropped(now)
         now = following
+        if settled:
+            break
     open_ = now.select(F.col("page").alias("target"), F.lit(True).alias("circle"))
     ends = now.join(open_, "target", "left").select("page", F.when(F.col("circle").isNull(), F.col("target")).alias("target"), F.lit(True).alias("moved"))
     return pages.join(ends, "page", "left").select("page", F.when(F.col("moved"), F.col("target")).otherwise(F.col("page")).alias("target"))

@@ -40,30 +40,42 @@ RANGE = 512
 
 
 def in_force(years: DataFrame) -> DataFrame:
-    """Each change year with the one before it."""
-    return years.select("year", F.lag("year").over(Window.orderBy("year")).alias("previous"))
+    """Each change year with the one before it: within a range of RANGE years by a window, across ranges by their extremes, of
+    which there are few."""
+    cell = F.floor(F.col("year") / RANGE)
+    cells = years.groupBy(cell.alias("cell")).agg(F.max("year").alias("hi"))
+    below = cells.select("cell", F.lag("hi").over(Window.orderBy("cell")).alias("below"))
+    inside = years.withColumn("cell", cell).withColumn("previous", F.lag("year").over(Window.partitionBy("cell").orderBy("year")))
+    return inside.join(below, "cell").select("year", F.coalesce("previous", "below").alias("previous"))
+
+
+def bracketed(series: DataFrame, probes: DataFrame) -> DataFrame:
+    """Probes (key, at) with the figure at or before them (y0, v0) and the one after (y1, v1), from one order of both."""
+    figure = F.struct(F.col("year").alias("y"), F.col("value").cast("double").alias("v"))
+    none = F.lit(None).cast("struct<y:int,v:double>")
+    line = series.select("key", F.col("year").cast("double").alias("pos"), F.lit(0).alias("side"), F.lit(None).cast("int").alias("at"), figure.alias("p"))
+    line = line.unionByName(probes.select("key", F.col("at").cast("double").alias("pos"), F.lit(1).alias("side"), F.col("at").cast("int").alias("at"), none.alias("p")))
+    order = Window.partitionBy("key").orderBy("pos", "side")
+    before = F.last("p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("p", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    met = line.withColumns({"b": before, "a": after}).where("side = 1")
+    return met.select("key", "at", F.col("b.y").alias("y0"), F.col("b.v").alias("v0"), F.col("a.y").alias("y1"), F.col("a.v").alias("v1"))
 
 
 def interpolate(series: DataFrame, probes: DataFrame) -> DataFrame:
     """Values at probes (key, at): held at the ends, exact where given, log-linear where both ends are positive, else linear."""
-    w = Window.partitionBy("key").orderBy("year")
-    pieces = series.select("key", "year", "value", F.lead("year").over(w).alias("y1"), F.lead("value").over(w).alias("v1"), F.lag("year").over(w).alias("y_"))
-    j = probes.join(pieces, "key")
-    first, last, at, y, v = F.col("y_").isNull(), F.col("y1").isNull(), F.col("at"), F.col("year"), F.col("value").cast("double")
-    share = (at - y) / (F.col("y1") - y)
-    between = F.when((v > 0) & (F.col("v1") > 0), F.exp(F.log(v) + (F.log(F.col("v1").cast("double")) - F.log(v)) * share)).otherwise(v + (F.col("v1") - v) * share)
-    hit = ((at >= y) & (last | (at < F.col("y1")))) | (first & (at < y))
-    return j.where(hit).select("key", "at", F.when((at <= y) | last, v).otherwise(between).alias("value"))
+    share = (F.col("at") - F.col("y0")) / (F.col("y1") - F.col("y0"))
+    v0, v1 = F.col("v0"), F.col("v1")
+    between = F.when((v0 > 0) & (v1 > 0), F.exp(F.log(v0) + (F.log(v1) - F.log(v0)) * share)).otherwise(v0 + (v1 - v0) * share)
+    value = F.when(F.col("y0").isNull(), v1).when(F.col("y1").isNull() | (F.col("y0") == F.col("at")), v0).otherwise(between)
+    return bracketed(series, probes).where("y0 IS NOT NULL OR y1 IS NOT NULL").select("key", "at", value.alias("value"))
 
 
 def present(series: DataFrame, probes: DataFrame, gap: int = 300, after: int = 50) -> DataFrame:
     """Whether a key shows at a probe: from its first figure to after years past its last, but not inside gaps longer than gap."""
-    w = Window.partitionBy("key").orderBy("year")
-    pieces = series.select("key", "year", F.lead("year").over(w).alias("y1"))
-    hit = (F.col("at") >= F.col("year")) & (F.col("y1").isNull() | (F.col("at") < F.col("y1")))
-    shown = F.when(F.col("at") == F.col("year"), True).when(F.col("y1").isNull(), F.col("at") <= F.col("year") + after).otherwise(F.col("y1") - F.col("year") <= gap)
-    found = probes.join(pieces, "key").where(hit).select("key", "at", shown.alias("shown"))
-    return probes.join(found, ["key", "at"], "left").select("key", "at", F.coalesce("shown", F.lit(False)).alias("shown"))
+    at, y0, y1 = F.col("at"), F.col("y0"), F.col("y1")
+    shown = F.when(at == y0, True).when(y0.isNull(), False).when(y1.isNull(), at <= y0 + after).otherwise(y1 - y0 <= gap)
+    return bracketed(series, probes).select("key", "at", shown.alias("shown"))
 
 
 def area_by_identity(records: DataFrame, year: int | Column) -> DataFrame:

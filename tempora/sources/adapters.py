@@ -29,10 +29,11 @@ def features(spark: SparkSession, path: str, properties: str) -> DataFrame:
 
 
 def as_collection(records: DataFrame, geometry: str) -> DataFrame:
-    """A feature text for each record, with the other columns as its properties; lines of a GeoJSON sequence."""
+    """A feature text for each record, with the other columns as its properties; lines of a GeoJSON sequence. The geometry is
+    GeoJSON text of any type and stands as it is; a null one stays null."""
     others = [c for c in records.columns if c != geometry]
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(*others).alias("properties"), F.from_json(F.col(geometry), "type string, coordinates array<array<array<double>>>").alias("geometry"))
-    return records.select(F.to_json(feature).alias("value"))
+    properties = F.to_json(F.struct(*others), {"ignoreNullFields": "false"})
+    return records.select(F.concat(F.lit('{"type":"Feature","properties":'), properties, F.lit(',"geometry":'), F.coalesce(F.col(geometry), F.lit("null")), F.lit("}")).alias("value"))
 
 
 def unpivoted(wide: DataFrame, keep: list[str]) -> DataFrame:
