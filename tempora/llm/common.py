@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,22 @@ def drop_scratch(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def lean(run: Callable) -> Callable:
+    """A task's function over batches that hands unused memory back when it ends: workers live on, and what they hold while idle
+    counts against the tasks that follow."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 def words_of(text: Column) -> Column:
     """Words of a text: maximal runs outside WORD_GAP; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP, -1), lambda w: w != "")
@@ -109,7 +126,7 @@ def running(df: DataFrame, order: list[str], values: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [*names, "__part", *(f"{v}_upto" for v in values)])
 
     ordered = df.repartitionByRange(width_for(df), *order).sortWithinPartitions(*order)
-    parts = written(ordered.mapInArrow(run, schema), "running")
+    parts = written(ordered.mapInArrow(lean(run), schema), "running")
     ends = parts.groupBy("__part").agg(*[F.max(f"{v}_upto").alias(v) for v in values]).collect()
     total, starts = [0] * len(values), []
     for part, *sums in sorted(map(tuple, ends)):

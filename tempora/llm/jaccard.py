@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import drop_scratch, width_for, written
+from tempora.llm.common import drop_scratch, lean, width_for, written
 from tempora.llm.components import components
 from tempora.llm.huffman import small_batches
 
@@ -45,7 +45,7 @@ WORDS = 5
 #: Similarity at which two sets link, as hundredths.
 SIMILAR = 80
 #: Tokens that a map task settles at a time.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Extra matches that the first filter asks of a prefix: one more for each so many tokens.
 FIRST_PER = 10
 MOST_MATCHES = 64
@@ -218,7 +218,7 @@ def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             found, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["token", "n"])
 
-    looked = sets.where(F.pmod(F.xxhash64("sid"), F.lit(LOOKED)) == 0).select("tokens").mapInArrow(run, "token long, n long")
+    looked = sets.where(F.pmod(F.xxhash64("sid"), F.lit(LOOKED)) == 0).select("tokens").mapInArrow(lean(run), "token long, n long")
     counted = written(looked.groupBy("token").agg(F.sum("n").alias("n")), "jaccard-looked")
     total = counted.agg(F.sum("n")).first()[0] or 0
     most = counted.where(F.col("n") >= max(MANY, total // MOST_FREQUENT)).toPandas().sort_values("token")
@@ -338,7 +338,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
     left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lean(verify), "a long, b long")
 
 
 #: Rows of a list that are compared at a time with all of it.
@@ -461,8 +461,8 @@ def links(sets: DataFrame) -> DataFrame:
     width = width_for(sets)
     buckets = 2 * width  # each map task sends at most one row to a bucket
     often, df = frequent(sets)
-    counted = sets.select("sid", "tokens").mapInArrow(tokens_out(buckets, often, df), BLOB).repartition(width, "bucket").mapInArrow(frequencies(buckets), BLOB)
-    ordered = written(counted.repartition(width, "bucket").mapInArrow(prefixes, PREFIX), "jaccard-prefixes")
+    counted = sets.select("sid", "tokens").mapInArrow(lean(tokens_out(buckets, often, df)), BLOB).repartition(width, "bucket").mapInArrow(lean(frequencies(buckets)), BLOB)
+    ordered = written(counted.repartition(width, "bucket").mapInArrow(lean(prefixes), PREFIX), "jaccard-prefixes")
     found, tried, placed, old = None, None, ordered.withColumn("component", F.col("sid")), [ordered]
     for _ in range(PIVOT_ROUNDS):
         pairs = written(pivots(placed, tried), "jaccard-pivots")
@@ -474,7 +474,7 @@ def links(sets: DataFrame) -> DataFrame:
         placed = written(now, "jaccard-placed")
         old += [pairs, linked, labels, placed]
     full = units(placed).join(placed.drop("component"), "sid").select("token", "lo", "hi", "block", "sid", "component", "n", "alone", "matches", "tokens", "df")
-    candidates = full.repartition(width, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(across_lists, "a long, b long")
+    candidates = full.repartition(width, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(lean(across_lists), "a long, b long")
     left = written(candidates.distinct(), "jaccard-candidates")
     every = written(found.unionByName(verified(left, sets)), "jaccard-links")
     drop_scratch(left, *old)
@@ -488,7 +488,7 @@ def join(docs: DataFrame) -> DataFrame:
     width = width_for(docs)
     buckets = 2 * width  # each map task sends at most one row to a bucket
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("mark"))
-    mapped = rows.mapInArrow(first_map(buckets), FIRST).repartition(width, "bucket").mapInArrow(first_count, FIRST)
+    mapped = rows.mapInArrow(lean(first_map(buckets)), FIRST).repartition(width, "bucket").mapInArrow(lean(first_count), FIRST)
     first = written(mapped.drop("bucket", "data"), "jaccard-first")
     own = first.where("n IS NOT NULL")
     distinct = own.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "mark")).alias("one"), F.max("n").alias("n"))
@@ -498,7 +498,7 @@ def join(docs: DataFrame) -> DataFrame:
     alive = sets.join(hits, "k1").where(f"hits >= 1 + {overlap} DIV {FIRST_PER}").select("sid", "one.*")
     same = (F.col("r.mark") == F.col("s.mark")) & F.col("r.doc_id").eqNullSafe(F.col("s.doc_id"))
     texts = rows.alias("r").join(alive.alias("s"), same).select("s.sid", "r.text")
-    full = written(texts.mapInArrow(whole_sets, "sid long, tokens binary").dropDuplicates(["sid"]), "jaccard-sets")
+    full = written(texts.mapInArrow(lean(whole_sets), "sid long, tokens binary").dropDuplicates(["sid"]), "jaccard-sets")
     linked = links(full)
     labels = components(linked)
     named = sets.join(labels, sets["sid"] == labels["node"], "left").withColumn("component", F.coalesce("component", "sid"))

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempora.llm.common import lean
 from tempora.llm.huffman import small_batches
 from tempora.llm.pieces import PieceEncoder, flattened
 
@@ -411,7 +412,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets)), lists], ["doc_id", "n_tokens", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids array<int>")
 
 
 def decoded(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -427,7 +428,7 @@ def decoded(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.select("doc_id", F.col(ids)).mapInArrow(run, "doc_id long, text string")
+    return rows.select("doc_id", F.col(ids)).mapInArrow(lean(run), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -448,4 +449,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             columns = [batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(crc, pa.int64()), pa.array(back, pa.int64()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_crc32", "decoded_crc32", "same"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long, same boolean")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long, same boolean")
