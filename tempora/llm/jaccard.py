@@ -120,6 +120,22 @@ def from_blobs(blobs: list[bytes], columns: int) -> list[np.ndarray]:
     return list(np.concatenate(parts, axis=1)) if parts else [np.zeros(0, dtype=np.uint64)] * columns
 
 
+#: Rows that a task sorts at a time.
+PART = 500_000
+
+
+def in_parts(key: int, *columns: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """Rows in parts of about PART, all rows of equal columns[key] in one of them."""
+    n = -(-len(columns[0]) // PART)
+    if n <= 1:
+        yield list(columns)
+        return
+    part = (mixed(columns[key], 3) % np.uint64(n)).astype(np.uint16 if n < 1 << 16 else np.int64)
+    for i in range(n):
+        chosen = np.flatnonzero(part == i)
+        yield [c[chosen] for c in columns]
+
+
 FIRST = "bucket int, data binary, doc_id long, mark long, n long, k1 long, k2 long, hits long"
 _FIRST = pa.schema([("bucket", pa.int32()), ("data", pa.binary()), *[(c, pa.int64()) for c in ("doc_id", "mark", "n", "k1", "k2", "hits")]])
 
@@ -174,14 +190,17 @@ def first_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = batch.column(1)
         blobs += [d for d in data.to_pylist() if d is not None]
         yield batch.filter(pc.is_null(data))
-    h, k = deduplicated(*from_blobs(blobs, 2))
-    if not len(h):
-        return
-    group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
-    shared = ((np.bincount(group) > 1) | (np.bincount(group, weights=k == _MARK) > 0))[group] & (k != _MARK)
-    found, hits = np.unique(k[shared], return_counts=True)
-    columns = {"k1": pa.array(found.view(np.int64)), "hits": pa.array(hits)}
-    yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(found), f.type)) for f in _FIRST], schema=_FIRST)
+    whole = from_blobs(blobs, 2)
+    blobs.clear()
+    for part in in_parts(0, *whole):
+        h, k = deduplicated(*part)
+        if not len(h):
+            continue
+        group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
+        shared = ((np.bincount(group) > 1) | (np.bincount(group, weights=k == _MARK) > 0))[group] & (k != _MARK)
+        found, hits = np.unique(k[shared], return_counts=True)
+        columns = {"k1": pa.array(found.view(np.int64)), "hits": pa.array(hits)}
+        yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(found), f.type)) for f in _FIRST], schema=_FIRST)
 
 
 def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,14 +292,17 @@ def frequencies(buckets: int) -> Callable:
         for batch in batches:
             blobs += [d for d in batch.column(1).to_pylist() if d is not None]
             yield batch.filter(pc.is_valid(batch.column(2)))
-        h, k, n = deduplicated(*from_blobs(blobs, 3))
-        if not len(h):
-            return
-        group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
-        df = np.bincount(group)[group]
-        kept = df > 1
-        rows = list(by_bucket((k[kept] % np.uint64(buckets)).astype(np.int64), k[kept], h[kept], df[kept], n[kept]))
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.nulls(len(rows), pa.binary()), pa.array([d for _, d in rows], pa.binary())], schema=_BLOB)
+        whole = from_blobs(blobs, 3)
+        blobs.clear()
+        for part in in_parts(0, *whole):
+            h, k, n = deduplicated(*part)
+            if not len(h):
+                continue
+            group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
+            df = np.bincount(group)[group]
+            kept = df > 1
+            rows = list(by_bucket((k[kept] % np.uint64(buckets)).astype(np.int64), k[kept], h[kept], df[kept], n[kept]))
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.nulls(len(rows), pa.binary()), pa.array([d for _, d in rows], pa.binary())], schema=_BLOB)
 
     return run
 
@@ -295,7 +317,12 @@ def chosen_matches(df: np.ndarray, least: int, n: int) -> int:
 
 def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each set with enough shared tokens: its size, its tokens of no other set, its l, and its prefix in order."""
-    k, h, df, n = from_blobs([d for batch in batches for d in batch.column(2).to_pylist()], 4)
+    whole = from_blobs([d for batch in batches for d in batch.column(2).to_pylist()], 4)
+    for part in in_parts(0, *whole):
+        yield from _prefixes(*part)
+
+
+def _prefixes(k: np.ndarray, h: np.ndarray, df: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((h, df, k))
     k, h, df, n = k[order], h[order], df[order].astype(np.int64), n[order].astype(np.int64)
     edges = np.flatnonzero(np.diff(k, prepend=~k[:1], append=~k[-1:])) if len(k) else np.array([0])

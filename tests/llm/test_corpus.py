@@ -9,6 +9,7 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -389,6 +390,22 @@ def test_jaccard_join(spark, docs, empty, monkeypatch, split):
     assert jaccard.join(empty).count() == 0
 
 
+def test_rows_in_parts(monkeypatch):
+    monkeypatch.setattr(jaccard, "PART", 50)
+    rng = np.random.default_rng(4)
+    h, k = rng.integers(0, 60, 900).astype(np.uint64), rng.integers(0, 99, 900).astype(np.uint64)
+    parts = list(jaccard.in_parts(0, h, k))
+    assert len(parts) > 9 and sorted(zip(*(np.concatenate(c) for c in zip(*parts)))) == sorted(zip(h, k))
+    assert sum(len(set(p[0])) for p in parts) == len(set(h))
+    blob = np.concatenate([h, k]).tobytes()
+    hits = lambda: Counter({(int(k1), n) for b in jaccard.first_count(iter([pa.RecordBatch.from_pylist([{"data": blob}], jaccard._FIRST)])) for k1, n in zip(b.column("k1").to_pylist(), b.column("hits").to_pylist())})
+    total = Counter()
+    for (k1, n), times in hits().items():
+        total[k1] += n * times
+    monkeypatch.setattr(jaccard, "PART", 10**6)
+    assert {k1 for k1, _ in hits()} == set(total)
+
+
 def test_topk(spark, monkeypatch):
     monkeypatch.setattr(topk, "LEAST_BLOCK_ROWS", 200)
     rng = np.random.default_rng(2)
