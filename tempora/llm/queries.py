@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import html_extract, huffman, jaccard, mixing, pii, quality, sentencepieces, sharding, topk, warc
+from tempora.llm import divergence, html_extract, huffman, jaccard, mixing, neighbours, periods, pii, quality, sentencepieces, sharding, topk, warc
 from tempora.llm.common import table, written
 
 
@@ -74,6 +74,21 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op1_topk_search,)}
+
+
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.detect(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op11_quality_classifier, op12_source_divergence, op13_periodic_runs)}
 #: In the order of their numbers.
 QUERIES = dict(sorted(QUERIES.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
@@ -111,4 +126,23 @@ ORACLES = {
               WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op12_source_divergence": r"""
+        WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+              regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        e AS (SELECT row_number() OVER () AS r, * FROM d), t AS (SELECT r, lang, source, unnest(w) AS term FROM e),
+        k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+        v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+        s AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+              1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // CAST(s.n + 2 * v.v AS HUGEINT) AS p,
+              1 + CAST(1000000000 AS HUGEINT) * (k.n + 2) // CAST(v.n + 2 * v.v AS HUGEINT) AS q
+              FROM g JOIN s USING (lang, source) JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+        x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        y AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q),
+        z AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM y)
+        SELECT lang, source, part, item, value, rank FROM z WHERE part = 'pair' OR rank <= 10""",
 }
