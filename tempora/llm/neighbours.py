@@ -132,8 +132,8 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of the texts that are learned from, their labels, and for each the number of labelled ids that it stands for. The
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Terms and counts of the texts that are learned from, their labels, and for each the number of labelled ids that it stands for. The
     counts, at most TERMS of a text, go to the driver, and no texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +143,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray,
                 rows = counts_of(part)
                 held = [np.flatnonzero(r) for r in rows]
                 ids = [batch.column(k).slice(at, len(part)) for k in (0, 1)]
-                counts = [pa.array(held, pa.list_(pa.int32())), pa.array([r[h] for r, h in zip(rows, held, strict=True)], pa.list_(pa.int64()))]
+                counts = [pa.array([v.astype(np.int32).tobytes() for v in c]) for c in (held, [r[h] for r, h in zip(rows, held, strict=True)])]
                 yield pa.RecordBatch.from_arrays([*ids, *counts], ["doc_id", "quality", "terms", "counts"])
                 at += len(part)
 
@@ -155,16 +155,13 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray,
     ids = some[0].unionByName(some[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     read = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.encode(F.min("text"), "UTF-8").alias("text"))
-    rows = read.mapInArrow(lean(run), "doc_id long, quality int, terms array<int>, counts array<long>").collect()
+    rows = read.mapInArrow(lean(run), "doc_id long, quality int, terms binary, counts binary").collect()
     drop_scratch(one)
     rows.sort(key=lambda r: r.doc_id)
-    counts = np.zeros((len(rows), TERMS), dtype=np.int32)
-    for row, r in zip(counts, rows, strict=True):
-        row[r.terms] = r.counts
     y = np.array([r.quality for r in rows], dtype=np.int64)
     taken = np.bincount(y, minlength=2)
     stands = np.array([have.get(q, 0) / max(1, taken[q]) for q in (0, 1)])
-    return counts, y, stands[y]
+    return [(np.frombuffer(r.terms, np.int32), np.frombuffer(r.counts, np.int32)) for r in rows], y, stands[y]
 
 
 def basis_of(weights: np.ndarray, dims: int = DIMS) -> np.ndarray:
@@ -173,9 +170,12 @@ def basis_of(weights: np.ndarray, dims: int = DIMS) -> np.ndarray:
     if not dims:
         return np.zeros((TERMS, 0))
     q = np.random.default_rng(11).standard_normal((weights.shape[1], min(dims + 16, *weights.shape)))
+    blocks_ = [slice(at, at + BLOCK) for at in range(0, len(weights), BLOCK)]  # so that only a block is ever in doubles
+    times = lambda q: np.concatenate([weights[b] @ q for b in blocks_])
     for _ in range(4):
-        q = np.linalg.qr(weights.T @ np.linalg.qr(weights @ q)[0])[0]
-    _, _, v = np.linalg.svd(weights @ q, full_matrices=False)
+        y = np.linalg.qr(times(q))[0]
+        q = np.linalg.qr(sum(weights[b].T @ y[b] for b in blocks_))[0]
+    _, _, v = np.linalg.svd(times(q), full_matrices=False)
     return q @ v[:dims].T
 
 
@@ -187,12 +187,15 @@ def unit(rows: np.ndarray) -> np.ndarray:
 class Model:
     """Broadcast: inverse document frequencies, the basis, and the labelled vectors with their labels and weights."""
 
-    def __init__(self, idf: np.ndarray, counts: np.ndarray, y: np.ndarray, stands: np.ndarray):
+    def __init__(self, idf: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, stands: np.ndarray):
         self.idf = idf
         steps = range(0, len(counts), BLOCK)
-        weights = np.zeros(counts.shape, dtype=np.float32)
+        weights = np.zeros((len(counts), TERMS), dtype=np.float32)
         for at in steps:
-            weights[at : at + BLOCK] = weighed(counts[at : at + BLOCK], idf)
+            part = np.zeros((len(counts[at : at + BLOCK]), TERMS), dtype=np.int64)
+            for row, (terms, n) in zip(part, counts[at : at + BLOCK], strict=True):
+                row[terms] = n
+            weights[at : at + BLOCK] = weighed(part, idf)
         self.basis = basis_of(weights).astype(np.float64)
         self.known = unit(np.concatenate([weights[at : at + BLOCK] @ self.basis for at in steps] or [np.zeros((0, self.basis.shape[1]))]))
         self.y, self.stands = y, stands
