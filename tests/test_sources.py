@@ -10,7 +10,8 @@ from tempora.sources import adapters
 
 
 def test_date_ranges(spark):
-    want = {"15 January – 16 April 69": (69, 69), "27 BC – 14 AD": (-27, 14), "958/64–985/6": None, "1448-1456": (1448, 1456), "100–90 BC": (-100, -90), "1200 – 1500": None, "c. 1100 to 1110": (1100, 1110), "1990 – present": None, "": None}
+    want = {"15 January – 16 April 69": (69, 69), "27 BC – 14 AD": (-27, 14), "958/64–985/6": None, "1448-1456": (1448, 1456), "100–90 BC": (-100, -90), "1200 – 1500": None, "c. 1100 to 1110": (1100, 1110), "1990 – present": None, "": None,
+            "8 June 68 – 15 January 69": (68, 69), "fl. c. 2120 – c. 2119 BC": None, "247–211 B.C.": (-247, -211), "(aged 9) 10-c. 20 [note 1-2]": (10, 20), "1890s – 1900": None, "12345 to 1400": None, "1 – 2 – 3": None, "0 – 5": None, "20 – 10": None}
     rows = spark.createDataFrame([(t,) for t in want] + [(None,)], "t string").select("t", dates.date_range(F.col("t")).alias("r")).collect()
     assert {r.t: r.r and (r.r["from"], r.r["to"]) for r in rows} == want | {None: None}
     assert {r.t: r.r.precision for r in rows if r.r}["c. 1100 to 1110"] == "approximate"
