@@ -361,4 +361,4 @@ def _(s, d):
     return derived.table(s, d, "customer").join(counts, F.col("c_custkey") == F.col("k"), "left").groupBy(kind.alias("disposition")).agg(F.count(F.lit(1)).alias("identities"))
 
 
-from tempora.plans import checks, claims, identities, maps, polygons, texts  # noqa: E402, F401  register more queries
+from tempora.plans import checks, claims, consolidation, identities, maps, polygons, texts  # noqa: E402, F401  register more queries
