@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.functions import geometry as G
+from tempora.operators import polygons
 from tempora.operators import rules as R
-from tempora.sources import adapters
+from tempora.sources import adapters, publication
 from tempora.sources.stores import written
 
 #: Properties of one source's features, of country layers, and the name that no country layer keeps.
@@ -19,7 +20,7 @@ COUNTRY = "ADMIN string, NAME string, ISO_A2 string, ADM0_A3 string"
 CLASSED = "featurecla string, scalerank int"
 NO_COUNTRY = "Antarctica"
 REGISTRY = "id string, title string, provider string, tier int, grade string, format string, role string, path string, polity string, wikidata string, lo int, hi int, bx0 double, by0 double, bx1 double, by1 double"
-_TABLES: dict[tuple[str, str], DataFrame] = {}
+_TABLES: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
@@ -53,10 +54,11 @@ def geojson_of(shape: Column) -> Column:
 
 
 def feature_table(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """The features of a file, read once and kept as a stored table for all later scans of the session."""
-    if (path, properties) not in _TABLES:
-        _TABLES[path, properties] = written(adapters.features(spark, path, properties), "features")
-    return _TABLES[path, properties]
+    """The features of a file, read once and kept as a stored table for all later scans of the session, until the file changes."""
+    key, now = (spark.sparkContext.applicationId, path, properties), publication.state(spark, path)
+    if key not in _TABLES or _TABLES[key][0] != now:
+        _TABLES[key] = (now, written(adapters.features(spark, path, properties), "features"))
+    return _TABLES[key][1]
 
 
 def polygon_records(spark: SparkSession, path: str, source: str, year: int, rules: list[dict]) -> DataFrame:
@@ -70,10 +72,11 @@ def polygon_records(spark: SparkSession, path: str, source: str, year: int, rule
 
 
 def union_layer(spark: SparkSession, path: str, keep: Column | None = None) -> DataFrame:
-    """All polygons of a layer as one shape. Parts that overlap stay parts: point tests hold, areas are those of a cover by cells."""
+    """The union of all polygons of a layer, a row for each polygon of it. Rings are repaired first."""
     layer = feature_table(spark, path, "layer string").withColumn("shape", shape_of(F.col("geometry")))
     chosen = layer if keep is None else layer.where(keep)
-    return chosen.where("shape IS NOT NULL").agg(F.flatten(F.collect_list("shape")).alias("shape"))
+    valid = polygons.made_valid(chosen.select("shape"), "shape", "fixed").where("fixed IS NOT NULL")
+    return polygons.dissolved(valid.select(F.lit(1).alias("all"), F.col("fixed").alias("shape")), ["all"]).select("shape")
 
 
 def snapshot_index(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,13 +170,11 @@ def reign_rows(rows: DataFrame) -> DataFrame:
 
 
 def publish(df: DataFrame, path: str, form: str = "json") -> None:
-    """A table as JSON lines or Parquet in place of what stood there. Spark's committers write beside the old files and
-    swap when all tasks are done, so readers never see a half-written table from a failed job."""
-    df.write.mode("overwrite").format(form).save(path)
+    """See publication.publish."""
+    publication.publish(df, path, form)
 
 
-def checked(df: DataFrame, path: str, form: str = "parquet") -> None:
-    """Fails if the table that stands at a path is not what df gives."""
-    old = df.sparkSession.read.schema(df.schema).format(form).load(path)
-    if not adapters.stale(df, old).isEmpty():
+def checked(df: DataFrame, path: str) -> None:
+    """Fails if the table that is published at a path is not what df gives."""
+    if not adapters.stale(df, publication.published(df.sparkSession, path, schema=df.schema)).isEmpty():
         raise ValueError(f"{path} is stale")

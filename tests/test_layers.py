@@ -10,7 +10,7 @@ from tempora.functions import geometry as G
 from tempora.functions import names
 from tempora.functions import scalars as S
 from tempora.operators import curation, resolve, views
-from tempora.sources import adapters, layers, outline, stores
+from tempora.sources import adapters, layers, outline, publication, stores
 from tempora.streaming import snapshots
 
 SQUARE = [[[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]]]
@@ -32,8 +32,11 @@ def test_registry_and_records(spark, tmp_path):
     found = layers.polygon_records(spark, path, "c", 6, [])
     assert sorted((r.name, r.f, r.t, round(r.area, 6)) for r in found.withColumn("area", G.planar_area(F.col("shape"))).collect()) == [("X", 1, 9, 15.0), ("Y", 5, 9, 16.5)]
     assert layers.feature_table(spark, path, layers.RECORD) is layers.feature_table(spark, path, layers.RECORD)
-    union = layers.union_layer(spark, collection(tmp_path / "u.geojson", [({"layer": "a"}, poly), ({"layer": "b"}, many)])).select(F.size("shape").alias("n"), G.holds(F.col("shape"), F.lit(3.0), F.lit(3.0)).alias("inside"))
-    assert union.first().n == 3
+    layer = collection(tmp_path / "u.geojson", [({"layer": "a"}, poly), ({"layer": "b"}, many)])
+    union = lambda: sorted(round(r.area, 6) for r in layers.union_layer(spark, layer).select(G.planar_area(F.col("shape")).alias("area")).collect())
+    assert union() == [0.5, 16.0]
+    collection(tmp_path / "u.geojson", [({"layer": "a"}, poly)])
+    assert union() == [15.0]  # the file has changed
 
 
 def test_geojson_goes_out_as_it_came(spark):
@@ -81,6 +84,8 @@ def test_tables_of_reigns(spark, tmp_path):
     df = spark.range(3)
     layers.publish(df, str(tmp_path / "out"), "parquet")
     layers.checked(df, str(tmp_path / "out"))
+    layers.publish(spark.range(4).select("id"), str(tmp_path / "out"), "parquet")
+    layers.publish(df, str(tmp_path / "out"), "parquet")
     with pytest.raises(ValueError, match="stale"):
         layers.checked(spark.range(4), str(tmp_path / "out"))
 
@@ -150,3 +155,41 @@ def test_stream_leaves_late_events_out(spark, tmp_path):
         query.processAllAvailable()
     query.stop()
     assert sorted((r.day.day, r.n) for r in spark.table("daily").collect()) == [(1, 2), (2, 3), (9, 1)]
+
+
+def test_a_failed_build_leaves_what_is_published(spark, tmp_path):
+    folder = str(tmp_path / "site")
+    bad = spark.range(6, numPartitions=3).withColumn("id", F.when(F.col("id") < 5, F.col("id")).otherwise(F.raise_error(F.lit("stopped")).cast("long")))
+    with pytest.raises(FileNotFoundError):
+        publication.published(spark, folder)
+    publication.publish(spark.range(3), folder, "parquet")
+    reader = publication.published(spark, folder)
+    with pytest.raises(Exception, match="stopped"):
+        publication.publish(bad, folder, "parquet")
+    assert sorted(r.id for r in publication.published(spark, folder).collect()) == [0, 1, 2]
+    publication.publish(spark.range(5), folder, "parquet")
+    assert reader.count() == 3 and publication.published(spark, folder).count() == 5  # who began to read goes on with the old version
+    assert len(publication.retired(spark, folder)) == 2 and publication.retired(spark, folder) == []
+    assert publication.published(spark, folder).count() == 5
+
+
+def test_only_changed_parts_are_built(spark, tmp_path):
+    folder, ran = str(tmp_path / "site"), []
+
+    def part(name, n):
+        def build():
+            ran.append(name)
+            return spark.range(n)
+
+        return build
+
+    first = {"a": ("1", part("a", 2)), "b": ("1", part("b", 3))}
+    assert publication.published_parts(spark, folder, first) == ["a", "b"]
+    assert publication.published_parts(spark, folder, first) == [] and ran == ["a", "b"]
+    assert publication.published_parts(spark, folder, {"a": ("2", part("a", 7)), "b": ("1", part("b", 9))}) == ["a"]
+    assert [publication.published(spark, folder, p).count() for p in "ab"] == [7, 3]
+    with pytest.raises(ZeroDivisionError):  # a is built and b is not: both stay as they were
+        publication.published_parts(spark, folder, {"a": ("3", part("a", 1)), "b": ("2", lambda: 1 / 0)})
+    assert [publication.published(spark, folder, p).count() for p in "ab"] == [7, 3]
+    publication.published_parts(spark, folder, {"b": ("1", part("b", 9))})
+    assert set(publication.manifest(spark, folder)) == {"b"}
