@@ -298,7 +298,7 @@ def weighted_centre(points: Column, x: Column, y: Column, weight: Column) -> Col
     return F.when(length >= 1e-9, point(F.degrees(F.atan2(vy, vx)), F.degrees(F.atan2(vz, F.hypot(vx, vy)))))
 
 
-def _kept(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
+def kept_points(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
     """Points of a line that stay: those farther than the tolerance from the chord of the part that they stand in."""
     keep = np.zeros(len(x), dtype=bool)
     keep[[0, -1]] = True
@@ -324,7 +324,7 @@ def _simple_ring(ring: list, tolerance: float) -> list:
         return list(ring)
     x, y = np.array([p["x"] for p in ring]), np.array([p["y"] for p in ring])
     far = int(np.argmax(np.hypot(x - x[0], y - y[0])))  # a ring is two lines between its first point and the farthest one
-    keep = np.concatenate([_kept(x[: far + 1], y[: far + 1], tolerance), _kept(x[far:], y[far:], tolerance)[1:]]) if 0 < far < len(ring) - 1 else np.ones(len(ring), dtype=bool)
+    keep = np.concatenate([kept_points(x[: far + 1], y[: far + 1], tolerance), kept_points(x[far:], y[far:], tolerance)[1:]]) if 0 < far < len(ring) - 1 else np.ones(len(ring), dtype=bool)
     if keep.sum() < 4:
         return list(ring)
     return [ring[i] for i in np.flatnonzero(keep)]

@@ -107,7 +107,7 @@ def side(e: Edges, i: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (e["bx"][i] - e["ax"][i]) * (y - e["ay"][i]) - (e["by"][i] - e["ay"][i]) * (x - e["ax"][i])
 
 
-def _meetings(e: Edges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def meetings(e: Edges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Edges and points of the grid at which they have to be split."""
     b = Buckets(e)
     own, step = spread(b.last - b.first + 1)
@@ -143,7 +143,7 @@ def noded(e: Edges) -> Edges:
     only get shorter it ends, as a rule after two or three rounds."""
     e = merged(e)
     while len(e["g"]):
-        i, x, y = _meetings(e)
+        i, x, y = meetings(e)
         at_end = ((x == e["ax"][i]) & (y == e["ay"][i])) | ((x == e["bx"][i]) & (y == e["by"][i]))
         i, x, y = i[~at_end], x[~at_end], y[~at_end]
         if not len(i):
