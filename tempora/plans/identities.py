@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tempora.operators import identity, rules, search
+from tempora.operators import identity, nameindex, rules, search
 from tempora.plans.catalog import ASR, query
 from tempora.sources import derived
+from tempora.sources.stores import shared_dir
 
 RULES = [
     {"id": "r1", "action": "rename", "source": "BUILDING", "years": [0, 4], "to_name": "Builders", "to_wikidata": "Q1"},
@@ -104,12 +107,17 @@ SEARCH = f"""own AS (SELECT DISTINCT p_partkey AS key, trim(regexp_replace(lower
  hits AS (SELECT key, score, alias, p_size > 25 AS active, p_retailprice AS peak, p_name AS name FROM b JOIN part ON p_partkey = key WHERE nth = 1 ORDER BY score, active DESC, peak DESC, name, key LIMIT 30)"""
 
 
-def hits(s, d):
+def searched(s, d):
+    """Names, aliases and facts of parts."""
     p = derived.table(s, d, "part")
     own = p.select(F.col("p_partkey").alias("key"), F.concat_ws(" ", "p_type", "p_name").alias("name"))
     other = p.where("p_size > 10").select(F.col("p_partkey").alias("key"), F.concat_ws(" ", "p_name", F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string"))).alias("name"))
     facts = p.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("peak"), (F.col("p_size") > 25).alias("active"))
-    return search.ranked(own, other, facts, "red bolt")
+    return own, other, facts
+
+
+def hits(s, d):
+    return search.ranked(*searched(s, d), "red bolt")
 
 
 @query("q1_search", f"WITH {SEARCH} SELECT * FROM hits")
@@ -117,6 +125,32 @@ def _(s, d):
     return hits(s, d)
 
 
+def index_path(s):
+    return f"{shared_dir(s)}/tempora/names-{uuid.uuid4().hex}"
+
+
+@query("q1_indexed_search", f"WITH {SEARCH} SELECT * FROM hits")
+def _(s, d):
+    """The same from a stored index."""
+    own, other, facts = searched(s, d)
+    nameindex.build(own, other, path := index_path(s))
+    return nameindex.ranked(s, path, facts, "red bolt")
+
+
+@query(
+    "q4_ruler_search",
+    """WITH n AS (SELECT p_partkey AS claim, unnest([p_name, p_type || ' ' || p_name, p_brand]) AS name FROM part), f AS (SELECT claim, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS t FROM n)
+ SELECT claim, CAST(p_size AS INTEGER) AS "from", CAST(min(CASE WHEN contains(t, 'economix widgetoo') THEN 2 WHEN contains(t, 'economix') AND contains(t, 'widgetoo') THEN 3 ELSE 3.5 END) AS DOUBLE) AS score
+ FROM f JOIN part ON p_partkey = claim WHERE contains(t, 'econom') AND contains(t, 'widget') GROUP BY ALL""",
+)
+def _(s, d):
+    """Claims with a name and two aliases each; what matches holds the stems of both words."""
+    claims = derived.table(s, d, "part").select(F.col("p_partkey").alias("claim"), F.col("p_name").alias("name"), F.array(F.concat_ws(" ", "p_type", "p_name"), F.col("p_brand")).alias("aliases"), F.col("p_size").cast("int").alias("from"))
+    names = nameindex.ruler_names(claims)
+    nameindex.build(names, names.where("false"), path := index_path(s))
+    return nameindex.rulers(s, path, claims.select("claim", "from"), "Economix widgetoo").select("claim", "from", "score")
+
+
 @query(
     "q2_grouped_search",
     f"""WITH {SEARCH}, places AS (SELECT s_suppkey AS key, s_name AS name, CAST(1 AS DOUBLE) AS score, s_acctbal AS weight FROM supplier WHERE starts_with(s_name, 'Supplier#00000000')),
