@@ -8,7 +8,7 @@ from tempora.functions import names
 from tempora.functions import scalars as S
 from tempora.operators import assessment, curation
 from tempora.plans.catalog import CHK, IV, YEAR, iv, query
-from tempora.sources import derived
+from tempora.sources import derived, statements
 
 VALID = f"""{CHK}, m AS (SELECT DISTINCT rid, src, arid, asrc, person, polity, role FROM chk WHERE outcome = 'matched'),
  vc AS (SELECT m.* FROM m WHERE EXISTS (SELECT 1 FROM m b WHERE b.rid = m.arid AND b.src = m.asrc AND b.arid = m.rid AND b.asrc = m.src)), mr AS (SELECT DISTINCT src, rid FROM vc),
@@ -173,6 +173,22 @@ def _(s, d):
     return found.select("k", "f", F.col("r.f").alias("first"), F.col("r.t").alias("last"), "r.precision")
 
 
+@query("s25_statement_scan", f"WITH {IV} SELECT CAST(k AS VARCHAR) AS entity, s AS target, f, t, CASE WHEN tier = 1 THEN 'approximate' ELSE 'year' END AS precision FROM iv WHERE f <> 0 AND t <> 0 AND t - f <= 110 AND tier < 3")
+def _(s, d):
+    """Entities as JSON with a statement for each of their records, and one of another property whose value is a text."""
+    sign = lambda y: F.concat(F.when(y < 0, "-").otherwise("+"), F.lpad(F.abs(y).cast("string"), 4, "0"), F.lit("-00-00T00:00:00Z"))
+    snak = lambda value: F.struct(F.struct(value.alias("value")).alias("datavalue"))
+    time = lambda y, p: F.array(snak(F.struct(sign(y).alias("time"), p.alias("precision"), F.lit(0).alias("before"), F.lit(0).alias("after"), F.lit("http://x/entity/Q1985727").alias("calendarmodel"))))
+    item = lambda q: snak(F.struct(q.alias("id")))
+    about = F.when(F.col("tier") == 1, F.array(item(F.lit(names.ABOUT[0]))))
+    qualifiers = F.struct(time(F.col("f"), F.lit(9)).alias("P580"), time(F.col("t"), F.when(F.col("tier") == 3, 7).otherwise(11)).alias("P582"), about.alias("P1480"))
+    held = F.struct(F.lit("normal").alias("rank"), item(F.col("s")).alias("mainsnak"), qualifiers.alias("qualifiers"))
+    picture = F.array(F.struct(snak(F.lit("a.jpg")).alias("mainsnak")))
+    body = F.to_json(F.struct(F.col("k").cast("string").alias("id"), F.struct(F.col("all").alias("P39"), picture.alias("P18")).alias("claims")))
+    texts = iv(s, d).groupBy("k").agg(F.collect_list(held).alias("all")).select(body.alias("text"))
+    return statements.terms(statements.statements(statements.entities(texts), ["P39"])).select("entity", "target", "f", "t", "precision")
+
+
 @query("p30_role_groups", "SELECT c_custkey, ['Emperor', 'Sultan', 'Caliph', 'Shah', 'Emir', 'grand duke', '" + names.EFFECTIVE + "'][c_custkey % 7 + 1] AS g FROM customer")
 def _(s, d):
     roles = ("Empress of the East", "Sultan halife", "Halife", "Şah", "Amir", "Grand  Duke", "Chancellor of State")
