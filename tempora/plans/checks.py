@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tempora.operators import validators, views
+from tempora.operators import rasters, validators, views
 from tempora.plans.catalog import BOXES, IV, SERIES, YEAR, iv, query
 from tempora.sources import derived, layers, outline
 from tempora.streaming import snapshots
@@ -76,6 +76,24 @@ def _(s, d):
     return layers.relief(derived.table(s, d, "part").select("p_partkey", F.floor(F.col("p_size") / 10).cast("int").alias("value"))).select("p_partkey", "shade")
 
 
+WINDOW = "CASE WHEN abs({t}) >= 3 THEN 0 WHEN {t} = 0 THEN 1 ELSE 3 * sin(pi() * {t}) * sin(pi() * {t} / 3) / (pi() * pi() * {t} * {t}) END"
+
+
+@query(
+    "s15_resampled",
+    f"""WITH c AS (SELECT c_custkey % 60 AS x, c_custkey // 60 AS y, CAST(c_acctbal AS DOUBLE) AS v FROM customer), o AS (SELECT a.i AS x, b.j AS y FROM range(20) a(i), (SELECT unnest(range(0, 1 + CAST(max(y) AS BIGINT) // 2)) AS j FROM c) b),
+ r AS (SELECT 1 + max(y) AS h FROM c), w AS (SELECT o.x, o.y, c.v, {WINDOW.format(t='((c.x + 0.5e0 - (o.x + 0.5e0) * 3) / 3)')} * {WINDOW.format(t='((c.y + 0.5e0 - (o.y + 0.5e0) * (h / n)) / greatest(1, h / n))')} AS w
+  FROM o, r, (SELECT count(DISTINCT y) AS n FROM o) m JOIN c ON abs(c.x + 0.5 - (o.x + 0.5) * 3) < 9 AND abs(c.y + 0.5 - (o.y + 0.5) * (h / n)) < 3 * greatest(1, h / n))
+ SELECT x, y, round(sum(w * v) / sum(w), 4) AS value FROM w GROUP BY x, y HAVING abs(sum(w)) > 1e-9""",
+)
+def _(s, d):
+    """A raster of balances, a third as wide and about half as high."""
+    k = F.col("c_custkey")
+    cells = derived.table(s, d, "customer").select((k % 60).alias("x"), F.floor(k / 60).alias("y"), F.col("c_acctbal").cast("double").alias("value"))
+    top = cells.agg(F.max("y")).first()[0]
+    return rasters.resampled(cells, 60, top + 1, 20, top // 2 + 1, tile=16).select("x", "y", F.round("value", 4).alias("value"))
+
+
 @query("v9_headline", f"WITH {IV} SELECT 'records' AS what, 1499 AS told, (SELECT count(*) FROM iv) AS real, (SELECT count(*) FROM iv) = 1499 AS fine UNION ALL SELECT 'identities', 150, (SELECT count(DISTINCT k) FROM iv), (SELECT count(DISTINCT k) FROM iv) = 150 UNION ALL SELECT 'mapped', 7, (SELECT count(DISTINCT k) FROM iv WHERE f <= 0 AND t >= 0), (SELECT count(DISTINCT k) FROM iv WHERE f <= 0 AND t >= 0) = 7")
 def _(s, d):
     told = s.createDataFrame([("records", 1499), ("identities", 150), ("mapped", 7)], "what string, told int")
