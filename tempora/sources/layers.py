@@ -137,18 +137,47 @@ def raster_cells(spark: SparkSession, path: str, width: int) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(cells, "x long, y long, value int")
 
 
-def stata_records(spark: SparkSession, path: str, columns: dict[str, str], labels: DataFrame) -> DataFrame:
-    """Rows of a Stata file (columns: source name to name) with the label of their code and country (code, idacr, label). A code
-    with two labels is an error. The file is one table of a few thousand rows, which pandas reads."""
+#: Rows of a Stata file that a task hands on at a time.
+STATA_ROWS = 50_000
+
+
+def stata_rows(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+    """Rows of Stata files, only the columns that are asked for (source name to name). A task reads a file and hands its rows on in
+    parts; to the driver go the kinds of its columns alone."""
     import io
 
     import pandas as pd
 
-    content = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
-    frame = pd.read_stata(io.BytesIO(content), convert_categoricals=False)[list(columns)].rename(columns=columns)
+    files = spark.read.format("binaryFile").load(path).select("content")
+    reader = lambda content, rows: pd.read_stata(io.BytesIO(content), convert_categoricals=False, columns=list(columns), chunksize=rows)
+
+    def kinds(frames):
+        for frame in frames:
+            for content in frame["content"]:
+                with reader(content, 1) as parts:
+                    first = next(iter(parts))
+                yield pd.DataFrame({"name": list(columns), "kind": [first[c].dtype.kind for c in columns]})
+
+    told = dict(map(tuple, files.mapInPandas(kinds, "name string, kind string").distinct().collect()))
+    named = {"i": "long", "u": "long", "f": "double", "b": "boolean", "M": "timestamp"}
+    schema = ", ".join(f"`{new}` {named.get(told.get(old), 'string')}" for old, new in columns.items())
+
+    def rows(frames):
+        for frame in frames:
+            for content in frame["content"]:
+                with reader(content, STATA_ROWS) as parts:
+                    for part in parts:
+                        yield part[list(columns)].rename(columns=columns)
+
+    return files.mapInPandas(rows, schema)
+
+
+def stata_records(spark: SparkSession, path: str, columns: dict[str, str], labels: DataFrame) -> DataFrame:
+    """Rows of Stata files (columns: source name to name) with the label of their code and country (code, idacr, label). A code
+    with two labels is an error."""
     once = labels.groupBy("code", "idacr").agg(F.count_distinct("label").alias("n"), F.min("label").alias("label"))
     sure = once.select("code", "idacr", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("two labels for "), "code"))).otherwise(F.col("label")).alias("label"))
-    return spark.createDataFrame(frame).join(sure, ["code", "idacr"], "left")
+    return stata_rows(spark, path, columns).join(sure, ["code", "idacr"], "left")
 
 
 def star_records(rulers: DataFrame, dynasties: DataFrame) -> DataFrame:

@@ -62,13 +62,15 @@ def test_snapshots_countries_and_classes(spark, tmp_path):
     assert [(r.r, r.a) for r in rows] == [(1, -16.0), (3, -16.0)]
 
 
-def test_tables_of_reigns(spark, tmp_path):
+def test_tables_of_reigns(spark, tmp_path, monkeypatch):
     import pandas as pd
 
     pd.DataFrame({"ccode": [2, 2, 3], "idacr": ["A", "A", "B"], "leader": ["x", "y", "z"]}).to_stata(tmp_path / "a.dta", write_index=False)
     labels = spark.createDataFrame([(2, "A", "Aland")], "code int, idacr string, label string")
     rows = layers.stata_records(spark, str(tmp_path / "a.dta"), {"ccode": "code", "idacr": "idacr", "leader": "name"}, labels).collect()
     assert sorted((r.name, r.label) for r in rows) == [("x", "Aland"), ("y", "Aland"), ("z", None)]
+    monkeypatch.setattr(layers, "STATA_ROWS", 2)
+    assert layers.stata_rows(spark, str(tmp_path / "a.dta"), {"leader": "name"}).columns == ["name"] and layers.stata_rows(spark, str(tmp_path / "a.dta"), {"leader": "name"}).count() == 3
     with pytest.raises(Exception, match="two labels"):
         layers.stata_records(spark, str(tmp_path / "a.dta"), {"ccode": "code", "idacr": "idacr"}, labels.unionByName(labels.withColumn("label", F.lit("other")))).collect()
     rulers = spark.createDataFrame([("1", "x", 5, None, "joint rule"), ("1", "y", 5, 6, None)], "dynasty_id string, name string, `from` int, `to` int, note string")
