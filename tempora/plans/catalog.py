@@ -274,18 +274,19 @@ def _(s, d):
 
 @query(
     "a8_merged_places",
-    """WITH p AS (SELECT substr(s_name, 1, 9) AS name, (s_suppkey * 7 % 900) / 10.0 AS lat, (s_suppkey * 13 % 1800) / 10.0 AS lon, s_suppkey AS ord, s_nationkey AS year, s_acctbal AS value FROM supplier)
+    """WITH p AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'SUPPLIER ' ELSE 'Supplier ' END || right(s_name, 1) AS name, s_nationkey * 7 / 10.0 + s_suppkey % 4 / 100.0 AS lat, s_nationkey * 13 / 10.0 AS lon, s_suppkey AS ord, s_suppkey % 3 AS year, s_acctbal AS value FROM supplier)
  SELECT lower(name) AS key, CAST(floor(lat * 10 + 0.5) AS BIGINT) AS lat10, CAST(floor(lon * 10 + 0.5) AS BIGINT) AS lon10, year, max(value) AS value, arg_min(name, ord) AS name FROM p GROUP BY 1, 2, 3, 4""",
 )
 def _(s, d):
     k = F.col("s_suppkey")
-    places = derived.table(s, d, "supplier").select(F.substring("s_name", 1, 9).alias("name"), (k * 7 % 900 / 10.0).alias("lat"), (k * 13 % 1800 / 10.0).alias("lon"), k.alias("ord"), F.col("s_nationkey").alias("year"), F.col("s_acctbal").alias("value"))
+    name, n = F.concat(F.when(k % 2 == 0, "SUPPLIER ").otherwise("Supplier "), F.right("s_name", F.lit(1))), F.col("s_nationkey")
+    places = derived.table(s, d, "supplier").select(name.alias("name"), (n * 7 / 10.0 + k % 4 / 100.0).alias("lat"), (n * 13 / 10.0).alias("lon"), k.alias("ord"), (k % 3).alias("year"), F.col("s_acctbal").alias("value"))
     return evidence.merged_places(places)
 
 
 @query("w11_lanes")
 def _(s, d):
-    r = iv(s, d).select((F.col("k") % 50).cast("long").alias("key"), (F.col("k") * 10000 + F.col("f")).cast("long").alias("id"), "f", "t")
+    r = iv(s, d).select(F.floor(F.col("k") / 2).cast("long").alias("key"), (F.col("k") * 10000 + F.col("f")).cast("long").alias("id"), "f", "t")
     return evidence.lanes(r)
 
 

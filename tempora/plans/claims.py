@@ -245,10 +245,11 @@ def rows(s, d):
     return iv(s, d).select((F.col("k") * 10_000 + F.col("f") + 2000).alias("id"), "k", "n", "f", "t", "tier", "a")
 
 
-@query("j21_by_tokens", f"WITH {ROWS}, x AS (SELECT id, tier, unnest([a % 50 + 100, a % 70 + 200]) AS token FROM r WHERE f < -900), m AS (SELECT x.id, y.id AS other FROM x JOIN x y ON x.tier = y.tier AND x.token = y.token AND x.id % 2 = 0 AND y.id % 2 = 1), g AS (SELECT id, count(DISTINCT other) AS c, min(other) AS o FROM m GROUP BY 1) SELECT r.id, coalesce(c, 0) AS candidates, CASE WHEN c = 1 THEN o END AS other FROM r LEFT JOIN g USING (id) WHERE f < -900 AND r.id % 2 = 0")
+@query("j21_by_tokens", f"WITH {ROWS}, x AS (SELECT id, tier, unnest([k // 2 * 20 + a % 3 + 100, k * 20 + 10 + a % 5 + 100]) AS token FROM r), m AS (SELECT x.id, y.id AS other FROM x JOIN x y ON x.tier = y.tier AND x.token = y.token AND x.id % 2 = 0 AND y.id % 2 = 1), g AS (SELECT id, count(DISTINCT other) AS c, min(other) AS o FROM m GROUP BY 1) SELECT r.id, coalesce(c, 0) AS candidates, CASE WHEN c = 1 THEN o END AS other FROM r LEFT JOIN g USING (id) WHERE r.id % 2 = 0")
 def _(s, d):
-    token = lambda m, b: (F.col("a") % m + b).cast("string")
-    t = rows(s, d).where("f < -900").select("id", "tier", F.array(token(50, 100), token(70, 200)).alias("tokens"))
+    k, a = F.col("k"), F.col("a")
+    tokens = F.array((F.floor(k / 2) * 20 + a % 3 + 100).cast("string"), (k * 20 + 10 + a % 5 + 100).cast("string"))
+    t = rows(s, d).select("id", "tier", tokens.alias("tokens"))
     return curation.by_tokens(t.where("id % 2 = 0"), t.where("id % 2 = 1").withColumnRenamed("id", "other"), "tier")
 
 
@@ -376,9 +377,9 @@ def _(s, d):
     return curation.chronologies(rows(s, d).select(F.col("id").cast("string").alias("rid"), F.array(alt("high", 0), alt("low", 9)).alias("alternatives")))
 
 
-@query("e15_inventory", "WITH c AS (SELECT c_nationkey AS polity, c_custkey % 60 AS url, min(c_custkey) AS ord FROM customer WHERE c_nationkey < 20 GROUP BY 1, 2), w AS (SELECT url FROM c GROUP BY 1 HAVING count(*) > 1) SELECT n_nationkey AS polity, coalesce((SELECT array_to_string(list(url ORDER BY ord), ',') FROM c WHERE c.polity = n_nationkey), '') AS urls, coalesce((SELECT bool_or(url IN (SELECT url FROM w)) FROM c WHERE c.polity = n_nationkey), FALSE) AS ambiguous FROM nation")
+@query("e15_inventory", "WITH c AS (SELECT c_nationkey % 20 AS polity, c_custkey % 60 AS url, min(c_custkey) AS ord FROM customer GROUP BY 1, 2), w AS (SELECT url FROM c GROUP BY 1 HAVING count(*) > 1) SELECT n_nationkey AS polity, coalesce((SELECT array_to_string(list(url ORDER BY ord), ',') FROM c WHERE c.polity = n_nationkey), '') AS urls, coalesce((SELECT bool_or(url IN (SELECT url FROM w)) FROM c WHERE c.polity = n_nationkey), FALSE) AS ambiguous FROM nation")
 def _(s, d):
-    c = derived.table(s, d, "customer").where("c_nationkey < 20").select(F.col("c_nationkey").alias("polity"), (F.col("c_custkey") % 60).cast("string").alias("url"), F.col("c_custkey").alias("ord"))
+    c = derived.table(s, d, "customer").select((F.col("c_nationkey") % 20).alias("polity"), (F.col("c_custkey") % 60).cast("string").alias("url"), F.col("c_custkey").alias("ord"))
     found = curation.inventory(derived.table(s, d, "nation").select(F.col("n_nationkey").alias("polity")), c)
     return found.withColumn("urls", F.array_join("urls", ","))
 
@@ -405,10 +406,10 @@ def _(s, d):
     return curation.coverage_dispositions(c, mapped, c.where("c_nationkey < 12"), c.where("polity % 5 = 0"))
 
 
-@query("u8_distinct_days", f"WITH {IV}, x AS (SELECT k, f AS ord, CASE WHEN tier < 3 THEN f END AS a, CASE WHEN tier < 3 THEN f + 40 END AS b, row_number() OVER (PARTITION BY k ORDER BY f) AS i, first_value(tier) OVER (PARTITION BY k ORDER BY f) AS t0, tier FROM iv WHERE t - f >= 41) SELECT k, ord FROM x WHERE i = 1 OR (t0 < 3 AND tier < 3)")
+@query("u8_distinct_days", f"WITH {IV}, x AS (SELECT k, f AS ord, CASE WHEN tier < 3 THEN f END AS a, CASE WHEN tier < 3 THEN least(f + 40, t) END AS b, row_number() OVER (PARTITION BY k ORDER BY f) AS i, first_value(tier) OVER (PARTITION BY k ORDER BY f) AS t0, tier FROM iv) SELECT k, ord FROM x WHERE i = 1 OR (t0 < 3 AND tier < 3)")
 def _(s, d):
     day = lambda c: F.when(F.col("tier") < 3, c).cast("int")
-    x = iv(s, d).where("t - f >= 41").select("k", F.col("f").alias("ord"), day(F.col("f")).alias("from_day"), day(F.col("f") + 40).alias("to_day"))
+    x = iv(s, d).select("k", F.col("f").alias("ord"), day(F.col("f")).alias("from_day"), day(F.least(F.col("f") + 40, F.col("t"))).alias("to_day"))
     return curation.distinct_days(x, ["k"]).select("k", "ord")
 
 

@@ -133,7 +133,8 @@ def _(s, d):
 @query("w10_label_claims")
 def _(s, d):
     order = (F.col("k") * 10_000 - F.col("f")).cast("long")
-    return views.label_claims(derived.boxes(s, d).where("a % 40 = 0").select(F.floor((F.col("f") + 2000) / 50).cast("int").alias("view"), order.alias("ord"), "x0", "y0", "x1", "y1"))
+    view = F.floor(F.col("k") / 64).cast("int") * 100 + F.floor((F.col("f") + 2000) / 50).cast("int")
+    return views.label_claims(derived.boxes(s, d).select(view.alias("view"), order.alias("ord"), "x0", "y0", "x1", "y1"))
 
 
 @query(
