@@ -20,7 +20,7 @@ import html as entities
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,10 +99,19 @@ class Page:
         return len(self.tag) - 1
 
     def _parse(self, source: str) -> None:
-        stack = [0]
+        stack, body = [0], False
+        places: dict[str, list[int]] = {}  # of each tag the places in the stack where it is open, so that no tag searches the stack
         held: list[str] = []
         linked, in_link, at, size = 0, False, 0, len(source)
 
+        def last(tags: Iterable[str]) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+        def shut(k: int) -> None:
+            for node in stack[k:]:
+                places[self.tag[node]].pop()
+            del stack[k:]
+
         def flush() -> None:
             nonlocal linked
             text = SPACES.sub(" ", entities.unescape("".join(held))).strip(" ")
@@ -140,26 +149,22 @@ class Page:
                     continue
                 flush()
                 in_link = in_link and inner
-                if tag in ("html", "body") and not close and (tag == "html" or "body" in self.tag):
+                if tag in ("html", "body") and not close and (tag == "html" or body):
                     continue
                 if close:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[k]] == tag:
-                            del stack[k:]
-                            break
+                    if k := last((tag,)):
+                        shut(k)
                     continue
                 if tag == "hr":
                     continue
                 if self.tag[stack[-1]] == "p" and not inner:
-                    stack.pop()
+                    shut(len(stack) - 1)
                 if tag in CLOSES:
                     which, until = CLOSES[tag]
-                    for k in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[k]] in until:
-                            break
-                        if self.tag[stack[k]] in which:
-                            del stack[k:]
-                            break
+                    if (k := last(which)) > last(until):
+                        shut(k)
+                body = body or tag == "body"
+                places.setdefault(tag, []).append(len(stack))
                 stack.append(self._open(stack[-1], tag, attrs))
         flush()
         # A run beside block children becomes a node of its own, which can be dropped without them; so does one in no

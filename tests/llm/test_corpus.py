@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -493,3 +494,24 @@ def test_html_without_block_elements(spark):
         assert page.decode(np.ones(len(page.tag))) == text == page.decode(np.zeros(len(page.tag)))
     pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(bare)], "page_id long, url string, html string")
     assert {(r.text, r.n_chars) for r in html_extract.extract(pages).collect()} == {(text, len(text))}
+
+
+def test_html_of_odd_rows_and_long_pages(spark):
+    """Null ids, repeated rows, columns with the names of the result, and tags that close nothing."""
+    body = "<article>" + "".join(f"<p>Sentence {i} of a long enough paragraph, with words and a full stop.</p>" for i in range(8)) + "</article>"
+    rows = [(None, "u", body, "x", 1), (2, None, body, "x", 1), (2, None, body, "x", 1), (3, "u", None, None, None), (4, "u", "", "x", 1), (5, "u", ("<div>" + "</p></td>") * 40_000 + body, "x", 1)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()
+    assert sorted((r.page_id or 0) for r in got) == [0, 2, 2, 3, 4, 5]
+    of = {r.page_id: r for r in got}
+    want = "\n".join(f"Sentence {i} of a long enough paragraph, with words and a full stop." for i in range(8))
+    assert of[None].text == of[2].text == want and of[None].n_chars == len(want)
+    assert (of[3].text, of[3].n_chars, of[4].text, of[4].n_chars) == ("", 0, "", 0)
+
+
+def test_html_parser_takes_time_in_proportion():
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        html_extract.Page("<div>" * n + "</p>" * n + "<body><li></td>" * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 1
