@@ -515,3 +515,62 @@ def test_html_parser_takes_time_in_proportion():
         html_extract.Page("<div>" * n + "</p>" * n + "<body><li></td>" * n)
         took.append(time.perf_counter() - began)
     assert took[1] < 12 * took[0] + 1
+
+
+def test_pipeline_from_end_to_end(spark, tmp_path):
+    """run() on the smallest table: each stage against plain Python on what the stage before it left."""
+    import corpus_pipeline
+    import sentencepiece
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == corpus_pipeline.COLUMNS
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        left[name] = docs.collect()
+    first = spark.read.parquet(f"{sf}/documents.parquet").collect()
+
+    def kept(t):
+        w, t = words(t), t or ""
+        grams = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        covered = len({i + j for i in range(len(w) - 7) if grams[tuple(w[i : i + 8])] > 1 for j in range(8)})
+        n, letters = len(w), [c for c in t if c.isascii() and c.isalpha()]
+        bad = [
+            n < 20, 100 * covered > 30 * n, 100 * sum(c in "#*$%&|<>" for c in t) > 20 * n, 100 * sum(a == b for a, b in zip(w, w[1:], strict=False)) > 25 * n,
+            100 * sum(c.isupper() for c in letters) > 60 * len(letters), 100 * t.count("!") > 60 * n, sum(map(len, w)) > 40 * n,
+        ]
+        return not any(bad)
+
+    assert Counter(map(tuple, left["quality_rules"])) == Counter(tuple(r) for r in first if kept(r.text))
+    # One document of each group stays, and none of it is changed.
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    shingles = lambda t: frozenset(tuple(w[i : i + 5]) for w in [words(low(t))] for i in range(max(1, len(w) - 4)))
+    before, sets = left["quality_rules"], [shingles(r.text) for r in left["quality_rules"]]
+    label = list(range(len(before)))
+    for i in range(len(before)):
+        for j in range(i):
+            if label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    groups = {}
+    for r, x in zip(before, label, strict=True):
+        groups.setdefault(x, []).append(r.doc_id)
+    assert sorted(r.doc_id for r in left["near_duplicates"]) == sorted(min(g) for g in groups.values())
+    assert {tuple(r) for r in left["near_duplicates"]} <= {tuple(r) for r in before}
+    # Personal data: every document stays, clean ones as they were, and no address of mail is left.
+    mail = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    texts = {r.doc_id: r.text for r in left["near_duplicates"]}
+    after = {r.doc_id: r.text for r in left["personal_data"]}
+    assert set(after) == set(texts) and not any(mail.search(t) for t in after.values()) and any(mail.search(t) for t in texts.values())
+    assert all(after[i] == t for i, t in texts.items() if not re.search(r"[0-9@+]", t))
+    # The mix takes whole documents, none more than twice, and comes out the same again.
+    times = Counter(r.doc_id for r in left["mixing"])
+    assert set(times) <= set(after) and max(times.values()) <= 2 and all(after[r.doc_id] == r.text for r in left["mixing"])
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    last = left["sentencepiece"]
+    assert Counter(r.doc_id for r in last) == times
+    assert all(list(r.ids) == library.encode(after[r.doc_id]) and r.n_tokens == len(r.ids) for r in last)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, sf).collect()) == Counter((r.doc_id, tuple(r.ids)) for r in last)
