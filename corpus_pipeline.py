@@ -60,8 +60,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mixed), ("sentencepiece", token_ids)]
 
-#: The vote model of personal data and the token ids have no SQL; a test compares near_duplicates() with a brute-force version,
-#: the operators of the other stages have tests of their own, and run() as a whole has none.
+#: The vote model of personal data and the token ids have no SQL; a test compares run() and each stage with plain Python.
 ORACLE_SQL = None
 
 
