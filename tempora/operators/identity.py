@@ -141,11 +141,19 @@ def peers(rows: DataFrame, others: DataFrame) -> DataFrame:
     same by person, or where none is, by name; several persons behind the name mean no match. id, peer and by."""
     meets = "a.lineage <> b.lineage AND coalesce(a.from, -1000000) <= coalesce(b.to, 1000000) AND coalesce(b.from, -1000000) <= coalesce(a.to, 1000000)"
     a, b = rows.alias("a"), others.alias("b")
-    pick = lambda by: a.join(b, F.expr(f"a.polity = b.polity AND a.{by} = b.{by} AND a.role = b.role AND {meets}")).select("a.id", F.col("b.id").alias("peer"), "b.person").distinct()
-    direct = pick("person")
-    named = pick("name").join(direct, "id", "left_anti")
-    single = named.groupBy("id").agg(F.count_distinct("person").alias("n")).where("n = 1").select("id")
-    return direct.select("id", "peer", F.lit("person").alias("by")).unionByName(named.join(single, "id", "left_semi").select("id", "peer", F.lit("name").alias("by")))
+    pick = lambda more: F.expr(f"a.polity = b.polity AND a.role = b.role AND {more} AND {meets}")
+    direct = a.join(b, pick("a.person = b.person")).select("a.id", F.col("b.id").alias("peer")).distinct()
+    # Names can be frequent: whether one person is behind them is settled between the few kinds of rows (name, lineage and bounds), and
+    # only rows that meet a single person then meet their peers, by person.
+    kind = ["polity", "role", "name", "lineage", "from", "to"]
+    told = others.groupBy(*kind).agg(F.min("person").alias("least"), F.max("person").alias("most"))
+    met = rows.select(*kind).distinct().alias("a").join(told.alias("b"), pick("a.name = b.name")).groupBy(*[f"a.{c}" for c in kind]).agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    same = F.expr(" AND ".join(f"a.`{c}` <=> m.`{c}`" for c in kind))
+    behind = a.join(met.alias("m"), same).groupBy("a.id").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    single = behind.where("least = most").select("id", "least").join(direct.select("id").distinct(), "id", "left_anti")
+    asked = rows.drop("person").join(single, "id").withColumn("person", F.explode(F.array("least", F.lit(None)))).alias("a")
+    named = asked.join(b, pick("a.name = b.name AND a.person <=> b.person")).select("a.id", F.col("b.id").alias("peer")).distinct()
+    return direct.withColumn("by", F.lit("person")).unionByName(named.withColumn("by", F.lit("name")))
 
 
 def disposed(rows: DataFrame, existing: DataFrame) -> DataFrame:
