@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.operators.temporal import active, lifespans
-
-CELL = 20
+from tempora.operators.tiles import CELL, nearest_names
 
 
 def cells(df: DataFrame) -> DataFrame:
@@ -21,26 +20,13 @@ def overlap(a: str, b: str) -> Column:
     return side("x") * side("y")
 
 
-#: Years of a time cell: records in force at a year meet it by the cell that it lies in.
-YEARS = 128
-
-
-def meeting(left: DataFrame, right: DataFrame, on: list[str] = (), at: str | None = None) -> DataFrame:
-    """Pairs of rectangles that overlap and are equal in columns on, as a and b, from the first cell they share. With at, a column of
-    left, only rows of right in force (f, t) at that year, which are met by cells of years as well."""
-    a, b = cells(left), cells(right)
-    equal = ["cx", "cy", *on]
-    if at:
-        a = a.withColumn("ct", F.floor(F.col(at) / YEARS))
-        b = b.withColumn("ct", F.explode(F.sequence(F.floor(F.col("f") / YEARS), F.floor(F.col("t") / YEARS))))
-        equal.append("ct")
-    a, b = a.alias("a"), b.alias("b")
+def meeting(left: DataFrame, right: DataFrame, on: list[str] = ()) -> DataFrame:
+    """Pairs of rectangles that overlap and are equal in columns on, as a and b, from the first cell they share."""
+    a, b = cells(left).alias("a"), cells(right).alias("b")
     first = lambda c: F.greatest(F.floor(F.col(f"a.{c}0") / CELL), F.floor(F.col(f"b.{c}0") / CELL)) == F.col(f"a.c{c}")
     found = first("x") & first("y") & (overlap("a", "b") > 0)
-    for c in equal:
+    for c in ["cx", "cy", *on]:
         found = found & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    if at:
-        found = found & (F.col("b.f") <= F.col(f"a.{at}")) & (F.col("b.t") >= F.col(f"a.{at}"))
     return a.join(b, found)
 
 
@@ -71,12 +57,8 @@ def successors(boxes: DataFrame, floor: float = 0.03, top: int = 6, back: bool =
     edge = F.col("first") - 1 if back else F.col("last") + 1
     whole = spans.agg(F.min("first").alias("lo"), F.max("last").alias("hi"))
     subject = peaks.crossJoin(F.broadcast(whole)).where("first > lo" if back else "last < hi").withColumn("edge", edge)
-    pairs = meeting(subject, boxes, at="edge").where("a.k <> b.k")
-    size = (F.col("a.x1") - F.col("a.x0")) * (F.col("a.y1") - F.col("a.y0"))
-    share = pairs.select(F.col("a.k").alias("k"), F.col("b.n").alias("name"), (overlap("a", "b") / size).alias("share")).where(F.col("share") > floor)
-    best = share.groupBy("k", "name").agg(F.max("share").alias("share"))
-    rank = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("share"), "name"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= top).select("k", "rank", "name", F.round(F.col("share") * 100, 1).alias("pct"))
+    best = nearest_names(subject.select("k", "edge", "x0", "y0", "x1", "y1"), boxes.select("k", "n", "f", "t", "x0", "y0", "x1", "y1"), floor, top)
+    return best.select("k", "rank", "name", F.round(F.col("share") * 100, 1).alias("pct"))
 
 
 def thinned(points: DataFrame, cell: int, budget: int) -> DataFrame:

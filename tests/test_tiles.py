@@ -31,3 +31,35 @@ def test_a_crowded_place_makes_no_pairs(spark):
     rows = spark.range(20_000).selectExpr("id", "id k", "0 f", "9 t", "5L x0", "5L y0", "15L x1", "15L y1")
     got = resolve.occupied(rows, rows.selectExpr("k", "f", "t", "x0", "y0", "x0 + 1 + k % 2 x1", "y1"))
     assert got.selectExpr("count(*)", "min(cells)", "min(taken)", "max(taken)").first() == (20_000, 100, 20, 20)
+
+
+def test_successors_names_by_brute_force(spark, monkeypatch):
+    """Blocks of more rows than are held at a time; equal shares, names that are null or told by several."""
+    from tempora.operators import tiles
+
+    monkeypatch.setattr(tiles, "HELD", 7)
+    rng = random.Random(5)
+    records = [(*b[1:4], *b[4:], rng.choice([None, "a", "b", f"n{i}", f"m{i % 9}"])) for i, b in enumerate(boxes(rng, 400, 60))]
+    subjects = [(f"k{i}", rng.randrange(-200, 400), *b[4:]) for i, b in enumerate(boxes(rng, 60, 1))]
+    want = set()
+    for k, edge, x0, y0, x1, y1 in subjects:
+        best = {}
+        for k2, f, t, a0, b0, a1, b1, n in records:
+            share = max(0, min(x1, a1) - max(x0, a0)) * max(0, min(y1, b1) - max(y0, b0)) / ((x1 - x0) * (y1 - y0))
+            if k2 != k and f <= edge <= t and share > 0.03:
+                best[n] = max(best.get(n, 0), share)
+        order = sorted(best, key=lambda n: (-best[n], n is not None, n or ""))[:4]
+        want |= {(k, i + 1, n, best[n]) for i, n in enumerate(order)}
+    told = spark.createDataFrame(records, "k string, f int, t int, x0 long, y0 long, x1 long, y1 long, n string")
+    got = tiles.nearest_names(spark.createDataFrame(subjects, "k string, edge int, x0 long, y0 long, x1 long, y1 long"), told, 0.03, 4).select("k", "rank", "name", "share").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 100
+
+
+def test_successors_shuffle_no_pairs(spark):
+    """Joins of subjects with records leave the plan: what is shuffled by k and name are at most top rows of a subject and block."""
+    from tempora.operators import spatial
+
+    rows = spark.range(3000).selectExpr("id k", "concat('n', id) n", "cast(id % 2 * 10 as int) f", "cast(id % 2 * 10 + 10 - id % 2 as int) t", "id % 100 a", "0L x0", "0L y0", "4L x1", "4L y1")
+    found = spatial.successors(rows)
+    assert found.selectExpr("count(*)", "count(distinct k)", "max(pct)").first() == (9000, 1500, 100.0)
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
