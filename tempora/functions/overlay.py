@@ -43,6 +43,16 @@ def snapped(v: np.ndarray) -> np.ndarray:
     return np.rint(v * GRID).astype(np.int64)
 
 
+def near(*ends: np.ndarray) -> list[np.ndarray]:
+    """Coordinates of a tile that lies far out, on the grid and moved by whole degrees to around 0; others stay."""
+    every = np.concatenate(ends)
+    if not len(every) or np.abs(every).max() < LARGEST or not np.isfinite(every).all():
+        return list(ends)
+    low, high = every.min(), every.max()
+    middle = np.rint((low + high) / 2)
+    return [np.rint(v * GRID) / GRID - middle for v in ends]
+
+
 def take(e: Edges, which: np.ndarray) -> Edges:
     return {k: v[which] for k, v in e.items()}
 

@@ -129,7 +129,9 @@ def meeting(arcs: DataFrame, size: float = TILE) -> DataFrame:
     placed = lines.withColumn("tx", spread("x")).withColumn("ty", spread("y")).select("tx", "ty", "arc", F.col("e.p.x").alias("px"), F.col("e.p.y").alias("py"), F.col("e.q.x").alias("qx"), F.col("e.q.y").alias("qy"))
 
     def run(rows: pa.Table) -> pa.Table:
-        ends = [O.snapped(rows.column(k).to_numpy()) for k in ("px", "py", "qx", "qy")]
+        px, py, qx, qy = (rows.column(k).to_numpy() for k in ("px", "py", "qx", "qy"))
+        (px, qx), (py, qy) = O.near(px, qx), O.near(py, qy)
+        ends = [O.snapped(v) for v in (px, py, qx, qy)]
         back = (ends[0] > ends[2]) | ((ends[0] == ends[2]) & (ends[1] > ends[3]))
         flip = lambda a, b: np.where(back, ends[b], ends[a])
         n = rows.num_rows

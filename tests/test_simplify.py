@@ -86,3 +86,31 @@ def test_arcs_have_one_name_in_both_directions():
     assert set(one) == set(two) and all(one[k] != two[k] for k in one)
     closed = [simplify._arcs(np.roll(v, k), np.roll(w, k), np.zeros(5, bool))[0][0] for k in range(5) for v, w in ((x, y), (x[::-1], y[::-1]))]
     assert len(set(closed)) == 1
+
+
+def test_maps_that_reach_far_out(spark):
+    """Tiles beyond 400 degrees, where coordinates themselves don't fit the grid, come out like those near 0."""
+    r = np.random.default_rng(3)
+    near = [[[ring(*p, p[0])]] for p in tiles(r, 3, 1 / 32)]
+    near = [[[[{"x": round(p["x"] * 1024) / 1024, "y": round(p["y"] * 1024) / 1024} for p in q] for q in poly] for poly in s] for s in near]
+    moved = [[[[{"x": p["x"] + 450, "y": p["y"] + 1120} for p in q] for q in poly] for poly in s] for s in near]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate([*near, *moved])], f"id int, shape {G.SHAPE}")
+    out = {x.id: x["shape"] for x in simplify.simplified(df, 0.05).collect()}
+    plain = lambda s, x, y: [[(p.x - x, p.y - y) for p in q] for poly in s for q in poly]
+    got = [plain(out[i], 0, 0) for i in range(9)]
+    assert [plain(out[i + 9], 450, 1120) for i in range(9)] == got and sum(len(q) for s in got for q in s) < sum(len(q) for s in near for p in s for q in p)
+
+
+def test_far_points_are_dealt_to_many_leaves(spark):
+    from tempora.operators import quadtree
+
+    points = spark.range(4000).selectExpr("id", "cast(id % 2 as double) x", "400 + id / 4D y")
+    tree = quadtree.tree(points, leaves=50)
+    leaf = quadtree.placed(points, tree, ["id"]).groupBy("leaf", "salt").count()
+    assert leaf.selectExpr("max(count)").first()[0] <= 80
+    square = points.selectExpr("id k", "x", "y").select("k", F.array(F.array(ring_of(F.col("x") - 0.5, F.col("y") - 0.1))).alias("shape"))
+    assert quadtree.points_in_polygons(points, square, "id", leaves=50).where("id = k").count() == 4000
+
+
+def ring_of(x, y):
+    return F.array(*[G.point(x + a, y + b) for a, b in ((0, 0), (1, 0), (1, 0.2), (0, 0.2), (0, 0))])
