@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.operators.temporal import active, lifespans
-from tempora.operators.tiles import CELL, nearest_names
+from tempora.operators.tiles import CELL, nearest_names, smallest_holding
 
 
 def cells(df: DataFrame) -> DataFrame:
@@ -44,10 +44,7 @@ def iou(boxes: DataFrame, year: int) -> DataFrame:
 
 def containing(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """For each point (id, x, y) the smallest rectangle that holds it, the smaller k of equals."""
-    at = points.withColumn("cx", F.floor(F.col("x") / CELL)).withColumn("cy", F.floor(F.col("y") / CELL))
-    hit = at.join(cells(boxes).drop("n", "s"), ["cx", "cy"]).where("x >= x0 AND x < x1 AND y >= y0 AND y < y1")
-    best = hit.groupBy("id").agg(F.min(F.struct(((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("size"), "k")).alias("m"))
-    return best.select("id", F.col("m.k").alias("k"), F.col("m.size").alias("size"))
+    return smallest_holding(points, boxes)
 
 
 def successors(boxes: DataFrame, floor: float = 0.03, top: int = 6, back: bool = False) -> DataFrame:

@@ -63,3 +63,27 @@ def test_successors_shuffle_no_pairs(spark):
     found = spatial.successors(rows)
     assert found.selectExpr("count(*)", "count(distinct k)", "max(pct)").first() == (9000, 1500, 100.0)
     assert "MapInArrow" in found._jdf.queryExecution().toString()
+
+
+def test_smallest_box_by_brute_force(spark):
+    from tempora.operators import spatial
+
+    rng = random.Random(7)
+    held = [b[1:] for b in boxes(rng, 150, 40)] + [("k0", 0, 0, 5, 5, 9, 9), ("a", 0, 0, 5, 5, 9, 9), ("z", 0, 0, 3, 3, 3, 9), (None, 0, 0, -3, -3, 1, 1)]
+    points = [(i, rng.uniform(-80, 120), rng.uniform(-60, 90)) for i in range(400)] + [(400, 5.0, 5.0), (401, 8.99, 8.99), (402, None, 1.0), (403, -2.5, 0.0)]
+    want = {}
+    for i, x, y in points:
+        on = [((b[5] - b[3]) * (b[6] - b[4]), b[0] is not None, b[0] or "") for b in held if x is not None and b[3] <= x < b[5] and b[4] <= y < b[6]]
+        if on:
+            n, known, k = min(on)
+            want[i] = (k if known else None, n)
+    found = spatial.containing(spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(held, "k string, f int, t int, x0 long, y0 long, x1 long, y1 long"))
+    assert {r.id: (r.k, r["size"]) for r in found.collect()} == want
+
+
+def test_points_and_boxes_in_one_place_make_no_pairs(spark):
+    from tempora.operators import spatial
+
+    many = spark.range(100_000)
+    found = spatial.containing(many.selectExpr("id", "1 x", "1 y"), many.selectExpr("id k", "0L x0", "0L y0", "3L x1", "3L y1", "'' n", "'' s"))
+    assert found.selectExpr("count(*)", "max(k)", "max(size)").first() == (100_000, 0, 9)
