@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.sources.stores import written
+
 
 def _overlap(f: Column, t: Column, f2: Column, t2: Column) -> Column:
     return (f <= t2) & (t >= f2)
@@ -77,9 +79,25 @@ def routes(pages: DataFrame, identities: DataFrame) -> DataFrame:
 def umbrellas(rows: DataFrame) -> DataFrame:
     """Identities (polity, name, url, title, first, last) whose page also serves another with an overlapping span and is not named
     like them: those are skipped, polity and url."""
-    a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, (F.col("a.url") == F.col("b.url")) & (F.col("a.polity") != F.col("b.polity")) & _overlap(F.col("a.first"), F.col("a.last"), F.col("b.first"), F.col("b.last")))
-    return met.where(F.lower("a.title") != F.lower("a.name")).select("a.polity", "a.url").distinct()
+    known = written(rows.select("polity", "name", "url", "title", "first", "last").where("url IS NOT NULL AND polity IS NOT NULL"), "spans")
+    proper, odd = known.where("first <= last"), known.where("first > last")
+    asked = proper.where(F.lower("title") != F.lower("name"))
+    # Spans that a span meets: those that begin by its end, less those that end before its beginning. Others are there if these are
+    # more than those of the same identity.
+    for n, keys in (("n", ["url"]), ("own", ["url", "polity"])):
+        ends = [proper.select(*keys, F.col(c).alias("year"), F.lit(i).alias("begun"), F.lit(1 - i).alias("ended")) for i, c in ((1, "first"), (0, "last"))]
+        counts = ends[0].unionByName(ends[1]).groupBy(*keys, "year").agg(F.sum("begun").alias("begun"), F.sum("ended").alias("ended"))
+        so_far = Window.partitionBy(*keys).orderBy("year")
+        counts = counts.select(*keys, "year", F.sum("begun").over(so_far).alias("begun"), (F.sum("ended").over(so_far) - F.col("ended")).alias("ended"))
+        asked = asked.join(counts.select(*keys, F.col("year").alias("last"), "begun"), [*keys, "last"]).join(counts.select(*keys, F.col("year").alias("first"), "ended"), [*keys, "first"])
+        asked = asked.withColumn(n, F.col("begun") - F.col("ended")).drop("begun", "ended")
+    met = asked.where("n > own").select("polity", "url")
+    # Spans that end before they begin are compared one by one.
+    for a, b in ((odd, known), (proper, odd)):
+        a, b = a.alias("a"), b.alias("b")
+        pairs = a.join(b, (F.col("a.url") == F.col("b.url")) & (F.col("a.polity") != F.col("b.polity")) & _overlap(F.col("a.first"), F.col("a.last"), F.col("b.first"), F.col("b.last")))
+        met = met.unionByName(pairs.where(F.lower("a.title") != F.lower("a.name")).select("a.polity", "a.url"))
+    return met.distinct()
 
 
 def associated(tenures: DataFrame, spans: DataFrame) -> DataFrame:
