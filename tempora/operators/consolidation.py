@@ -23,17 +23,36 @@ GOVERNING = ("prime minister", "premier", "chancellor", "reich chancellor")
 LEADER, MONARCH, STATE, GOVERNMENT = "*effective", "*monarch", "*head of state", "*head of government"
 
 
-def joins(rows: DataFrame) -> DataFrame:
-    """Sets of claims that may be one, in the order in which they are tried: block, ord, ids. First all of one person, then all of one
-    name that every source gives to a single person there; each by its smallest id, then by what they share."""
-    of = lambda key: rows.where(F.col(key).isNotNull()).groupBy("block", F.col(key).alias("shared"))
-    people = of("person").agg(F.min("id").alias("least")).withColumn("kind", F.lit(0))
-    told = rows.where("name IS NOT NULL").groupBy("block", F.col("name").alias("shared"), "source").agg(F.min("id").alias("least"), F.count_distinct("person").alias("n"))
-    named = told.groupBy("block", "shared").agg(F.min("least").alias("least"), F.max("n").alias("n")).where("n = 1").drop("n").withColumn("kind", F.lit(1))
-    sets = people.unionByName(named).withColumn("ord", F.struct("kind", "least", "shared"))
-    member = lambda key, kind: rows.where(F.col(key).isNotNull()).select("block", F.lit(kind).alias("kind"), F.col(key).alias("shared"), "id").distinct()
-    members = member("person", 0).unionByName(member("name", 1))
-    return sets.join(members, ["block", "kind", "shared"]).select("block", "ord", "id")
+def placed(rows: DataFrame) -> DataFrame:
+    """Claims with node, the smallest id of those that certainly are one with it: all of its person, as long as none of these has a second
+    person or block. Such a set is tried before any name and can't be refused, so that it is one from the start. first marks one row
+    of each id."""
+    own = F.when(F.col("person").isNotNull(), F.struct("block", "person"))
+    by = Window.partitionBy("id")
+    line = rows.select("id", "block", "person", "source", "name").withColumn("own", own)
+    line = line.withColumns({"least": F.min("own").over(by), "most": F.max("own").over(by), "first": F.row_number().over(by.orderBy("block", "person", "source", "name")) == 1})
+    line = line.withColumn("several", F.coalesce(F.col("least") != F.col("most"), F.lit(False)))
+    owner = F.when(F.col("several"), F.col("own")).otherwise(F.col("least"))
+    line = line.withColumns({"of_block": owner["block"], "of_person": owner["person"]}).withColumn("alone", F.when(owner.isNull(), F.col("id")))
+    each = Window.partitionBy("of_block", "of_person", "alone")
+    line = line.withColumns({"mixed": F.max("several").over(each), "head": F.min("id").over(each)})
+    return line.withColumn("node", F.when(F.col("mixed"), F.col("id")).otherwise(F.col("head"))).select("id", "block", "person", "source", "name", "node", "mixed", "first")
+
+
+def joins(claims: DataFrame) -> DataFrame:
+    """Sets of placed claims that may be one, in the order in which they are tried: block, ord, id (their nodes). First all of one person,
+    then all of one name that every source gives to a single person there; each by its smallest id, then by what they share. Those
+    that are one already are left out."""
+    people = claims.where("person IS NOT NULL AND mixed")
+    of_person = people.groupBy("block", F.col("person").alias("shared")).agg(F.min("id").alias("least")).withColumn("kind", F.lit(0))
+    bounds = [F.min("id").alias("least"), F.min("person").alias("one"), F.max("person").alias("other"), F.min("node").alias("lo"), F.max("node").alias("hi")]
+    told = claims.where("name IS NOT NULL").groupBy("block", F.col("name").alias("shared"), "source").agg(*bounds)
+    named = told.groupBy("block", "shared").agg(F.min("least").alias("least"), F.max(F.col("one") != F.col("other")).alias("several"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    named = named.where("NOT several AND lo < hi").select("block", "shared", "least", F.lit(1).alias("kind"))
+    sets = of_person.select("block", "shared", "least", "kind").unionByName(named).withColumn("ord", F.struct("kind", "least", "shared"))
+    member = lambda of, key, kind: of.where(F.col(key).isNotNull()).select("block", F.lit(kind).alias("kind"), F.col(key).alias("shared"), F.col("node").alias("id")).distinct()
+    members = member(people, "person", 0).unionByName(member(claims, "name", 1))
+    return members.join(sets.hint("merge"), ["block", "kind", "shared"]).select("block", "ord", "id")
 
 
 def consolidated(rows: DataFrame) -> DataFrame:
@@ -42,18 +61,20 @@ def consolidated(rows: DataFrame) -> DataFrame:
     Sets are joined one after another; a set that would bring two external identities together is refused as a whole, and what was
     joined before stays. Where no such set is in reach any order gives the same, so that plain components do; the others go in
     rounds: each set asks for all components that it touches, one that is the first to ask at each of them is settled, and the
-    rest asks again. This is the order of one after another, as sets that touch nothing in common don't depend on each other."""
-    claims = rows.select("id", "block", "person", "source", "name")
+    rest asks again. This is the order of one after another, as sets that touch nothing in common don't depend on each other.
+    Claims of one person are a single node from the start (placed), and only nodes that some set joins with others go into rounds."""
+    claims = written(placed(rows), "claims")
     sets = written(joins(claims).withColumn("set", F.xxhash64("block", "ord")), "sets")
     least = sets.groupBy("set").agg(F.min("id").alias("b"))
-    plain = components(sets.join(least, "set").select(F.col("id").alias("a"), "b"))
+    plain = components(sets.join(least.hint("merge"), "set").select(F.col("id").alias("a"), "b"))
     external = F.when(F.col("person").startswith("wd:"), F.col("person"))
-    known = claims.select("id", external.alias("wd")).distinct()
-    placed = written(known.join(plain.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
-    doubtful = placed.groupBy("component").agg(F.count_distinct("wd").alias("n")).where("n > 1").select("component")
-    held = placed.join(doubtful, "component", "left_semi")
+    known = claims.select(F.col("node").alias("id"), external.alias("wd")).distinct()
+    joined = written(known.join(plain.withColumnRenamed("node", "id").hint("merge"), "id"), "placed")
+    doubtful = joined.groupBy("component").agg(F.count_distinct("wd").alias("n")).where("n > 1").select("component")
+    held = joined.join(doubtful, "component", "left_semi")
     labels = written(held.select("id", F.col("id").alias("at"), "wd").groupBy("id", "at").agg(F.max("wd").alias("wd")), "labels")
     pending = written(sets.join(labels.select("id"), "id", "left_semi").select("set", "ord", "block", "id"), "pending")
+    dropped(sets)
     while True:
         touched = pending.join(labels.select("id", "at", "wd"), "id").groupBy("set", "ord", "block", "at").agg(F.max("wd").alias("wd"))
         sets_ = touched.groupBy("set", "ord", "block").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("wd").alias("wds"), F.min("at").alias("to"), F.max("wd").alias("wd"))
@@ -73,8 +94,9 @@ def consolidated(rows: DataFrame) -> DataFrame:
         labels, pending = after, left
     names = labels.groupBy("at").agg(F.min("id").alias("component"))
     settled = labels.join(names, "at").select("id", "component")
-    rest = placed.join(doubtful, "component", "left_anti").select("id", "component").distinct()
-    return rest.unionByName(settled)
+    rest = joined.join(doubtful, "component", "left_anti").select("id", "component").distinct()
+    where = rest.unionByName(settled).select(F.col("id").alias("node"), "component")
+    return claims.where("first").select("id", "node").join(where.hint("merge"), "node", "left").select("id", F.coalesce("component", "node").alias("component"))
 
 
 def compatible(a: Column, b: Column) -> Column:

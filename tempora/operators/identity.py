@@ -12,20 +12,38 @@ from pyspark.sql import functions as F
 from tempora.sources.stores import dropped, written
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and component, the smallest node that links (a, b) reach: labels go along links and then to their own label's label,
-    until none changes. Rounds are stored tables; the one before is deleted."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("component")), "labels")
+    """node and component, the smallest node that links (a, b) reach.
+
+    In each round every node goes to its smallest neighbour, if that is smaller, and on to where that one goes; links then lead between
+    the places arrived at, so that at most half of the nodes are left after two rounds. In the end the rounds are followed backwards.
+    Rounds are stored tables, deleted when they are done; their joins are merges, as a table told to all tasks in every round would pass
+    through the driver as often."""
+    links = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    rounds = []
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        stepped = labels.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
-        hop = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        after = written(stepped.join(hop, "component", "left").select("node", F.coalesce("up", "component").alias("component"), "old"), "labels")
-        dropped(labels)
-        labels = after
-        if after.where("component <> old").isEmpty():
-            dropped(both)
-            return labels.select("node", "component")
+        goes = written(links.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("to")).withColumn("moved", F.col("node") > F.col("to")), "goes")
+        while not goes.where("moved").isEmpty():
+            ahead = goes.select(F.col("node").alias("to"), F.col("to").alias("far")).hint("merge")
+            after = written(goes.join(ahead, "to").select("node", F.col("far").alias("to"), (F.col("to") > F.col("far")).alias("moved")), "goes")
+            dropped(goes)
+            goes = after
+        rounds.append(goes)
+        at = lambda end: goes.select(F.col("node").alias(end), F.col("to").alias(f"{end}_to")).hint("merge")
+        left = written(links.where("a < b").join(at("a"), "a").join(at("b"), "b").where("a_to <> b_to").select(F.explode(F.array(F.struct(F.col("a_to").alias("a"), F.col("b_to").alias("b")), F.struct(F.col("b_to").alias("a"), F.col("a_to").alias("b")))).alias("l")).select("l.*").distinct(), "links")
+        dropped(links)
+        links = left
+        if links.isEmpty():
+            break
+    dropped(links)
+    labels = rounds.pop()
+    found = labels.select("node", F.col("to").alias("component"))
+    while rounds:
+        before = rounds.pop()
+        known = found.select(F.col("node").alias("to"), "component").hint("merge")
+        after = written(before.join(known, "to", "left").select("node", F.coalesce("component", "to").alias("component")), "labels")
+        dropped(labels, before)
+        labels = found = after
+    return found
 
 
 def consolidated(rows: DataFrame) -> DataFrame:
