@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.operators.inorder import in_order
 from tempora.operators.temporal import active, area_by_identity, interpolate, lifespans, map_changes, present
 
 #: Ranks of rivers and lakes that show up to a zoom, and how many changes of a kind a list shows.
@@ -120,21 +121,18 @@ def label_candidates(boxes: DataFrame, emphasised: DataFrame) -> DataFrame:
 
 def label_claims(boxes: DataFrame, view: str = "view") -> DataFrame:
     """Greedy labels of each view: boxes (view, ord, x0, y0, x1, y1) in order of ord, each placed unless it meets one that
-    was placed before it. Which labels stand depends on the whole order, so a view is one task's work; views are independent."""
-
-    def place(rows):
-        import numpy as np
-
-        rows = rows.sort_values("ord")
-        box = rows[["x0", "y0", "x1", "y1"]].to_numpy(float)
-        placed = np.zeros(len(rows), dtype=bool)
-        for i, (x0, y0, x1, y1) in enumerate(box):
-            held = box[:i][placed[:i]]
-            placed[i] = not ((held[:, 0] < x1) & (held[:, 2] > x0) & (held[:, 1] < y1) & (held[:, 3] > y0)).any()
-        return rows.assign(placed=placed)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in boxes.schema) + ", placed boolean"
-    return boxes.groupBy(view).applyInPandas(place, schema)
+    was placed before it. Which labels stand depends on the whole order of a view; of a view a task holds the placed ones."""
+
+    def step(held, x0, y0, x1, y1):
+        if None in (x0, y0, x1, y1):  # meets nothing
+            return True
+        for a0, b0, a1, b1 in held:
+            if a0 < x1 and a1 > x0 and b0 < y1 and b1 > y0:
+                return False
+        held.append((x0, y0, x1, y1))
+        return True
+
+    return in_order(boxes, [view], ["ord"], ["x0", "y0", "x1", "y1"], list, step, "placed boolean").select(*boxes.columns, "placed")
 
 
 def window_of(year: Column, scope: Column, lo: int, hi: int) -> Column:
