@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.operators.inorder import in_order
+
 CLAIM = ["person", "polity", "role", "fy", "ty"]
 
 
@@ -69,20 +71,16 @@ def merged_places(places: DataFrame) -> DataFrame:
 def lanes(rows: DataFrame, most: int = 4) -> DataFrame:
     """Tenures (key, id, f, t) laid in the first lane that is free by their start; null beyond the last lane.
 
-    Each lane depends on those before it, so a key's tenures are placed in order in one group."""
-
-    def place(pdf):
-        ends: list[int] = []
-        lane = []
-        pdf = pdf.sort_values(["f", "t", "id"])
-        for f, t in zip(pdf["f"], pdf["t"]):
-            free = next((i for i, e in enumerate(ends) if e <= f), None)
-            if free is None and len(ends) < most:
-                ends.append(t)
-                free = len(ends) - 1
-            elif free is not None:
-                ends[free] = t
-            lane.append(free)
-        return pdf.assign(lane=lane).astype({"lane": "Int32"})
-
-    return rows.select("key", "id", "f", "t").groupBy("key").applyInPandas(place, "key long, id long, f int, t int, lane int")
+    Each lane depends on those before it, so a key's tenures are placed in order."""
+
+    def step(ends, f, t):
+        free = next((i for i, e in enumerate(ends) if None not in (e, f) and e <= f), None)
+        if free is not None:
+            ends[free] = t
+        elif len(ends) < most:
+            free = len(ends)
+            ends.append(t)
+        return free
+
+    line = rows.select(F.col("key").cast("long").alias("key"), F.col("id").cast("long").alias("id"), F.col("f").cast("int").alias("f"), F.col("t").cast("int").alias("t"))
+    return in_order(line, ["key"], [F.asc_nulls_last(c) for c in ("f", "t", "id")], ["f", "t"], list, step, "lane int")
