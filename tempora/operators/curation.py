@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.operators.inorder import in_order
 from tempora.sources.stores import written
 
 
@@ -208,24 +209,20 @@ def coverage_dispositions(identities: DataFrame, rosters: DataFrame, candidates:
 def distinct_days(rows: DataFrame, signature: list[str]) -> DataFrame:
     """U8: of rows (ord, from_day, to_day) equal in signature the first, and later ones only if they and all that stand are known to
     the day and touch none of them. Days are ISO texts or structs that compare in time."""
-    w = Window.partitionBy(*signature)
-    known = F.col("from_day").isNotNull() & F.col("to_day").isNotNull()
-    line = rows.withColumns({"first": F.min("ord").over(w), "known": known, "base_known": F.min_by(known, "ord").over(w)})
-    alone = line.where(F.col("ord") == F.col("first")).drop("first", "known", "base_known")
-    rest = line.where(F.col("base_known") & F.col("known"))
-
-    def stand(group):
-        held: list[int] = []
-        group = group.sort_values("ord")
-        spans = list(zip(group["from_day"], group["to_day"], strict=True))
-        for i, (f, t) in enumerate(spans):
-            if all(spans[j][1] <= f or t <= spans[j][0] for j in held):
-                held.append(i)
-        return group.iloc[held]
-
-    # Which row stands depends on those before it; a signature is one person's tenures of one office, so a group is small.
-    kept = rest.select(*rows.columns, "first").groupBy(*signature).applyInPandas(stand, rest.select(*rows.columns, "first").schema)
-    return alone.unionByName(kept.where(F.col("ord") != F.col("first")).drop("first"))
+    def step(state, ord_, f, t):
+        known = f is not None and t is not None
+        if not state:
+            state.update(first=ord_, known=known, held=[])
+        first = ord_ == state["first"]
+        f, t = (tuple(v.values()) if isinstance(v, dict) else v for v in (f, t))
+        free = state["known"] and known and all(b <= f or t <= a for a, b in state["held"])
+        if free:
+            state["held"].append((f, t))
+        return first or free
+
+    # Which row stands depends on those before it; a signature is one person's tenures of one office, so few stand.
+    line = in_order(rows.where("ord IS NOT NULL"), signature, ["ord"], ["ord", "from_day", "to_day"], dict, step, "__stands boolean")
+    return line.where("__stands").select(*rows.columns)
 
 
 def planned(routes_: list[DataFrame]) -> DataFrame:
