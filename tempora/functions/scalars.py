@@ -81,11 +81,15 @@ def folded(text: Column) -> Column:
 
 def match_score(candidate: Column, needle: Column) -> Column:
     """0 equal, 1 begins with, 2 contains, 3 holds every token, 3.5 holds the stem of every token of 6 or more letters, else null."""
-    c, n = folded(candidate), folded(needle)
+    n = folded(needle)
     tokens = F.split(n, " ")
     stem = lambda t: F.substring(t, F.lit(1), F.greatest(F.lit(5), F.length(t) - 2))
-    stems = F.forall(tokens, lambda t: (F.length(t) >= 6) & c.contains(stem(t)))
-    return F.when(n == "", None).when(c == n, 0.0).when(c.startswith(n), 1.0).when(c.contains(n), 2.0).when(F.forall(tokens, lambda t: c.contains(t)), 3.0).when(stems, 3.5)
+
+    def score(c: Column) -> Column:
+        stems = F.forall(tokens, lambda t: (F.length(t) >= 6) & c.contains(stem(t)))
+        return F.when(n == "", None).when(c == n, 0.0).when(c.startswith(n), 1.0).when(c.contains(n), 2.0).when(F.forall(tokens, lambda t: c.contains(t)), 3.0).when(stems, 3.5)
+
+    return F.transform(F.array(folded(candidate)), score)[0]  # a variable, as every use of an expression is worked out again
 
 
 def timeline_position(y: Column) -> Column:

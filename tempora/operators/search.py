@@ -20,10 +20,12 @@ def ranked(names: DataFrame, aliases: DataFrame, facts: DataFrame, text: str, mo
     before anything is grouped.
     """
     needle = F.lit(text)
-    own = names.select("key", S.folded(F.col("name")).alias("text")).where("text <> ''").distinct()
-    other = aliases.select("key", S.folded(F.col("name")).alias("text")).where("text <> ''").distinct().join(own, ["key", "text"], "left_anti")
-    score = lambda df, cost, alias: df.withColumn("score", S.match_score(F.col("text"), needle) + cost).where("score IS NOT NULL").select("key", "score", alias.alias("alias"))
-    both = score(own, 0.0, F.lit(None).cast("string")).unionByName(score(other, ALIAS_COST, F.col("text")))
+    hit = lambda t: F.struct(t.alias("text"), S.match_score(t, needle).alias("score"))
+    hits = F.filter(F.transform(F.array(S.folded(F.col("name"))), hit), lambda h: (h["text"] != "") & h["score"].isNotNull())
+    scored = lambda df: df.select("key", F.explode(hits).alias("h")).select("key", "h.text", "h.score").distinct()
+    own = scored(names)
+    other = scored(aliases).join(own.select("key", "text"), ["key", "text"], "left_anti")
+    both = own.select("key", "score", F.lit(None).cast("string").alias("alias")).unionByName(other.select("key", F.col("score") + ALIAS_COST, F.col("text").alias("alias")).toDF("key", "score", "alias"))
     best = both.groupBy("key").agg(F.min(F.struct("score", F.col("alias").isNotNull().alias("by_alias"), "alias")).alias("b"))
     found = best.join(facts, "key").select("key", "b.score", "b.alias", "active", "peak", "name")
     return found.orderBy("score", F.desc("active"), F.desc("peak"), "name", "key").limit(most)
