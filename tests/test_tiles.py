@@ -87,3 +87,32 @@ def test_points_and_boxes_in_one_place_make_no_pairs(spark):
     many = spark.range(100_000)
     found = spatial.containing(many.selectExpr("id", "1 x", "1 y"), many.selectExpr("id k", "0L x0", "0L y0", "3L x1", "3L y1", "'' n", "'' s"))
     assert found.selectExpr("count(*)", "max(k)", "max(size)").first() == (100_000, 0, 9)
+
+
+def test_overlapping_pairs_are_found_in_parts_and_not_shuffled(spark, monkeypatch):
+    from tempora.operators import tiles
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(260):
+        x, y, f = rng.randint(-70, 60), rng.randint(-50, 40), rng.randint(-90, 60)
+        rows.append((i % 90, f, f + rng.randint(0, 80), x, y, x + rng.choice((0, 3, 9, 25, 70)), y + rng.choice((1, 4, 11, 45))))
+    rows += [(None, -50, 50, 0, 0, 9, 9), (2, -50, 50, 0, 0, 9, 9), (1 << 60, -50, 50, 0, 0, 9, 9)]
+    want = {}
+    for a in rows:
+        for b in rows:
+            w, h = min(a[5], b[5]) - max(a[3], b[3]), min(a[6], b[6]) - max(a[4], b[4])
+            if None in (a[0], b[0]) or not a[0] < b[0] or w <= 0 or h <= 0 or w * h < 0.3 * min((a[5] - a[3]) * (a[6] - a[4]), (b[5] - b[3]) * (b[6] - b[4])):
+                continue
+            for year in range(-60, 61, 30):
+                if max(a[1], b[1]) <= year <= min(a[2], b[2]):
+                    want.setdefault((a[0], b[0]), set()).add(year)
+    boxes = spark.createDataFrame(rows, "k long, f int, t int, x0 int, y0 int, x1 int, y1 int")
+    for compared, held in ((1 << 24, 40_000), (50, 7)):
+        monkeypatch.setattr(tiles, "COMPARED", compared)
+        monkeypatch.setattr(tiles, "HELD", held)
+        found = resolve.overlapping_claims(boxes, -60, 60, 30)
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+        got = found.collect()
+        assert len(got) == len(want) and {(r.k1, r.k2): r.years for r in got} == {p: len(y) for p, y in want.items()}
+    assert resolve.overlapping_claims(boxes.where("false"), -60, 60, 30).count() == 0
