@@ -384,14 +384,26 @@ def repaired(column: pa.Array) -> pa.Array:
     e, row, polygon, place = ring_edges(column)
     by_ring = {k: e[k] for k in ("ax", "ay", "bx", "by", "layer", "w")} | {"g": e["ring"]}
     border = bounded(wound(noded(by_ring)), RULES["parity"])
-    by_polygon = directed(border)
     if len(row):
-        by_polygon |= {"g": polygon[border["g"]], "layer": (place[border["g"]] > 0).astype(np.int64)}
-    border = bounded(wound(noded(by_polygon)), RULES["difference"])
-    row_of = np.zeros(int(polygon.max()) + 1 if len(polygon) else 0, dtype=np.int64)
-    row_of[polygon] = row
-    by_row = directed(border) | {"g": row_of[border["g"]]}
-    return shapes(bounded(wound(noded(by_row)), RULES["first"]), len(column))
+        # Only polygons with several rings, then rows with several polygons, can change further.
+        ring = border["g"]
+        several = np.bincount(polygon)[polygon] > 1
+        by_polygon = directed(border) | {"g": polygon[ring], "layer": (place[ring] > 0).astype(np.int64)}
+        border = directed(border) | {"g": polygon[ring]}
+        border = _mended(border, by_polygon, several[ring], "difference")
+        row_of = np.zeros(int(polygon.max()) + 1, dtype=np.int64)
+        row_of[polygon] = row
+        several = np.bincount(row_of[np.unique(polygon)], minlength=len(column)) > 1
+        by_row = directed(border) | {"g": row_of[border["g"]]}
+        border = _mended(by_row, by_row, several[by_row["g"]], "first")
+    return shapes(border, len(column))
+
+
+def _mended(border: Edges, layers: Edges, which: np.ndarray, rule: str) -> Edges:
+    """A border with that of where a rule holds of layers in place of some of its groups."""
+    whole = take(border, ~which)
+    new = bounded(wound(noded(take(layers, which))), RULES[rule])
+    return {k: np.concatenate((whole[k], new[k])) for k in ("g", "ax", "ay", "bx", "by")}
 
 
 def cut_to_tiles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Edges]:

@@ -217,3 +217,25 @@ def test_masks_shares_agreement_and_coverage(spark):
     held = O.areas(O.bounded(O.overlaid(O.shapes(cover, 1), view), O.RULES["intersection"]), 1)[0]
     assert polygons.coverage(frame(spark, two), (-10.0, -10.0, 10.0, 10.0), size=5.0).first().covered == round(held / 4, 1)
     assert tuple(polygons.coverage(frame(spark, two).where("false"), (0.0, 0.0, 1.0, 1.0)).first()) == (0.0, 100.0)
+
+
+def test_repair_leaves_out_steps_that_cannot_change_a_row():
+    """A bow tie beside a square with a hole, and two squares that overlap: alone and together in a column they end the same."""
+    ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in (*p, p[0])]
+    rect = lambda a, b, c, d: ring((a, b), (c, b), (c, d), (a, d))
+    rows = [[[ring((0, 0), (2, 2), (2, 0), (0, 2))]], [[rect(0, 0, 4, 4), rect(1, 1, 2, 5)]], [[rect(0, 0, 2, 2)], [rect(1, 1, 3, 3)]], None, [], [[rect(0, 0, 2, 2), rect(0, 0, 2, 2)], [rect(5, 5, 6, 6)]]]
+    kind = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+    whole = O.repaired(pa.array(rows, kind)).to_pylist()
+    assert whole == [O.repaired(pa.array([r], kind)).to_pylist()[0] for r in rows]
+    column = pa.array(whole, kind)
+    assert O.areas(O.bounded(O.wound(O.noded(O.shape_edges(column))), O.RULES["first"]), len(rows)).tolist() == [2, 13, 7, 0, 0, 1]
+    assert [len(s) for s in whole] == [2, 1, 1, 0, 0, 1]
+
+
+def test_rows_that_cost_time_are_dealt_to_all_cores(spark):
+    from tempora.plans import catalog  # isort: skip
+    from tempora.plans import maps
+    from tempora.plans import polygons as plans
+
+    for made in (maps.ells, plans.frames, catalog.QUERIES["p5_made_valid"]):
+        assert made(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
