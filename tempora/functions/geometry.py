@@ -10,7 +10,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -319,23 +319,79 @@ def kept_points(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
     return keep
 
 
-def _simple_ring(ring: list, tolerance: float) -> list:
-    if len(ring) < 5:
-        return list(ring)
-    x, y = np.array([p["x"] for p in ring]), np.array([p["y"] for p in ring])
-    far = int(np.argmax(np.hypot(x - x[0], y - y[0])))  # a ring is two lines between its first point and the farthest one
-    keep = np.concatenate([kept_points(x[: far + 1], y[: far + 1], tolerance), kept_points(x[far:], y[far:], tolerance)[1:]]) if 0 < far < len(ring) - 1 else np.ones(len(ring), dtype=bool)
-    if keep.sum() < 4:
-        return list(ring)
-    return [ring[i] for i in np.flatnonzero(keep)]
+def _lists(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many values each list has, none for null, and the values."""
+    return np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64), lists.flatten()
+
+
+def _of_ranges(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers first, first + 1 and so on, n of each range (not none), and where each begins."""
+    starts = np.cumsum(n) - n
+    return np.arange(int(n.sum())) + np.repeat(first - starts, n), starts
+
+
+def _first_largest(values: np.ndarray, at: np.ndarray, n: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The largest value of each range and the first place of it, that of a value that is no number before others."""
+    largest = np.maximum.reduceat(values, starts)
+    top = (values == np.repeat(largest, n)) | np.isnan(values)
+    return largest, np.minimum.reduceat(np.where(top, at, np.iinfo(np.int64).max), starts)
+
+
+def kept_of_rings(x: np.ndarray, y: np.ndarray, n: np.ndarray, tolerance: float) -> np.ndarray:
+    """Points of many rings (n points each) that stay: a ring is two lines between its first point and the farthest one, taken as
+    kept_points takes them, all lines of a round at once. Rings of less than five points, and those of which less than four would be
+    left, stay as they are."""
+    first, keep = np.cumsum(n) - n, np.ones(len(x), dtype=bool)
+    large = np.flatnonzero(n >= 5)
+    if not len(large):
+        return keep
+    at, starts = _of_ranges(first[large], n[large])
+    head = np.repeat(first[large], n[large])
+    far = _first_largest(np.hypot(x[at] - x[head], y[at] - y[head]), at, n[large], starts)[1]
+    split = (far > first[large]) & (far < first[large] + n[large] - 1)
+    large, far = large[split], far[split]
+    lo, hi = first[large], first[large] + n[large] - 1
+    if not len(large):
+        return keep
+    keep[_of_ranges(lo, n[large])[0]] = False
+    keep[np.concatenate((lo, far, hi))] = True
+    a, b = np.concatenate((lo, far)), np.concatenate((far, hi))
+    while True:
+        open_ = b - a >= 2
+        a, b = a[open_], b[open_]
+        if not len(a):
+            break
+        at, starts = _of_ranges(a + 1, b - a - 1)
+        of = np.repeat(np.arange(len(a)), b - a - 1)
+        dx, dy = (x[b] - x[a])[of], (y[b] - y[a])[of]
+        px, py = x[at] - x[a][of], y[at] - y[a][of]
+        length = dx * dx + dy * dy
+        along = np.clip((px * dx + py * dy) / np.where(length != 0, length, 1), 0, 1) * (length != 0)
+        away, middle = _first_largest(np.hypot(px - along * dx, py - along * dy), at, b - a - 1, starts)
+        cut = away > tolerance
+        keep[middle[cut]] = True
+        a, b = np.concatenate((a[cut], middle[cut])), np.concatenate((middle[cut], b[cut]))
+    kept = np.concatenate(([0], np.cumsum(keep)))
+    left = kept[hi + 1] - kept[lo]
+    keep[_of_ranges(lo[left < 4], n[large][left < 4])[0]] = True
+    return keep
 
 
 def simplified(shape: Column, tolerance: float) -> Column:
     """Rings without points nearer than the tolerance to what stays; a ring that would lose its area stays as it is."""
 
-    @F.pandas_udf(SHAPE)
-    def run(shapes: pd.Series) -> pd.Series:
-        return shapes.map(lambda s: None if s is None else [[_simple_ring(list(r), tolerance) for r in polygon] for polygon in s])
+    @F.arrow_udf(SHAPE)
+    def run(column: pa.Array) -> pa.Array:
+        polygons, inner = _lists(column)
+        rings, inner = _lists(inner)
+        points, xy = _lists(inner)
+        x, y = (xy.field(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in ("x", "y"))
+        keep = kept_of_rings(x, y, points, tolerance)
+        ring = np.repeat(np.arange(len(points)), points)
+        ends = lambda n: pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+        out = pa.StructArray.from_arrays([pa.array(x[keep]), pa.array(y[keep])], ["x", "y"])
+        out = pa.ListArray.from_arrays(ends(np.bincount(ring[keep], minlength=len(points))), out)
+        return pa.ListArray.from_arrays(ends(polygons), pa.ListArray.from_arrays(ends(rings), out), mask=column.is_null())
 
     return run(shape)
 

@@ -114,3 +114,29 @@ def test_far_points_are_dealt_to_many_leaves(spark):
 
 def ring_of(x, y):
     return F.array(*[G.point(x + a, y + b) for a, b in ((0, 0), (1, 0), (1, 0.2), (0, 0.2), (0, 0))])
+
+
+def test_rings_of_a_batch_are_simplified_together(spark):
+    """As each ring alone by kept_points; rings that are null, empty, short, of one place, or left with less than four points."""
+    r = np.random.default_rng(3)
+
+    def alone(ring, tolerance):
+        x, y = (np.array([p[k] for p in ring]) for k in "xy")
+        far = int(np.argmax(np.hypot(x - x[0], y - y[0]))) if len(ring) >= 5 else 0
+        if not 0 < far < len(ring) - 1:
+            return ring
+        keep = np.concatenate([G.kept_points(x[: far + 1], y[: far + 1], tolerance), G.kept_points(x[far:], y[far:], tolerance)[1:]])
+        return [ring[i] for i in np.flatnonzero(keep)] if keep.sum() >= 4 else ring
+
+    rings = []
+    for n in [0, 1, 4, *r.integers(0, 30, 300).tolist(), 5, 0]:
+        points = np.round(r.uniform(-3, 3, (n, 2)), int(r.integers(0, 3)))
+        points = points[:1].repeat(n, axis=0) if n % 9 == 8 else points
+        rings.append([{"x": float(a), "y": float(b)} for a, b in [*points, *points[:1]]])
+    rows = [(i, [rings[i : i + 3], [], rings[i + 3 : i + 4]]) for i in range(0, len(rings), 4)] + [(1001, None), (1002, []), (1003, [[]])]
+    df = spark.createDataFrame(rows, f"id int, shape {G.SHAPE}").coalesce(1)
+    for tolerance in (0.0, 0.3, 2.0):
+        got = {x.id: x["shape"] and [[[p.asDict() for p in ring] for ring in polygon] for polygon in x["shape"]] for x in df.select("id", G.simplified(F.col("shape"), tolerance).alias("shape")).collect()}
+        assert got == {i: s and [[alone(ring, tolerance) for ring in polygon] for polygon in s] for i, s in rows}
+    every = np.array([(p["x"], p["y"]) for ring in rings for p in ring]).T
+    assert G.kept_of_rings(*every, np.array([len(ring) for ring in rings]), 0.3).sum() == sum(len(alone(ring, 0.3)) for ring in rings)
