@@ -1,13 +1,14 @@
 """Polygons as columns: a ring is an array of struct(x, y) that ends where it begins, a polygon an array of rings, outer first,
 and a shape an array of polygons. Degrees of longitude and latitude unless a name says otherwise.
 
-All but simplified() are built-in functions, so that they stay inside generated code.
+All but simplified(), clipped() and without() are built-in functions, so that they stay inside generated code.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -170,42 +171,127 @@ def bounds(shape: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
-def _half(ring: Column, axis: str, bound: Column, above: bool) -> Column:
-    """The part of a ring on one side of a line along an axis."""
-    other = "y" if axis == "x" else "x"
-    within = lambda p: (p[axis] >= bound) if above else (p[axis] <= bound)
-
-    def cross(p: Column, q: Column) -> Column:
-        w = p[other] + (q[other] - p[other]) * (bound - p[axis]) / F.when(q[axis] != p[axis], q[axis] - p[axis])
-        return point(bound, w) if axis == "x" else point(w, bound)
-
-    def step(p: Column, q: Column) -> Column:
-        out = F.when(within(p) & within(q), F.array(q)).when(within(p), F.array(cross(p, q))).when(within(q), F.array(cross(p, q), q))
-        return F.coalesce(out, F.array().cast(RING))
-
-    return let(F.flatten(edges(ring, step)), lambda r: F.when(F.size(r) > 0, F.concat(r, F.slice(r, 1, 1))).otherwise(r))
-
-
-def _side(axis: str, bound: Column, above: bool) -> Callable[[Column], Column]:
-    return lambda ring: _half(ring, axis, bound, above)
-
-
-def _cut(shape: Column, sides: list[tuple[str, Column, bool]]) -> Column:
-    for side in sides:
-        shape = mapped(shape, _side(*side))
-    return F.coalesce(repaired(shape), F.array().cast(SHAPE))
+@dataclass
+class _Rings:
+    """Rings in arrays: points, how many each ring has, and of each ring its polygon, row and whether it is an outer one."""
+
+    x: np.ndarray
+    y: np.ndarray
+    n: np.ndarray
+    polygon: np.ndarray
+    row: np.ndarray
+    outer: np.ndarray
+
+    @property
+    def of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.n)), self.n)
+
+    def closed(self, x: np.ndarray, y: np.ndarray, n: np.ndarray, open_: np.ndarray) -> _Rings:
+        """Rings of other points; those that are open get their first point once more."""
+        ring = np.repeat(np.arange(len(n)), n)
+        shift = np.cumsum(open_) - open_
+        at, ends, first = np.arange(len(x)) + shift[ring], np.cumsum(n + open_)[open_] - 1, (np.cumsum(n) - n)[open_]
+        out = np.empty((2, len(x) + int(open_.sum())))
+        for k, v in enumerate((x, y)):
+            out[k, at], out[k, ends] = v, v[first]
+        return replace(self, x=out[0], y=out[1], n=n + open_)
+
+
+def _rings_of(column: pa.Array) -> _Rings:
+    polygons, inner = _lists(column)
+    rings, inner = _lists(inner)
+    points, xy = _lists(inner)
+    polygon = np.repeat(np.arange(len(rings)), rings)
+    x, y = (xy.field(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in ("x", "y"))
+    place = np.arange(len(polygon)) - (np.cumsum(rings) - rings)[polygon]
+    return _Rings(x, y, points, polygon, np.repeat(np.arange(len(polygons)), polygons)[polygon], place == 0)
+
+
+def _half(r: _Rings, axis: str, bound: np.ndarray, above: bool) -> _Rings:
+    """The parts of rings on one side of lines along an axis, a line for each row."""
+    ring = r.of
+    p = np.flatnonzero(ring[1:] == ring[:-1]) if len(ring) else ring
+    ring, q = ring[p], p + 1
+    along, other = (r.x, r.y) if axis == "x" else (r.y, r.x)
+    at = bound[r.row[ring]]
+    p_in, q_in = ((along[i] >= at) if above else (along[i] <= at) for i in (p, q))
+    cross = p_in != q_in
+    n = cross.astype(np.int64) + q_in
+    starts = np.cumsum(n) - n
+    out = np.empty((2, int(n.sum())))
+    c = np.flatnonzero(cross)
+    met = other[p[c]] + (other[q[c]] - other[p[c]]) * (at[c] - along[p[c]]) / (along[q[c]] - along[p[c]])
+    for k, own in enumerate("xy"):
+        out[k, starts[c]] = at[c] if own == axis else met
+        out[k, (starts + cross)[q_in]] = (r.x, r.y)[k][q[q_in]]
+    per = np.bincount(ring, weights=n, minlength=len(r.n)).astype(np.int64)
+    return r.closed(*out, per, per > 0)
+
+
+def _sound(r: _Rings) -> tuple[_Rings, np.ndarray]:
+    """As repaired(): rings without points that repeat the one before, closed, and which of them stay."""
+    ring = r.of
+    fresh = np.ones(len(ring), dtype=bool)
+    fresh[1:] = (ring[1:] != ring[:-1]) | (r.x[1:] != r.x[:-1]) | (r.y[1:] != r.y[:-1])
+    x, y, n = r.x[fresh], r.y[fresh], np.bincount(ring[fresh], minlength=len(r.n))
+    ends = np.cumsum(n)
+    some = np.flatnonzero(n)
+    open_ = np.zeros(len(n), dtype=bool)
+    open_[some] = (x[(ends - n)[some]] != x[ends[some] - 1]) | (y[(ends - n)[some]] != y[ends[some] - 1])
+    r = r.closed(x, y, n, open_)
+    ring = r.of
+    p = np.flatnonzero(ring[1:] == ring[:-1]) if len(ring) else ring
+    area = np.bincount(ring[p], weights=(r.x[p] * r.y[p + 1] - r.x[p + 1] * r.y[p]) / 2, minlength=len(r.n))
+    sound = (r.n >= 4) & (area != 0)
+    whole = np.zeros(int(r.polygon.max()) + 1 if len(r.polygon) else 0, dtype=bool)
+    whole[r.polygon[r.outer & sound]] = True
+    return r, sound & whole[r.polygon]
+
+
+Sides = list[tuple[str, int, bool]]
+
+
+def _cut(column: pa.Array, bounds: list[pa.Array], cuts: list[Sides]) -> pa.Array:
+    """Shapes of what stays of shapes after cuts, those of one cut after those of another. Sides: axis, number of the bound, above it."""
+    at = [b.cast(pa.float64()).to_numpy(zero_copy_only=False) for b in bounds]
+    whole, found = _rings_of(column), []
+    for sides in cuts:
+        r = whole
+        for axis, bound, above in sides:
+            r = _half(r, axis, at[bound], above)
+        found.append(_sound(r))
+    ends = lambda n: pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+    lists, rows = [], []
+    for r, stays in found:
+        points = stays[r.of]
+        xy = pa.StructArray.from_arrays([pa.array(r.x[points]), pa.array(r.y[points])], ["x", "y"])
+        rings = pa.ListArray.from_arrays(ends(r.n[stays]), xy)
+        of, per = np.unique(r.polygon[stays], return_counts=True)
+        lists.append(pa.ListArray.from_arrays(ends(per), rings))
+        rows.append(r.row[stays & r.outer])
+    row = np.concatenate(rows)
+    polygons = pa.concat_arrays(lists)
+    if len(cuts) > 1:
+        polygons = polygons.take(pa.array(np.argsort(row, kind="stable")))
+    return pa.ListArray.from_arrays(ends(np.bincount(row, minlength=len(column))), polygons)
+
+
+def _cutter(cuts: list[Sides]) -> Callable[..., Column]:
+    def run(shape: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
+        return _cut(shape, [x0, y0, x1, y1], cuts)
+
+    return F.arrow_udf(run, SHAPE)
 
 
 def clipped(shape: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """The part of a shape inside a rectangle. Parts of one ring that fall apart stay joined along its border."""
-    return _cut(shape, [("x", x0, True), ("x", x1, False), ("y", y0, True), ("y", y1, False)])
+    return _cutter([[("x", 0, True), ("x", 2, False), ("y", 1, True), ("y", 3, False)]])(shape, x0, y0, x1, y1)
 
 
 def without(shape: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """The part outside a rectangle: left, right, below and above of it."""
-    middle = [("x", x0, True), ("x", x1, False)]
-    parts = [[("x", x0, False)], [("x", x1, True)], [*middle, ("y", y0, False)], [*middle, ("y", y1, True)]]
-    return F.flatten(F.array(*[_cut(shape, p) for p in parts]))
+    middle: Sides = [("x", 0, True), ("x", 2, False)]
+    return _cutter([[("x", 0, False)], [("x", 2, True)], [*middle, ("y", 1, False)], [*middle, ("y", 3, True)]])(shape, x0, y0, x1, y1)
 
 
 def equal_earth(lon: Column, lat: Column) -> Column:

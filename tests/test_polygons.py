@@ -239,3 +239,29 @@ def test_rows_that_cost_time_are_dealt_to_all_cores(spark):
 
     for made in (maps.ells, plans.frames, catalog.QUERIES["p5_made_valid"]):
         assert made(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_rings_of_a_batch_are_cut_together(spark):
+    """Clipped and what is left, against each other and unit cells, for rectangles with a hole, two of them, none and null; no expression
+    is evaluated ring by ring."""
+    from pyspark.sql import functions as F
+
+    rect = lambda x0, y0, x1, y1: ring((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))
+    r = random.Random(2)
+    rows = []
+    for i in range(300):
+        x, y = r.randrange(-5, 5), r.randrange(-5, 5)
+        a, b = r.randrange(-6, 6), r.randrange(-6, 6)
+        rows.append((i, [[rect(x, y, x + 4, y + 4), rect(x + 1, y + 1, x + 2, y + 3)], [rect(x + 6, y, x + 7, y + 1)]], a, b, a + r.randrange(1, 9), b + r.randrange(1, 9)))
+    rows += [(1000, None, 0, 0, 1, 1), (1001, [], 0, 0, 1, 1), (1002, [[]], 0, 0, 1, 1), (1003, [[rect(0, 0, 1, 1)]], None, 0, 1, 1)]
+    df = spark.createDataFrame(rows, f"id int, shape {G.SHAPE}, x0 int, y0 int, x1 int, y1 int").coalesce(1)
+    window = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    cut = df.select("id", G.clipped(F.col("shape"), *window).alias("a"), G.without(F.col("shape"), *window).alias("b"))
+    assert "transform(" not in cut._jdf.queryExecution().optimizedPlan().toString()
+    got = {o.id: (o.a, o.b) for o in cut.select("id", G.planar_area(F.col("a")).alias("a"), G.planar_area(F.col("b")).alias("b")).collect()}
+    for i, shape, x0, y0, x1, y1 in rows[:300]:
+        x, y = int(shape[0][0][0]["x"]), int(shape[0][0][0]["y"])
+        cells = {(x + a, y + b) for a in range(4) for b in range(4) if not (a == 1 and b in (1, 2))} | {(x + 6, y)}
+        inside = sum(x0 <= a < x1 and y0 <= b < y1 for a, b in cells)
+        assert got[i] == pytest.approx((inside, 15 - inside), abs=1e-9)
+    assert [got[i] for i in (1000, 1001, 1002)] == [(0, 0)] * 3 and got[1003][0] == 0
