@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tempora.functions import dates
 from tempora.functions.names import EFFECTIVE
 from tempora.operators.identity import components
+from tempora.sources.derived import evenly
 from tempora.sources.stores import dropped, written
 
 #: Openings of offices that a bare monarch may stand for, heads of government, and the class of a source that names
@@ -20,6 +21,7 @@ ROYAL = (
     "apostolic king", "raja", "maharaja", "maharajadhiraja", "tsar", "yang di pertuan agong", "nevvab", "ispehbed",
 )
 GOVERNING = ("prime minister", "premier", "chancellor", "reich chancellor")
+TENURE = ["polity", "person", "from", "to"]
 LEADER, MONARCH, STATE, GOVERNMENT = "*effective", "*monarch", "*head of state", "*head of government"
 
 
@@ -129,15 +131,36 @@ def office_groups(rows: DataFrame, equivalent: DataFrame | None = None) -> DataF
     with, or into a new one. Rows with one office always go together, so that only the few distinct offices of a tenure are
     gathered, whatever its rows. Rows with days are apart from those with other days; where some are, a row without days could be
     any of them and stays alone."""
-    key = ["polity", "person", "from", "to"]
-    days = F.col("days").cast("string") if "days" in rows.columns else F.lit(None).cast("string")
-    line = rows.withColumns({"__office": office_of(F.col("role")), "__days": days})
-    known = line.groupBy(*key).agg(F.count_distinct("__days").alias("__n"))
-    same = lambda a, b: " AND ".join(f"{a}.`{k}` <=> {b}.`{k}`" for k in key)
-    line = line.alias("l").join(known.alias("k"), F.expr(same("l", "k"))).select("l.*", ((F.col("k.__n") > 1) & F.col("l.__days").isNull()).alias("__unsure"))
-    kinds = line.where("NOT __unsure").groupBy(*key, "role", "__office", "__days").agg(F.min("id").alias("least"))
+    line = _with_days(rows)
+    placed = _cliques(line, equivalent, dict(rows.dtypes)["id"])
+    placed = placed.select(*TENURE, "clique", F.explode("__group").alias("__e")).select(*TENURE, "clique", F.col("__e.role").alias("role"), F.col("__e.days").alias("__days"))
+    same = " AND ".join(f"l.`{k}` <=> p.`{k}`" for k in [*TENURE, "role", "__days"])
+    return line.alias("l").join(placed.alias("p"), F.expr(f"{same} AND NOT l.__unsure"), "left").select(*[f"l.`{c}`" for c in rows.columns], "p.clique")
+
+
+def _with_days(rows: DataFrame) -> DataFrame:
+    """Rows with __days and __unsure: without days where others of the tenure have several; dealt by tenure."""
+    line = evenly(rows, *TENURE)
+    if "days" not in rows.columns:
+        return line.withColumns({"__days": F.lit(None).cast("string"), "__unsure": F.lit(False)})
+    line, w = line.withColumn("__days", F.col("days").cast("string")), Window.partitionBy(*TENURE)
+    return line.withColumn("__unsure", F.coalesce(F.min("__days").over(w) != F.max("__days").over(w), F.lit(False)) & F.col("__days").isNull())
+
+
+def _cliques(line: DataFrame, equivalent: DataFrame | None, id_: str, ids: bool = False) -> DataFrame:
+    """Tenures with clique and __group, its distinct offices; with ids each has its rows' ids, and tenures of a single id go."""
+    key = TENURE
+    told = F.collect_set("id") if ids else F.array().cast(f"array<{id_}>")
+    kinds = line.where("NOT __unsure").groupBy(*key, "role", "__days").agg(F.min("id").alias("least"), *([told.alias("ids")] if ids else []))
+    kinds = kinds if ids else kinds.withColumn("ids", told)
     pairs = F.array().cast("array<struct<one:string,other:string>>")
-    entries = kinds.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col("__office").startswith("*").alias("general"), "least", "role", F.col("__office").alias("office"), F.col("__days").alias("days")))).alias("__all"))
+    # A role's class takes long to tell and is asked only where a tenure has several.
+    several = F.count(F.lit(1)).over(Window.partitionBy(*key)) > 1
+    kinds = kinds.withColumn("__several", several).withColumn("__office", F.when(F.col("__several"), office_of(F.col("role"))))
+    office = F.struct(F.col("__office").startswith("*").alias("general"), "least", "role", F.col("__office").alias("office"), F.col("__days").alias("days"), "ids")
+    entries = kinds.groupBy(*key).agg(F.array_sort(F.collect_list(office)).alias("__all"))
+    if ids:
+        entries = entries.where((F.size("__all") > 1) | (F.size(F.col("__all")[0]["ids"]) > 1))
     if equivalent is not None:
         told = equivalent.groupBy("polity").agg(F.collect_set(F.struct("one", "other")).alias("__pairs"))
         entries = entries.join(told, "polity", "left").withColumn("__pairs", F.coalesce("__pairs", pairs))
@@ -153,17 +176,18 @@ def office_groups(rows: DataFrame, equivalent: DataFrame | None = None) -> DataF
         fits = F.transform(groups, lambda g: F.forall(g, lambda e: together(e, x)))
         return F.transform(F.array(F.array_position(fits, F.lit(True))), lambda at: F.when(at == 0, F.concat(groups, F.array(F.array(x)))).otherwise(F.transform(groups, lambda g, i: F.when(i + 1 == at, F.concat(g, F.array(x))).otherwise(g))))[0]
 
-    entry = "struct<general:boolean,least:{id},role:string,office:string,days:string>".format(id=dict(rows.dtypes)["id"])
-    placed = entries.select(*key, F.posexplode(F.aggregate("__all", F.array().cast(f"array<array<{entry}>>"), put)).alias("clique", "__group"))
-    placed = placed.select(*key, "clique", F.explode("__group").alias("__e")).select(*key, "clique", F.col("__e.role").alias("role"), F.col("__e.days").alias("__days"))
-    on = F.expr(same("l", "p") + " AND l.role <=> p.role AND l.__days <=> p.__days AND NOT l.__unsure")
-    return line.alias("l").join(placed.alias("p"), on, "left").select(*[f"l.`{c}`" for c in rows.columns], "p.clique")
+    entry = "struct<general:boolean,least:{id},role:string,office:string,days:string,ids:array<{id}>>".format(id=id_)
+    one = F.size("__all") == 1
+    groups = F.when(one, F.array("__all")).otherwise(F.aggregate("__all", F.array().cast(f"array<array<{entry}>>"), put))
+    return entries.select(*key, F.posexplode(groups).alias("clique", "__group"))
 
 
 def merges(rows: DataFrame, equivalent: DataFrame | None = None) -> DataFrame:
     """Tenures that several rows tell: polity, person, from, to, clique and ids."""
-    placed = office_groups(rows.where("`from` IS NOT NULL AND to IS NOT NULL"), equivalent).where("clique IS NOT NULL")
-    return placed.groupBy("polity", "person", "from", "to", "clique").agg(F.sort_array(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1)
+    line = _with_days(rows.where("`from` IS NOT NULL AND to IS NOT NULL"))
+    placed = _cliques(line, equivalent, dict(rows.dtypes)["id"], ids=True)
+    ids = F.sort_array(F.array_distinct(F.flatten(F.transform("__group", lambda e: e["ids"]))))
+    return placed.select(*TENURE, "clique", ids.alias("ids")).where(F.size("ids") > 1)
 
 
 def routed(rows: DataFrame, peers: DataFrame) -> DataFrame:

@@ -175,3 +175,12 @@ def test_routes(spark):
     assert {i: (a, [str(v) for v in b], c) for i, (a, b, c) in got.items()} == {i: (a, [str(v) for v in b], c) for i, (a, b, c) in want.items()}
     assert {v[0] for v in got.values()} == {"rejected", "candidateDuplicate", "conflict", "matched", "duplicate", "import"}
     assert consolidation.routed(df.where("false"), there).count() == 0
+
+
+def test_merges_read_their_rows_once(spark):
+    """Tenures are dealt once, nothing is joined back, and a role's class is told only where a tenure has several roles."""
+    rows = [(f"r{i:03}", "p", i // 4, 1, 2, ("King", "King", "Duke", "Monarch")[i % 4]) for i in range(200)] + [("x", "p", 900, 1, 2, "King"), ("y", "p", 901, None, 2, "King"), ("z", "p", 901, None, 2, "King")]
+    found = consolidation.merges(spark.createDataFrame(rows, "id string, polity string, person int, `from` int, to int, role string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    assert sorted(x.ids for x in found.collect()) == [[f"r{4 * k:03}", f"r{4 * k + 1:03}", f"r{4 * k + 3:03}"] for k in range(50)]
