@@ -33,6 +33,24 @@ def test_a_crowded_place_makes_no_pairs(spark):
     assert got.selectExpr("count(*)", "min(cells)", "min(taken)", "max(taken)").first() == (20_000, 100, 20, 20)
 
 
+def test_all_records_are_asked_about(spark):
+    """Records of all years have their parts, not those around year 0 alone."""
+    from tempora.plans import catalog
+    from tempora.sources import derived
+
+    d = "/root/testdata/sf0.001"
+    n = derived.boxes(spark, d).count()
+    assert catalog.QUERIES["j12_occupied"](spark, d).count() == 3 * n
+
+
+def test_a_later_one_is_met_many_windows_after(spark):
+    """Windows of years without rows in between, parts that end there, and cells that others take in turns."""
+    parts = [(1, "a", 0, 5000, 0, 0, 4, 1), (2, "a", 0, 900, 0, 0, 4, 1), (3, "b", 4000, 4001, 0, 0, 4, 1), (4, "a", 0, 5000, 0, 5, 4, 6)]
+    records = [(0, "b", 3000, 3001, 0, 0, 2, 1), (0, "a", 0, 9000, 0, 0, 3, 1), (0, "c", 4500, 9000, 1, 0, 3, 1), (0, "b", 100, 101, 3, 0, 4, 1)]
+    got = resolve.occupied(spark.createDataFrame(parts, BOX), spark.createDataFrame(records, BOX)).collect()
+    assert {r.id: r.taken for r in got} == {1: 4, 2: 1, 3: 3, 4: 0}
+
+
 def test_successors_names_by_brute_force(spark, monkeypatch):
     """Blocks of more rows than are held at a time; equal shares, names that are null or told by several."""
     from tempora.operators import tiles
