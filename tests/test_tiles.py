@@ -43,6 +43,22 @@ def test_all_records_are_asked_about(spark):
     assert catalog.QUERIES["j12_occupied"](spark, d).count() == 3 * n
 
 
+def test_homes_are_of_all_years(spark):
+    """Each record has an anchor, at home where a part holds the least corners of all its identity's records."""
+    from tempora.plans import catalog
+    from tempora.sources import derived
+
+    d = "/root/testdata/sf0.001"
+    boxes = derived.boxes(spark, d).collect()
+    want = {}
+    for b in boxes:
+        x, y = min(o.x0 for o in boxes if o.k == b.k) + 1, min(o.y0 for o in boxes if o.k == b.k)
+        wide = [(b.x0, b.x0 + 2), (b.x0 + 3, b.x0 + 4 + b.a % 3), (b.x0 + 30, b.x0 + 31 + b.a % 9)]
+        want[b.k * 100_000 + b.f] = b.y0 <= y < b.y1 and any(lo <= x < hi for lo, hi in wide)
+    got = {r.rec: r.why == "home" for r in catalog.QUERIES["w13_anchors"](spark, d).collect()}
+    assert got == want and 0 < sum(want.values()) < len(want)
+
+
 def test_a_later_one_is_met_many_windows_after(spark):
     """Windows of years without rows in between, parts that end there, and cells that others take in turns."""
     parts = [(1, "a", 0, 5000, 0, 0, 4, 1), (2, "a", 0, 900, 0, 0, 4, 1), (3, "b", 4000, 4001, 0, 0, 4, 1), (4, "a", 0, 5000, 0, 5, 4, 6)]
