@@ -150,3 +150,19 @@ def test_overlapping_pairs_are_found_in_parts_and_not_shuffled(spark, monkeypatc
         got = found.collect()
         assert len(got) == len(want) and {(r.k1, r.k2): r.years for r in got} == {p: len(y) for p, y in want.items()}
     assert resolve.overlapping_claims(boxes.where("false"), -60, 60, 30).count() == 0
+
+
+def test_rows_that_go_to_many_tasks_are_packed():
+    import numpy as np
+
+    from tempora.operators import tiles
+
+    rng = np.random.default_rng(2)
+    k, at = np.sort(rng.integers(-(1 << 40), 1 << 40, 5000)), rng.integers(-3, 4, 5000).astype(np.int32)
+    low = rng.integers(-180, 160, (2, 5000)).astype(float)
+    whole = np.concatenate((low, low + rng.integers(1, 20, (2, 5000))))
+    for corners in (whole, whole + 0.1, np.where(whole == whole.max(), np.inf, whole), np.where(whole == whole.max(), 2.0**40, whole)):
+        data = tiles._packed(k, at, corners)
+        got = [c.to_numpy() for c in tiles._unpacked(data).columns]
+        assert (got[0] == k).all() and (got[1] == at).all() and (np.stack(got[2:]) == corners).all()
+    assert len(tiles._packed(np.sort(rng.integers(0, 50_000, 5000)), at, whole)) < 5000 * 6 * 8 / 4
